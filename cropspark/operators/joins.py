@@ -79,7 +79,7 @@ def _penalised_km(p: str, c: str) -> Column:
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, point_id: str, centre_id: str,
-                   cell_degrees: tuple[float, ...] = (1.0, 4.0, 16.0), blocks: int = 64) -> DataFrame:
+                   cell_degrees: tuple[float, ...] = (1.0, 5.0, 15.0), blocks: int = 64) -> DataFrame:
     """Centre with the least penalised distance (great circle plus 0.1 km per metre of altitude difference).
 
     Both sides carry lat, lon, alt. Points meet only centres in their own and the eight adjacent grid cells; a point is
@@ -102,11 +102,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame, point_id: str, centre_
         p = p.withColumn("_x", F.explode(F.transform(near, lambda d: F.pmod(F.col("_x") + d, F.lit(columns)))))
         c = targets.withColumns({"_y": cell("lat"), "_x": F.pmod(cell("lon"), F.lit(columns))})
         best = _cheapest(p.alias("p").join(c.alias("c"), ["_y", "_x"]), point_id, centre_id)
-        # Smallest distance from a point to the rim of its 3 x 3 block: one cell in latitude, one cell in longitude at
-        # the block's highest latitude (less near the poles, where the meridians meet).
-        rim = F.least(F.abs(F.col("lat")) + 2 * degrees, F.lit(90.0))
+        # A centre outside the 3 x 3 block is at least one cell away: in latitude, or from the block's edge meridian.
         one_degree = N.EARTH_RADIUS_KM * 3.141592653589793 / 180
-        sure = F.least(F.lit(degrees), F.degrees(F.asin(F.cos(F.radians(rim)) * F.sin(F.radians(F.lit(degrees)))))) * one_degree
+        sure = F.least(F.lit(degrees), F.degrees(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(degrees)))))) * one_degree
         found = materialise(
             open_points.join(best, point_id, "left")
             .withColumn("_settled", F.coalesce(F.col("_best.cost") <= sure, F.lit(False))))

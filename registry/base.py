@@ -61,7 +61,7 @@ def with_ctes(body: str) -> str:
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
+            if name not in wanted and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(CTES[name])
                 if name not in wanted:
                     wanted.append(name)

@@ -246,7 +246,7 @@ def catalogue(spark, names: dict[str, DataFrame | None]) -> DataFrame:
     parts = []
     for name, df in names.items():
         if df is None:
-            parts.append(spark.range(1).select(F.lit(name).alias("table"), F.lit(None).cast("long").alias("rows")))
+            parts.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit(None).cast("long").alias("n_rows")))
         else:
-            parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows"))
+            parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows"))
     return Q.union_all(parts)

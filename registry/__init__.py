@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate"]
+MODULES = ["prices", "climate", "serving"]
 
 
 def load_all():

@@ -33,6 +33,11 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
+def strip(c: Column) -> Column:
+    """Trim every kind of white space."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze_spaces(c: Column) -> Column:
     """Trim and turn every run of white space (also NBSP and line breaks) into one blank."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -45,7 +50,7 @@ def normalise_name(c: Column) -> Column:
 
 def normalise_text(c: Column) -> Column:
     """Lower case, cut at the first parenthesis, no accents."""
-    return strip_accents(F.trim(F.substring_index(F.trim(F.lower(c)), "(", 1)))
+    return strip_accents(strip(F.substring_index(F.lower(c), "(", 1)))
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:

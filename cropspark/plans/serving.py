@@ -114,7 +114,7 @@ def alerts_by_event(alerts: DataFrame, k: int = 6) -> DataFrame:
 
 
 def risk_levels(alerts: DataFrame) -> DataFrame:
-    return A.counts_by_level(alerts.where("is_active"), "level", {"BAJO": "low", "MEDIO": "medium", "ALTO": "high"})
+    return A.counts_by_level(alerts.where("is_active"), "level", {"low": "BAJO", "medium": "MEDIO", "high": "ALTO"})
 
 
 def risk_map(alerts: DataFrame, towns: DataFrame, k: int = 120) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate", "serving"]
+MODULES = ["prices", "climate", "serving", "conforming"]
 
 
 def load_all():

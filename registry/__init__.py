@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate", "serving", "conforming"]
+MODULES = ["prices", "climate", "serving", "conforming", "quality"]
 
 
 def load_all():

@@ -23,7 +23,7 @@ MONTHS = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','se
 
 # --- text ---------------------------------------------------------------------------------------------
 @query("normalise_text", {"doc_id": "i", "text_key": "s", "name_key": "s", "n_key": "i"}, r"""
-SELECT doc_id, MD5(t) AS text_key, MD5(TRIM(REGEXP_REPLACE(STRIP_ACCENTS(UPPER(text)), '[\s\x{00A0}]+', ' ', 'g'))) AS name_key, LENGTH(t) AS n_key
+SELECT doc_id, MD5(t) AS text_key, MD5(TRIM(REGEXP_REPLACE(STRIP_ACCENTS(REPLACE(UPPER(text), 'ẞ', 'SS')), '[\s\x{00A0}]+', ' ', 'g'))) AS name_key, LENGTH(t) AS n_key
 FROM (SELECT *, STRIP_ACCENTS(REGEXP_REPLACE(SPLIT_PART(LOWER(text), '(', 1), '^\s+|\s+$', '', 'g')) AS t FROM documents)""")
 def _(spark, sf):
     key = T.normalise_text(F.col("text"))
@@ -34,8 +34,8 @@ def _(spark, sf):
 @query("canon_title", {"conv_id": "i", "turn": "i", "title": "s", "grouped": "s", "product": "s"}, r"""
 SELECT conv_id, turn,
   MD5(ARRAY_TO_STRING(LIST_TRANSFORM(STRING_SPLIT(LOWER(s), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('de','del','la','las','los','y') THEN w
-      ELSE UPPER(w[1:1]) || LOWER(w[2:]) END), ' ')) AS title,
-  MD5(CASE WHEN s <> '' AND LOWER(s) <> 'nan' THEN UPPER(s[1:1]) || LOWER(s[2:]) END) AS grouped, MD5(UPPER(p[1:1]) || p[2:]) AS product
+      ELSE REPLACE(UPPER(w[1:1]), 'ẞ', 'SS') || LOWER(w[2:]) END), ' ')) AS title,
+  MD5(CASE WHEN s <> '' AND LOWER(s) <> 'nan' THEN REPLACE(UPPER(s[1:1]), 'ẞ', 'SS') || LOWER(s[2:]) END) AS grouped, MD5(REPLACE(UPPER(p[1:1]), 'ẞ', 'SS') || p[2:]) AS product
 FROM (SELECT conv_id, turn, TRIM(REGEXP_REPLACE(text, '\s+', ' ', 'g')) AS s, TRIM(REGEXP_REPLACE(REPLACE(text, '*', ' '), '\s+', ' ', 'g')) AS p FROM conversations)""")
 def _(spark, sf):
     c = F.col("text")
@@ -53,9 +53,9 @@ def _(spark, sf):
 
 
 @query("padded_codes", {"c_custkey": "i", "code": "s", "valid": "s", "prefix": "s"}, r"""
-SELECT c_custkey, LPAD(CAST(c_custkey AS VARCHAR), GREATEST(5, LENGTH(CAST(c_custkey AS VARCHAR))), '0') AS code,
+SELECT c_custkey, LPAD(CAST(c_custkey AS VARCHAR), CAST(GREATEST(5, LENGTH(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS code,
        CASE WHEN REGEXP_FULL_MATCH(CAST(c_custkey * 13 AS VARCHAR), '\d{5}') THEN CAST(c_custkey * 13 AS VARCHAR) END AS valid,
-       SUBSTRING(LPAD(CAST(c_custkey AS VARCHAR), GREATEST(5, LENGTH(CAST(c_custkey AS VARCHAR))), '0'), 1, 2) AS prefix FROM customer""")
+       SUBSTRING(LPAD(CAST(c_custkey AS VARCHAR), CAST(GREATEST(5, LENGTH(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0'), 1, 2) AS prefix FROM customer""")
 def _(spark, sf):
     code = T.zero_pad(F.col("c_custkey"), 5)
     return table(spark, sf, "customer").select(
@@ -74,11 +74,11 @@ def _(spark, sf):
 
 
 @query("rounding_flavours", {"o_orderkey": "i", "even": "f", "away": "f", "up": "f"}, """
-SELECT o_orderkey, ROUND_EVEN(o_totalprice / 7, 1) AS even, ROUND(o_totalprice / 7, 2) AS away, FLOOR(-o_totalprice / 7 * 10 + 0.5) / 10 AS up FROM orders""")
+SELECT o_orderkey, ROUND_EVEN(o_totalprice * 0.1234567::DOUBLE, 1) AS even, ROUND(o_totalprice * 0.1234567::DOUBLE, 2) AS away, FLOOR(-o_totalprice * 0.1234567::DOUBLE * 10 + 0.5) / 10 AS up FROM orders""")
 def _(spark, sf):
-    v = F.col("o_totalprice") / 7
+    v = F.col("o_totalprice") * 0.1234567
     return table(spark, sf, "orders").select(
-        "o_orderkey", N.round_half_even(v, 1).alias("even"), N.round_half_away(v, 2).alias("away"), N.round_half_up(-F.col("o_totalprice") / 7, 1).alias("up"))
+        "o_orderkey", N.round_half_even(v, 1).alias("even"), N.round_half_away(v, 2).alias("away"), N.round_half_up(-F.col("o_totalprice") * 0.1234567, 1).alias("up"))
 
 
 # --- dates --------------------------------------------------------------------------------------------
@@ -176,24 +176,24 @@ def _(spark, sf):
                          equal_ci={"o_orderpriority": "1-URGENT"}, at_most={"o_totalprice": 200000})
 
 
-@query("source_cutoff", {"source": "s", "rows": "i", "last_day": "d"}, """
-SELECT source, COUNT(*) AS rows, MAX(d) AS last_day FROM (
+@query("source_cutoff", {"source": "s", "n_rows": "i", "last_day": "d"}, """
+SELECT source, COUNT(*) AS n_rows, MAX(d) AS last_day FROM (
   SELECT 'old' AS source, CAST(o_orderdate AS DATE) AS d FROM orders WHERE CAST(o_orderdate AS DATE) < (SELECT MIN(CAST(o_orderdate AS DATE)) FROM orders WHERE YEAR(o_orderdate) >= 1998)
   UNION ALL SELECT 'new', CAST(o_orderdate AS DATE) FROM orders WHERE YEAR(o_orderdate) >= 1998) GROUP BY source""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
     newer = rows.where(F.year("d") >= 1998)
     both = C.cut_covered(rows, newer, "d").withColumn("source", F.lit("old")).unionByName(newer.withColumn("source", F.lit("new")))
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("last_day"))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.max("d").alias("last_day"))
 
 
-@query("surrogate_keys", {"natural": "s", "key": "i"}, """
-SELECT natural, ROW_NUMBER() OVER (ORDER BY natural) + (SELECT COUNT(*) FROM nation) AS key
-FROM (SELECT DISTINCT p_name AS natural FROM part WHERE p_name NOT IN (SELECT n_name FROM nation))""")
+@query("surrogate_keys", {"name": "s", "id": "i"}, """
+SELECT name, ROW_NUMBER() OVER (ORDER BY name) + (SELECT COUNT(*) FROM nation) AS id
+FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT n_name FROM nation))""")
 def _(spark, sf):
     nation = table(spark, sf, "nation")
-    known = nation.select(F.col("n_name").alias("natural"), (F.col("n_nationkey") + 1).alias("key"))
-    return RK.assign_surrogate_keys(known, table(spark, sf, "part").select(F.col("p_name").alias("natural")), "natural", "key")
+    known = nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 1).alias("id"))
+    return RK.assign_surrogate_keys(known, table(spark, sf, "part").select(F.col("p_name").alias("name")), "name", "id")
 
 
 @query("category_codes", {"value": "s", "code": "i"}, "SELECT value, DENSE_RANK() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT p_name || ' ' || p_brand AS value FROM part)")
@@ -241,9 +241,9 @@ def _(spark, sf):
     return J.reject_counts(orders, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code")), "code")
 
 
-@query("anti_missing", {"c_custkey": "i", "c_name": "s"}, "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_missing", {"c_custkey": "i", "c_name": "s"}, "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE YEAR(o_orderdate) = 2000)")
 def _(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").where(F.year("o_orderdate") == 2000).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti")
 
 
@@ -259,7 +259,7 @@ def _(spark, sf):
 
 
 @query("two_series_lookup", {"market": "s", "product": "s"}, """
-SELECT m.market, p.product FROM markets m, products p WHERE m.market_id = 3 AND p.product_id = 'Brand#7'""")
+SELECT m.market, p.product FROM markets m CROSS JOIN products p WHERE m.market_id = 3 AND p.product_id = 'Brand#7'""")
 def _(spark, sf):
     market = S.markets(spark, sf).where(F.col("market_id") == 3).select("market")
     return market.withColumn("product", S.products(spark, sf).where(F.col("product_id") == "Brand#7").select("product").scalar())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cropspark.functions import rules as R
 from cropspark.operators.ranks import average_rank, below_of_counts, exact_quantiles, rows_below
+from cropspark.session import materialise
 
 MIN_PER_GROUP = 3
 
@@ -68,7 +69,7 @@ def welch_anova(df: DataFrame, by: list[str], group: str, value: str) -> DataFra
 
 def levene(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Levene's W on absolute deviations from the exact group median."""
-    kept = valid_groups(df, by, group, value)
+    kept = materialise(valid_groups(df, by, group, value).select(*by, group, value))
     medians = exact_quantiles(kept, [*by, group], value, {"_median": 0.5}).drop("n_values")
     deviations = kept.join(medians, [*by, group]).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
     return _one_way(deviations, by, group, "_dev")
@@ -76,7 +77,7 @@ def levene(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
 
 def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, and epsilon squared."""
-    kept = valid_groups(df, by, group, value)
+    kept = materialise(valid_groups(df, by, group, value).select(*by, group, value))
     ranked = rows_below(kept, by, value)
     ties = ranked.groupBy(*by).agg(F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"), F.max("total").alias("N"))
     per_value = kept.groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("c"))
@@ -97,7 +98,7 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
 
     Distinct values with counts, not rows, are copied to the pairs of their level.
     """
-    kept = valid_groups(df, by, group, value)
+    kept = materialise(valid_groups(df, by, group, value).select(*by, group, value))
     counts = kept.groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("c"))
     levels = kept.select(*by, group).distinct()
     a, b = levels.withColumnRenamed(group, "group1"), levels.withColumnRenamed(group, "group2")
@@ -221,6 +222,7 @@ def normal_two_sided(z: Column) -> Column:
 
 def compare_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """All statistics of a comparison with p-values, effect label and stars."""
+    df = materialise(df.select(*by, group, value))
     out = welch_anova(df, by, group, value).join(kruskal(df, by, group, value), by).join(levene(df, by, group, value), by)
     out = out.withColumns({
         "welch_p": f_tail(F.col("welch_f"), F.col("welch_df1"), F.col("welch_df2")),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate", "serving", "conforming", "quality"]
+MODULES = ["prices", "climate", "serving", "conforming", "quality", "sources"]
 
 
 def load_all():

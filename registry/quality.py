@@ -17,7 +17,7 @@ from registry.base import CTES, query, table
 
 # --- aggregates ---------------------------------------------------------------------------------------
 @query("mode_class", {"source": "s", "lang": "s"}, """
-SELECT source, lang FROM (SELECT source, lang, ROW_NUMBER() OVER (PARTITION BY source ORDER BY COUNT(*) DESC, lang) AS rn FROM documents WHERE lang IS NOT NULL GROUP BY ALL) WHERE rn = 1""")
+SELECT source, lang FROM (SELECT source, lang, ROW_NUMBER() OVER (PARTITION BY source ORDER BY COUNT(*) DESC, lang) AS rn FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE rn = 1""")
 def _(spark, sf):
     return A.most_frequent_class(table(spark, sf, "documents"), ["source"], "lang", "lang")
 
@@ -287,7 +287,7 @@ def _(spark, sf):
 CHECK_COLUMNS = {"module": "s", "check_name": "s", "passed": "b", "failing_rows": "i"}
 
 
-@query("audit_checks", CHECK_COLUMNS, r"""
+CTES["audit_rows"] = r"""
 SELECT module, check_name, failing_rows = 0 AS passed, failing_rows FROM (
   SELECT 'labels' AS module, UNNEST(['quality not null', 'toxic not null', 'n_chars in range', 'lang in set', 'source matches pattern', 'text single spaces', 'lang length']) AS check_name,
     UNNEST([COUNT(*) FILTER (WHERE quality IS NULL), COUNT(*) FILTER (WHERE toxic IS NULL), COUNT(*) FILTER (WHERE n_chars < 10 OR n_chars > 5000), COUNT(*) FILTER (WHERE lang NOT IN ('en', 'fr')),
@@ -297,7 +297,10 @@ SELECT module, check_name, failing_rows = 0 AS passed, failing_rows FROM (
   FROM (SELECT l_extendedprice / l_quantity AS price_avg, l_extendedprice / l_quantity - 1 AS price_min, 2000.0::DOUBLE AS price_max FROM lineitem)
   UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber unique', SUM(CASE WHEN c > 1 THEN c ELSE 0 END) FROM (SELECT COUNT(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)
   UNION ALL SELECT 'orders', 'o_custkey in reference', COUNT(*) FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)
-  UNION ALL SELECT 'orders', UNNEST(['o_totalprice is double', 'o_orderkey is int']), UNNEST([0, 1]))""")
+  UNION ALL SELECT 'orders', UNNEST(['o_totalprice is double', 'o_orderkey is int']), UNNEST([0, 1]))"""
+
+
+@query("audit_checks", CHECK_COLUMNS, "SELECT * FROM audit_rows")
 def _(spark, sf):
     return audit(spark, sf).withColumnRenamed("check", "check_name")
 
@@ -315,7 +318,8 @@ def audit(spark, sf):
             .unionByName(QC.type_check(orders, "orders", {"o_totalprice": "double", "o_orderkey": "int"})))
 
 
-@query("audit_summary", {"module": "s", "passed": "i", "total": "i"})
+@query("audit_summary", {"module": "s", "passed": "i", "total": "i"},
+       "SELECT module, COUNT(*) FILTER (WHERE passed) AS passed, COUNT(*) AS total FROM audit_rows GROUP BY module")
 def _(spark, sf):
     return QC.audit_summary(audit(spark, sf))
 

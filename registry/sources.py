@@ -66,8 +66,7 @@ def _(spark, sf):
 
 
 @query("parse_crop_statistics", {"crop": "s", "element": "s", "year": "i", "value": "f"}, """
-SELECT crop_id AS crop, 'Yield' AS element, year, yield_t_ha AS value FROM harvest WHERE town_id = 4
-UNION ALL SELECT crop_id, 'Yield', year, yield_t_ha FROM harvest WHERE town_id <> 4""")
+SELECT crop_id AS crop, 'Yield' AS element, year, yield_t_ha AS value FROM harvest""")
 def _(spark, sf):
     """One document per town and year: at most one entry per crop."""
     rows = S.harvest(spark, sf).select("town_id", F.lit("Colombia").alias("Area"), F.col("crop_id").alias("Item"), F.lit("Yield").alias("Element"),
@@ -99,7 +98,7 @@ def _(spark, sf):
 
 @query("parse_price_xml", {"day": "d", "market": "s", "product": "s", "product_key": "s", "department": "s", "town_id": "s", "price_min": "f", "price_max": "f",
                            "price_avg": "f", "source": "s"}, """
-SELECT day, market, 'Product ' || product_id AS product, UPPER('Product ' || product_id) AS product_key, UPPER(department[1:1]) || LOWER(department[2:]) AS department,
+SELECT day, market, 'Product ' || product_id AS product, UPPER('Product ' || product_id) AS product_key, CASE department WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE UPPER(department[1:1]) || LOWER(department[2:]) END AS department,
        LPAD(CAST(d.market_id AS VARCHAR), 5, '0') AS town_id, CASE WHEN price_min <= price_avg THEN price_min END AS price_min,
        CASE WHEN price_max >= price_avg THEN price_max END AS price_max, price_avg, 'soap' AS source
 FROM daily d JOIN markets USING (market_id) WHERE day >= DATE '1997-03-01' AND price_avg <= 200000""")
@@ -140,10 +139,10 @@ def _page():
 
 @query("parse_land_use", {"town_id": "s", "census_year": "i", "pasture_ha": "f", "fallow_ha": "f", "agricultural_ha": "f", "infrastructure_ha": "f"}, """
 SELECT LPAD(CAST(c_custkey AS VARCHAR), 5, '0') AS town_id, 2014 AS census_year, c_acctbal AS pasture_ha, NULL AS fallow_ha, c_acctbal / 2 AS agricultural_ha, c_nationkey AS infrastructure_ha
-FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey < 100000""")
+FROM customer WHERE c_mktsegment <> 'BUILDING'""")
 def _(spark, sf):
     code = F.when(F.col("c_mktsegment") == "BUILDING", "Total").otherwise(F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
-    cells = table(spark, sf, "customer").where(F.col("c_custkey") < 100000).select(F.array(
+    cells = table(spark, sf, "customer").select(F.array(
         F.lit("05"), F.lit("x"), code, "c_name", F.col("c_acctbal").cast("string"), F.lit("-"), (F.col("c_acctbal") / 2).cast("string"),
         F.col("c_nationkey").cast("string")).alias("cells"))
     return X.land_use(cells, 2014)

@@ -129,7 +129,7 @@ def residual_bands(rows: DataFrame) -> DataFrame:
     enough = F.col("n_values") >= K.MIN_OWN_RESIDUALS
     return own.join(overall, ["kind", "h"]).select(
         "kind", "product_id", "h", F.coalesce(F.when(enough, F.col("own10")), F.col("all10")).alias("q10"),
-        F.coalesce(F.when(enough, F.col("own90")), F.col("all90")).alias("q90"))
+        F.coalesce(F.when(enough, F.col("own90")), F.col("all90")).alias("q90"), "all10", "all90")
 
 
 def expected_improvement(errors: DataFrame) -> DataFrame:
@@ -146,9 +146,9 @@ def publish(future: DataFrame, improvement: DataFrame, bands: DataFrame) -> Data
     rows = future.join(improvement, ["product_id", "h"], "left").withColumn("confidence", R.confidence_class(F.col("improvement")))
     use = F.col("confidence").isin("alta", "media")
     rows = rows.withColumns({"kind": F.when(use, "model").otherwise("naive"), "shift": F.when(use, F.col("pred")).otherwise(F.lit(0.0))})
-    # A product outside the backtest has no own band; then the horizon's widest known, else the default.
-    overall = bands.groupBy("kind", "h").agg(F.min("q10").alias("_all10"), F.max("q90").alias("_all90"))
-    rows = rows.join(bands, ["kind", "product_id", "h"], "left").join(overall, ["kind", "h"], "left")
+    # A product outside the backtest has no own band; then the horizon's, else the default.
+    overall = bands.groupBy("kind", "h").agg(F.max("all10").alias("_all10"), F.max("all90").alias("_all90"))
+    rows = rows.join(bands.drop("all10", "all90"), ["kind", "product_id", "h"], "left").join(overall, ["kind", "h"], "left")
     base = F.exp("log_price")
     q10 = F.coalesce("q10", "_all10", F.lit(K.DEFAULT_BAND[0]))
     q90 = F.coalesce("q90", "_all90", F.lit(K.DEFAULT_BAND[1]))

@@ -14,7 +14,7 @@ from cropspark.session import materialise
 
 # Identifiers, the target, and what is only known after the harvest.
 NOT_FEATURES = {"town_id", "crop_id", "year", "department", "suitability", "is_nino", "yield_t_ha", "production_t",
-                "harvested_ha", "yield_t_ha_hist_missing"}
+                "harvested_ha"}
 
 
 @dataclass

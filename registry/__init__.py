@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate", "serving", "conforming", "quality", "sources"]
+MODULES = ["prices", "climate", "serving", "conforming", "quality", "sources", "modelling"]
 
 
 def load_all():

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
+from cropspark.functions.numeric import at_least
 
 # Day number 0 (1970-01-01) is a Thursday, so day number -3 starts a week on Monday.
 _MONDAY_SHIFT = 3
@@ -32,12 +33,12 @@ def business_date(index: Column) -> Column:
 
 def business_days_half_open(start: Column, end: Column) -> Column:
     """Weekdays in [start, end); 0 when end is not later."""
-    return F.greatest(business_index(end) - business_index(start), F.lit(0))
+    return at_least(business_index(end) - business_index(start), 0)
 
 
 def business_days_after(start: Column, end: Column) -> Column:
     """Weekdays in (start, end]; 0 when end is not later."""
-    return F.greatest(business_index(F.date_add(end, 1)) - business_index(F.date_add(start, 1)), F.lit(0))
+    return at_least(business_index(F.date_add(end, 1)) - business_index(F.date_add(start, 1)), 0)
 
 
 def month_index(year: Column, month: Column) -> Column:

@@ -22,6 +22,11 @@ def round_half_up(c: Column, digits: int = 0) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
+def at_least(c: Column, low: float) -> Column:
+    """Raise to the lower bound; missing stays missing (greatest alone would return the bound)."""
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
+
+
 def clean_number(c: Column) -> Column:
     """Text or number to double: what does not parse, and NaN, is missing."""
     number = c.try_cast("double")
@@ -32,7 +37,8 @@ def bounded_int(c: Column, low: int, high: int, default: int) -> Column:
     """Parse, cut off decimals, clamp; anything unparsable gives the default."""
     number = clean_number(c)
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), whole)), F.lit(default)).cast("int")
+    clamped = F.greatest(F.lit(low), F.least(F.lit(high), whole))  # these two skip missing values, hence the guard
+    return F.when(whole.isNotNull(), clamped).otherwise(F.lit(default)).cast("int")
 
 
 def positive_id(c: Column) -> Column:

@@ -120,7 +120,7 @@ def isolation_scores(inputs: DataFrame, trees: int = K.ANOMALY_TREES, share: flo
         "crop_id string, depth int, norm double, feature array<int>, threshold array<double>, leaf array<double>")
     blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
     split = rows.join(blocks, "crop_id").withColumn("block", F.pmod(F.xxhash64(*key), F.col("blocks"))).drop("n", "blocks")
-    copies = forest.join(blocks, "crop_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).drop("n", "blocks")
+    copies = forest.join(blocks, "crop_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("n", "blocks")
     scores = split.groupBy("crop_id", "block").cogroup(copies.groupBy("crop_id", "block")).applyInPandas(
         _scorer(trees), "town_id int, crop_id string, year int, score double")
     scores = materialise(scores)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
+from cropspark.functions.numeric import at_least
 from cropspark.operators.ranks import exact_quantiles
 
 
@@ -56,7 +57,7 @@ def calibrated_intervals(oof: DataFrame, test_year: int, years: list[int], group
     joined = oof.join(overall, "year", "left").join(own, ["year", group], "left")
     low = F.col("yhat") + F.coalesce("own_lo", "all_lo")
     return joined.withColumns({
-        "lo": F.when(low.isNotNull(), F.greatest(low, F.lit(0.0))), "hi": F.col("yhat") + F.coalesce("own_hi", "all_hi"),
+        "lo": at_least(low, 0.0), "hi": F.col("yhat") + F.coalesce("own_hi", "all_hi"),
     }).drop("own_lo", "own_hi", "all_lo", "all_hi")
 
 

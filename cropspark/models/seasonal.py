@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cropspark.functions import dates as D
+from cropspark.functions.numeric import at_least
 from cropspark.operators import windows as W
 
 SEASON = 12
@@ -60,6 +61,6 @@ def seasonal_forecast(months: DataFrame, steps: int = 6, min_months: int = 24) -
     ready = whole.join(sizes, key, "left_semi").select(*key, F.col("period").cast("int").alias("period"), "value")
     out = ready.groupBy(*key).applyInPandas(
         _forecaster(steps), "town_id int, measure string, period int, horizon int, value double, method string")
-    floor = F.when(F.col("measure") == "rain_mm", F.greatest("value", F.lit(0.0))).otherwise(F.col("value"))
+    floor = F.when(F.col("measure") == "rain_mm", at_least(F.col("value"), 0.0)).otherwise(F.col("value"))
     return out.select("town_id", "measure", D.month_index_year(F.col("period")).alias("year"),
                       D.month_index_month(F.col("period")).alias("month"), "horizon", floor.alias("value"), "method")

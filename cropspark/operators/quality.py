@@ -104,10 +104,9 @@ def validate_table(df: DataFrame, module: str, not_null_columns: list[str] = (),
 
 def indicator(name: str, value: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """A one-value query with its thresholds and state."""
-    column = value.columns[0]
-    return value.select(
-        F.lit(name).alias("indicator"), F.col(column).cast("double").alias("value"),
-        R.threshold_state(F.col(column), F.lit(low).cast("double"), F.lit(high).cast("double")).alias("state"))
+    return value.toDF("value").select(
+        F.lit(name).alias("indicator"), F.col("value").cast("double").alias("value"),
+        R.threshold_state(F.col("value"), F.lit(low).cast("double"), F.lit(high).cast("double")).alias("state"))
 
 
 def source_audit(reports: DataFrame, rows: str, duplicates: str, completeness: str, low_below: float = 80) -> DataFrame:

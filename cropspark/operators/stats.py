@@ -127,7 +127,7 @@ def holm(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     order = Window.partitionBy(*by).orderBy(p, "group1", "group2")
     whole = Window.partitionBy(*by)
     step = (F.count(F.lit(1)).over(whole) - F.row_number().over(order) + 1) * F.col(p)
-    raised = df.withColumn("_step", F.least(step, F.lit(1.0)))
+    raised = df.withColumn("_step", F.when(step > 1, 1.0).otherwise(step))
     adjusted = F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return raised.withColumn("p_adjusted", adjusted).withColumn("significant", F.col("p_adjusted") <= 0.05).drop("_step")
 

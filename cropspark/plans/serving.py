@@ -43,7 +43,7 @@ def scenario_projection(predictions: DataFrame) -> DataFrame:
     rows = rows.withColumn("shift", scenario_shift(F.col("predicted"), F.col("enso"), F.col("rain")))
     return rows.withColumns({
         "projected": F.col("predicted") + F.col("shift"),
-        "projected_low": F.greatest(F.col("low") + F.col("shift"), F.lit(0.0)), "projected_high": F.col("high") + F.col("shift")})
+        "projected_low": N.at_least(F.col("low") + F.col("shift"), 0.0), "projected_high": F.col("high") + F.col("shift")})
 
 
 def prediction_lookup(predictions: DataFrame, requests: DataFrame) -> DataFrame:

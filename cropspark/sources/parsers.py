@@ -67,8 +67,10 @@ def station_days(df: DataFrame, ids: list[str], document: str) -> DataFrame:
     """``{"daily": {"time": [...], variable: [...]}}`` to one row per day."""
     fields = ", ".join(f"{v}: ARRAY<DOUBLE>" for v in DAILY_VARIABLES)
     daily = F.from_json(F.get_json_object(document, "$.daily"), f"STRUCT<time: ARRAY<STRING>, {fields}>")
-    rows = df.select(*ids, daily.alias("d")).select(
-        *ids, F.explode(F.arrays_zip(*[F.col(f"d.{c}").alias(c) for c in ("time", *DAILY_VARIABLES)])).alias("r"))
+    none = F.array().cast("array<double>")  # a variable the document lacks
+    columns = [F.col("d.time").alias("time"), *[F.coalesce(F.col(f"d.{v}"), none).alias(v) for v in DAILY_VARIABLES]]
+    rows = df.select(*ids, daily.alias("d")).select(*ids, *columns).select(
+        *ids, F.explode(F.arrays_zip("time", *DAILY_VARIABLES)).alias("r"))
     return rows.select(*ids, F.try_to_date("r.time", "yyyy-MM-dd").alias("day"),
                        *[F.col(f"r.{v}").alias(c) for v, c in DAILY_VARIABLES.items()])
 

@@ -7,7 +7,7 @@ nothing. The file source remembers paths, so a republished file needs a new name
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def merge_sink(table: str, log: str, source: str, transform: Callable[[DataFrame
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        started = datetime.utcnow()
+        started = datetime.now(UTC)
         incoming = transform(batch)
         stored = M.read_current(spark, table)
         target = stored if stored is not None else incoming.limit(0)
@@ -58,7 +58,7 @@ def log_run(spark: SparkSession, log: str, source: str, started: datetime, statu
             max_day=None, error: str | None = None) -> None:
     """Append one closed run."""
     schema = "source string, started_at timestamp, finished_at timestamp, status string, new_rows long, max_day date, error string"
-    row = [(source, started, datetime.utcnow(), status, new_rows, max_day, error)]
+    row = [(source, started, datetime.now(UTC), status, new_rows, max_day, error)]
     spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(log)
 
 

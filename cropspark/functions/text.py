@@ -30,7 +30,9 @@ ACCENTED, PLAIN = _accent_pairs()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    """Drop accents and other combining marks. Plain ASCII text, the common case, passes untouched."""
+    stripped = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), stripped).otherwise(c)
 
 
 def strip(c: Column) -> Column:

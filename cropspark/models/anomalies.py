@@ -54,7 +54,9 @@ def _grower(trees: int, seed: int):
             np.minimum.at(lo, cell.ravel(), v.ravel())
             np.maximum.at(hi, cell.ravel(), v.ravel())
             lo, hi = lo.reshape(trees, width), hi.reshape(trees, width)
-            cut = np.where(hi > lo, lo + rng.random((trees, width)) * (hi - lo), np.inf)
+            wide = hi > lo  # false where no row or only equal values arrived
+            low, span = np.where(wide, lo, 0.0), np.where(wide, hi, 0.0) - np.where(wide, lo, 0.0)
+            cut = np.where(wide, low + rng.random((trees, width)) * span, np.inf)
             feature[:, start:start + width], threshold[:, start:start + width] = pick, cut
             node = 2 * node + 1 + (v > cut[tree, node - start])
         count = np.zeros((trees, 2 ** depth))

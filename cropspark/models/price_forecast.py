@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
@@ -30,8 +30,9 @@ def panel(daily: DataFrame, min_obs: int = K.FORECAST_MIN_OBS) -> DataFrame:
     """Weekday prices of series with enough observations: log price by business-day number, gaps of up to 3 days filled."""
     weekdays = daily.where(D.is_weekday(F.col("day")) & (F.col("price_avg") > 0)).select(
         *SERIES, D.business_index(F.col("day")).alias("idx"), F.log("price_avg").alias("log_price"))
-    enough = weekdays.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_obs).drop("_n")
-    kept = weekdays.join(enough, SERIES, "left_semi")
+    size = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
+    # Series by day is small next to the quotes behind it, and the panel reads it several times: write it once.
+    kept = materialise(weekdays.withColumn("_n", size).where(F.col("_n") >= min_obs).drop("_n"))
     ends = kept.agg(F.struct(F.min("idx").alias("lo"), F.max("idx").alias("hi"))).scalar()
     spanned = kept.withColumns({"panel_start": ends["lo"], "panel_end": ends["hi"]})
     return W.forward_fill(spanned, SERIES, "idx", "log_price", K.FORECAST_FFILL, "panel_end")

@@ -24,14 +24,13 @@ def rows_below(df: DataFrame, group: list[str], value: str, ranges: int = 64) ->
 def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int = 64) -> DataFrame:
     """The same for distinct values that already carry their number of rows ``n``; further columns are kept."""
     keys = list(group) or [_ALL]
-    base = counts if group else counts.withColumn(_ALL, F.lit(0))
+    # Read three times below; without the cut in lineage the whole upstream plan would run three times.
+    base = materialise(counts if group else counts.withColumn(_ALL, F.lit(0)))
     extra = [c for c in counts.columns if c not in (*group, value, "n")]
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    # Written once, so that the totals and the rows below use the same cut points.
-    cuts = materialise(base.groupBy(*keys).agg(F.percentile_approx(value, steps).alias("_cuts")))
-    placed = base.join(cuts, keys).withColumn(
-        "_range", F.size(F.filter(F.array_distinct("_cuts"), lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    # Also written once, so that the totals and the rows inside a range use the same cut points.
+    cuts = materialise(base.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps)).alias("_cuts")))
+    placed = _place(base.join(cuts, keys), "_cuts", value, "_range", ranges).drop("_cuts")
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     # At most ``ranges`` rows per group.
@@ -49,6 +48,17 @@ def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int
     return out if group else out.drop(_ALL)
 
 
+def _place(df: DataFrame, cuts: str, value: str, name: str, ranges: int) -> DataFrame:
+    """Number of cut points below the value, by binary search over the sorted array (get gives none past its end)."""
+    df = df.withColumn(name, F.lit(0))
+    step = 1 << (ranges - 1).bit_length() - 1
+    while step:
+        beyond = F.get(cuts, F.col(name) + (step - 1)) < F.col(value)
+        df = df.withColumn(name, F.col(name) + F.when(beyond, step).otherwise(0))
+        step //= 2
+    return df
+
+
 def average_rank() -> Column:
     """Rank of a row of :func:`rows_below`, ties sharing their mean rank."""
     return F.col("below") + (F.col("n") + 1) / 2

@@ -17,22 +17,36 @@ def _present(value: str | Column, *fields: str) -> Column:
     return F.when(value.isNotNull(), F.struct(value.alias("value"), *fields))
 
 
-def with_value_before(df: DataFrame, keys: list[str], day: str, value: str, name: str, at_least_days: int = 1,
-                      max_age_days: int | None = None) -> DataFrame:
-    """As-of lookup backwards: the last value at least so many days old and at most so many, and its day.
+def with_values_before(df: DataFrame, keys: list[str], day: str, value: str, lookups: dict[str, tuple[int, int | None]],
+                       last_flag: str | None = None) -> DataFrame:
+    """As-of lookups backwards: for each name the last value at least so many days old and at most so many, and its day.
 
-    A range frame over the series itself answers it in the sort the series needs anyway; nothing is joined.
+    Range frames over the series itself answer them; nothing is joined, and all lookups share one sort by day number.
+    ``last_flag`` marks the row of a series that nothing follows.
     """
-    lower = Window.unboundedPreceding if max_age_days is None else -max_age_days
-    frame = Window.partitionBy(*keys).orderBy(D.day_number(F.col(day))).rangeBetween(lower, -at_least_days)
-    found = F.last(_present(value, day), ignorenulls=True).over(frame)
-    return df.withColumn("_found", found).withColumns(
-        {name: F.col("_found.value"), f"{name}_day": F.col(f"_found.{day}")}).drop("_found")
+    order = Window.partitionBy(*keys).orderBy("_day_no")
+    out = df.withColumn("_day_no", D.day_number(F.col(day)))
+    columns = {}
+    for name, (at_least_days, max_age_days) in lookups.items():
+        lower = Window.unboundedPreceding if max_age_days is None else -max_age_days
+        columns[f"_{name}"] = F.last(_present(value, day), ignorenulls=True).over(order.rangeBetween(lower, -at_least_days))
+    if last_flag:
+        columns[last_flag] = F.lead("_day_no").over(order).isNull()
+    out = out.withColumns(columns)
+    found = {}
+    for name in lookups:
+        found |= {name: F.col(f"_{name}.value"), f"{name}_day": F.col(f"_{name}.{day}")}
+    return out.withColumns(found).drop("_day_no", *[f"_{name}" for name in lookups])
+
+
+def with_value_before(df: DataFrame, keys: list[str], day: str, value: str, name: str, at_least_days: int = 1,
+                      max_age_days: int | None = None) -> DataFrame:
+    return with_values_before(df, keys, day, value, {name: (at_least_days, max_age_days)})
 
 
 def value_at_offset(keys: list[str], position: str, value: str | Column, offset: int) -> Column:
     """Value exactly ``offset`` steps away on an integer axis; a gap gives none (unlike lag)."""
-    frame = Window.partitionBy(*keys).orderBy(F.col(position).cast("long")).rangeBetween(offset, offset)
+    frame = Window.partitionBy(*keys).orderBy(position).rangeBetween(offset, offset)
     return F.max(value).over(frame)
 
 
@@ -44,7 +58,7 @@ def prior_mean(keys: list[str], position: str, value: str) -> Column:
 
 def rolling(keys: list[str], position: str, value: str | Column, width: int, min_count: int, kind: str = "avg") -> Column:
     """Mean or sample deviation of the last ``width`` steps of an integer axis, when enough of them have a value."""
-    frame = Window.partitionBy(*keys).orderBy(F.col(position).cast("long")).rangeBetween(-(width - 1), 0)
+    frame = Window.partitionBy(*keys).orderBy(position).rangeBetween(-(width - 1), 0)
     measure = {"avg": F.avg, "std": F.stddev_samp}[kind]
     return F.when(F.count(value).over(frame) >= min_count, measure(value).over(frame))
 

@@ -32,10 +32,11 @@ def daily_prices(quotes: DataFrame, price: str = "price") -> DataFrame:
         F.min(price).alias("price_min"), F.max(price).alias("price_max"), F.avg(price).alias("price_avg"))
 
 
-def with_changes(daily: DataFrame, previous_max_age: int | None = None, week_max_age: int | None = None) -> DataFrame:
+def with_changes(daily: DataFrame, previous_max_age: int | None = None, week_max_age: int | None = None,
+                 last_flag: str | None = None) -> DataFrame:
     """Every day of every series with its previous and 7-day-old price and the percent changes."""
-    out = W.with_value_before(daily, SERIES, "day", "price_avg", "previous", 1, previous_max_age)
-    out = W.with_value_before(out, SERIES, "day", "price_avg", "week_ago", 7, week_max_age)
+    lookups = {"previous": (1, previous_max_age), "week_ago": (7, week_max_age)}
+    out = W.with_values_before(daily, SERIES, "day", "price_avg", lookups, last_flag)
     return out.withColumns({
         "change_day_pct": N.pct_change(F.col("price_avg"), F.col("previous")),
         "change_week_pct": N.pct_change(F.col("price_avg"), F.col("week_ago")),
@@ -43,9 +44,11 @@ def with_changes(daily: DataFrame, previous_max_age: int | None = None, week_max
 
 
 def current_price(daily: DataFrame, markets: DataFrame, products: DataFrame, as_of: Column) -> DataFrame:
-    """Latest price per series with the previous one, the one at least a week old, changes and days of delay."""
-    last = daily.groupBy(*SERIES).agg(F.max("day").alias("_last"))
-    rows = with_changes(daily).join(last, SERIES).where(F.col("day") == F.col("_last")).drop("_last")
+    """Latest price per series with the previous one, the one at least a week old, changes and days of delay.
+
+    The fact is read once: the latest row is found in the window that looks up the older prices.
+    """
+    rows = with_changes(daily, last_flag="_is_last").where("_is_last").drop("_is_last")
     return (
         rows.join(markets, "market_id").join(products, "product_id")
         .withColumn("days_late", F.datediff(as_of, F.col("day")))

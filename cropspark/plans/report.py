@@ -12,6 +12,7 @@ from cropspark.functions import numeric as N
 from cropspark.operators import ranking as Q
 from cropspark.operators import windows as W
 from cropspark.plans.prices import SERIES
+from cropspark.session import materialise
 
 ROW = ["product", "market", "department"]
 
@@ -24,8 +25,8 @@ def history_window(prices: DataFrame, day: date) -> DataFrame:
 def report_base(prices: DataFrame, day: date) -> DataFrame:
     """Series reporting on the day, with previous (up to 5 days) and week-ago (7 to 14 days) price and prior statistics."""
     window = history_window(prices, day)
-    out = W.with_value_before(window, SERIES, "day", "price_avg", "previous", 1, K.REPORT_MAX_PREVIOUS_DAYS)
-    out = W.with_value_before(out, SERIES, "day", "price_avg", "week_ago", 7, 14)
+    lookups = {"previous": (1, K.REPORT_MAX_PREVIOUS_DAYS), "week_ago": (7, 14)}
+    out = W.with_values_before(window, SERIES, "day", "price_avg", lookups)
     out = W.prior_stats(out, SERIES, "day", "price_avg", K.OUTLIER_WINDOW)
     return out.where(F.col("day") == F.lit(day)).withColumns({
         "change_day_pct": N.pct_change(F.col("price_avg"), F.col("previous")),
@@ -89,13 +90,13 @@ def outliers(base: DataFrame, k: int = K.OUTLIER_TOP) -> DataFrame:
 
 def report_document(prices: DataFrame, day: date) -> DataFrame:
     """The whole report as one JSON document; every list is bounded by a top-k, the products or the departments."""
-    base = report_base(prices, day)
+    base = materialise(report_base(prices, day))  # one row per reporting series, read by seven lists
 
     def packed(df: DataFrame, order: list) -> DataFrame:
         return df.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row")))).alias("r")).select(
             F.transform("r", lambda x: x["row"]))
 
-    moved = all_movers(base)
+    moved = materialise(all_movers(base))
     parts = {"coverage": coverage(prices, day).select(F.struct("*"))}
     for name in ("rises_day", "falls_day", "rises_week", "falls_week"):
         sign = F.col("change_pct") if name.startswith("falls") else -F.col("change_pct")

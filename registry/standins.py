@@ -11,6 +11,7 @@ from cropspark.operators import aggregate as A
 from cropspark.operators import windows as W
 from cropspark.plans import climate as CL
 from cropspark.plans import prices as P
+from cropspark.session import materialise
 from registry.base import CTES, table
 
 # --- prices -------------------------------------------------------------------------------------------
@@ -242,7 +243,8 @@ def oni(spark: SparkSession, sf: str) -> DataFrame:
 def enso(spark: SparkSession, sf: str) -> DataFrame:
     facts = CL.enso_facts(oni(spark, sf), regions(spark, sf))
     full = CL.with_indices(facts, CL.region_rain_indices(climate(spark, sf), towns(spark, sf)))
-    return full.withColumn("deficit_probability", 1 / (1 + F.exp("spi")))
+    # One row per month and region; most consumers read it more than once.
+    return materialise(full.withColumn("deficit_probability", 1 / (1 + F.exp("spi"))))
 
 
 def nino(spark: SparkSession, sf: str) -> DataFrame:

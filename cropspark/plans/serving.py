@@ -169,8 +169,8 @@ def compare_towns(predictions: DataFrame, alerts: DataFrame, towns: DataFrame, n
     yields = predictions.join(chosen.select("town_id"), "town_id", "left_semi").groupBy("town_id").agg(
         F.avg("predicted").alias("mean_predicted"), F.count_distinct("crop_id").alias("crops"))
     high = alerts.where(F.col("is_active") & (F.col("level") == "ALTO")).groupBy("town_id").agg(F.count(F.lit(1)).alias("high_alerts"))
-    return chosen.join(yields, "town_id", "left").join(high, "town_id", "left").withColumn(
-        "high_alerts", F.coalesce("high_alerts", F.lit(0)))
+    return chosen.join(yields, "town_id", "left").join(high, "town_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("crops", "high_alerts")})
 
 
 def recent_climate(climate: DataFrame, towns: DataFrame, town: str, k: int = 12) -> DataFrame:

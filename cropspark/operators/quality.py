@@ -124,3 +124,17 @@ def resolve_rate(df: DataFrame, code: str, warn_above: float = 5.0) -> DataFrame
     pct = missing / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100
     return df.agg(F.count(F.lit(1)).alias("total"), missing.alias("unresolved"), pct.alias("unresolved_pct"),
                   (pct > warn_above).alias("warn"))
+
+
+REPORT_FIELDS = ("source STRING, uri STRING, rows LONG, columns INT, completeness_pct MAP<STRING, DOUBLE>, key_duplicates LONG, "
+                 "extracted_at STRING")
+
+
+def sync_reports(stored: DataFrame, documents: DataFrame, document: str) -> DataFrame:
+    """Upsert extraction reports (JSON documents) by source; broken JSON and documents of another kind are ignored."""
+    from cropspark.operators.merge import upsert
+
+    parsed = documents.select(F.from_json(document, REPORT_FIELDS).alias("r")).select("r.*")
+    valid = parsed.where(F.col("source").isNotNull() & F.col("rows").isNotNull() & F.col("completeness_pct").isNotNull())
+    packed = valid.withColumn("completeness_pct", F.to_json("completeness_pct"))
+    return upsert(stored, packed, ["source"], ["extracted_at"])

@@ -30,7 +30,8 @@ def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     # Also written once, so that the totals and the rows inside a range use the same cut points.
     cuts = materialise(base.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps)).alias("_cuts")))
-    placed = _place(base.join(cuts, keys), "_cuts", value, "_range", ranges).drop("_cuts")
+    with_cuts = base.join(cuts, keys) if group else base.withColumn("_cuts", cuts.select("_cuts").scalar())
+    placed = _place(with_cuts, "_cuts", value, "_range", ranges).drop("_cuts")
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     # At most ``ranges`` rows per group.

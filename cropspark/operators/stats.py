@@ -1,7 +1,7 @@
 """Comparison of groups: Welch, Levene, Kruskal-Wallis, Mann-Whitney with Holm.
 
 Everything is sums over groups and distinct values, so samples of any size stay distributed. ``by`` names the comparison a
-row belongs to, so several comparisons run in one plan. Only the final rows, one per comparison or pair, meet Python, for
+row belongs to (at least one column), so several comparisons run in one plan. Only the final rows, one per comparison or pair, meet Python, for
 the tail probabilities that Spark has no function for.
 """
 
@@ -85,7 +85,7 @@ def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     sums = (per_value.join(ranks, [*by, value]).groupBy(*by, group)
             .agg(F.sum(F.col("c") * F.col("r")).alias("R"), F.sum("c").alias("n")))
     total = sums.groupBy(*by).agg(F.sum(F.col("R") * F.col("R") / F.col("n")).alias("S"), F.count(F.lit(1)).alias("k"))
-    joined = total.join(ties, by) if by else total.withColumn("_j", F.lit(0)).join(ties.withColumn("_j", F.lit(0)), "_j")
+    joined = total.join(ties, by)
     N = F.col("N").cast("double")
     raw = 12 / (N * (N + 1)) * F.col("S") - 3 * (N + 1)
     h = raw / F.nullif(1 - F.col("ties") / (N * N * N - N), F.lit(0.0))
@@ -102,8 +102,7 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
     counts = kept.groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("c"))
     levels = kept.select(*by, group).distinct()
     a, b = levels.withColumnRenamed(group, "group1"), levels.withColumnRenamed(group, "group2")
-    pairs = (a.join(b, by) if by else a.withColumn("_j", F.lit(0)).join(b.withColumn("_j", F.lit(0)), "_j").drop("_j"))
-    pairs = pairs.where(F.col("group1") < F.col("group2"))
+    pairs = a.join(b, by).where(F.col("group1") < F.col("group2"))
     member = pairs.withColumn(group, F.explode(F.array("group1", "group2")))
     spread = counts.join(member, [*by, group])
     keys = [*by, "group1", "group2"]

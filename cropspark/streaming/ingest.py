@@ -1,4 +1,4 @@
-"""File stream of prices into a versioned table, late data, run log, daily roll-up as a stream.
+"""File stream of prices into a table by month, late data, run log, daily roll-up as a stream.
 
 The sink is exactly-once because the merge is idempotent: a replayed batch finds its rows already stored and changes
 nothing. The file source remembers paths, so a republished file needs a new name (with its publication time).
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropspark.operators import merge as M
@@ -35,25 +35,27 @@ def drop_repeats(stream: DataFrame, day: str, key: list[str], values: list[str])
     return timed.dropDuplicatesWithinWatermark([*key, *values, "_event"]).drop("_event")
 
 
-def merge_sink(table: str, log: str, source: str, transform: Callable[[DataFrame], DataFrame], partition_by: list[str] = ()):
-    """foreachBatch function: transform the batch, merge by precedence into the table's next version, append to the run log."""
+def merge_sink(table: str, log: str, source: str, transform: Callable[[DataFrame], DataFrame]):
+    """foreachBatch function: transform the batch, merge it by precedence into the months it touches, append to the run log."""
+
+    def merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+        merged = M.upsert_by_precedence(stored, incoming, FACT_KEY, "price_avg", "price_min", "price_max", "source")
+        return _with_month(merged)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        started = datetime.now(UTC)
-        incoming = transform(batch)
-        stored = M.read_current(spark, table)
-        target = stored if stored is not None else incoming.limit(0)
-        merged = M.upsert_by_precedence(target, incoming, FACT_KEY, "price_avg", "price_min", "price_max", "source")
+        spark, started = batch.sparkSession, datetime.now(UTC)
+        merged = M.merge_touched_partitions(spark, table, _with_month(transform(batch)), "year_month", merge)
         changed = F.col("change_type").isin(M.INSERTED, M.CHANGED)
-        seen = Observation(f"merge-{batch_id}")
-        watched = merged.observe(seen, F.count_if(changed).alias("new_rows"), F.max("day").alias("max_day"))
-        M.write_version(watched.drop("change_type"), table, list(partition_by))
-        log_run(spark, log, source, started, "ok", seen.get["new_rows"], seen.get["max_day"])
+        seen = merged.agg(F.count_if(changed).alias("new_rows"), F.max("day").alias("max_day")).first()
+        log_run(spark, log, source, started, "ok", seen.new_rows, seen.max_day)
 
     return write
 
 
+def _with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("year_month", F.date_format("day", "yyyy-MM"))
+
+
 def log_run(spark: SparkSession, log: str, source: str, started: datetime, status: str, new_rows: int | None = None,
             max_day=None, error: str | None = None) -> None:
     """Append one closed run."""

@@ -188,7 +188,7 @@ def _scratch(spark, name: str) -> str:
 @query("stream_ingest", {"market_id": "i", "product_id": "s", "day": "d", "price_min": "f", "price_max": "f", "price_avg": "f", "source": "s"}, """
 SELECT market_id, product_id, day, price_min, price_max, price_avg, 'soap' AS source FROM daily""")
 def _(spark, sf):
-    """The quotes file as a stream, merged by precedence into a versioned table; the table is the result."""
+    """The quotes file as a stream, merged by precedence into a table by month; the table is the result."""
     base = _scratch(spark, "prices")
     schema = table(spark, sf, "lineitem").schema
     stream = IN.file_stream(spark, sf, schema, "parquet", "lineitem.parquet")
@@ -202,7 +202,7 @@ def _(spark, sf):
         return P.daily_prices(quotes).withColumn("source", F.lit("soap"))
 
     IN.run_available(stream, IN.merge_sink(f"{base}/fact", f"{base}/log", "feed", transform), f"{base}/checkpoint")
-    return M.read_current(spark, f"{base}/fact")
+    return spark.read.parquet(f"{base}/fact")
 
 
 @query("stream_daily_rollup", {"event_type": "s", "day": "d", "mean": "f", "n": "i"}, """

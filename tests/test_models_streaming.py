@@ -226,7 +226,8 @@ def test_stream_ingest_is_idempotent_and_takes_revisions(spark, tmp_path):
     def run():
         stream = IN.file_stream(spark, str(landing), ", ".join(f"{f} string" for f in X.PRICE_FIELDS), "json")
         IN.run_available(stream, IN.merge_sink(table, log, "feed", transform), str(tmp_path / "checkpoint"))
-        return {(r.market_id, r.product_id, r.day): r.price_avg for r in M.read_current(spark, table).collect()}
+        spark.catalog.refreshByPath(table)
+        return {(r.market_id, r.product_id, r.day): r.price_avg for r in spark.read.parquet(table).collect()}
 
     land(landing, "a-1.json", [quote("M", "Papa", "2026-01-05", 100), quote("M", "Papa", "2026-01-06", 110)])
     first = run()
@@ -234,8 +235,12 @@ def test_stream_ingest_is_idempotent_and_takes_revisions(spark, tmp_path):
     assert run() == first
     land(landing, "a-2.json", [quote("M", "Papa", "2026-01-05", 100), quote("M", "Papa", "2026-01-06", 120), quote("M", "Yuca", "2026-01-01", 5)])
     assert run() == {**first, ("M", "PAPA", date(2026, 1, 6)): 120.0, ("M", "YUCA", date(2026, 1, 1)): 5.0}
+    land(landing, "a-3.json", [quote("M", "Papa", "2026-02-01", 7)])
+    untouched = {p.name for p in (tmp_path / "fact" / "year_month=2026-01").glob("*.parquet")}
+    assert len(run()) == 4
+    assert untouched == {p.name for p in (tmp_path / "fact" / "year_month=2026-01").glob("*.parquet")}
     runs = spark.read.parquet(log).orderBy("started_at").collect()
-    assert [(r.new_rows, r.status) for r in runs] == [(2, "ok"), (2, "ok")]
+    assert [(r.new_rows, r.status) for r in runs] == [(2, "ok"), (2, "ok"), (1, "ok")]
     assert runs[0].max_day == date(2026, 1, 6)
 
 

@@ -331,3 +331,13 @@ def test_missing_months_and_due(spark):
     runs = spark.createDataFrame([("s", "ok", DAY), ("s", "error", DAY + timedelta(days=9))], "source string, status string, max_day date")
     assert IN.newer_data(fact, runs, "s").first().is_due is True
     assert IN.newer_data(fact, runs, "never").first().is_due is True
+
+
+def test_report_sync_ignores_foreign_and_broken_documents(spark):
+    good = '{"source":"s","uri":"u","rows":3,"columns":2,"completeness_pct":{"a":100.0},"key_duplicates":0,"extracted_at":"2026-01-01T00:00:00Z"}'
+    docs = spark.createDataFrame([(good,), ('{"other":1}',), ("{broken",)], "d string")
+    schema = "source string, uri string, rows long, columns int, completeness_pct string, key_duplicates long, extracted_at string"
+    once = QC.sync_reports(spark.createDataFrame([], schema), docs, "d")
+    assert [(r.source, r.rows, r.completeness_pct, r.change_type) for r in once.collect()] == [("s", 3, '{"a":100.0}', "inserted")]
+    again = QC.sync_reports(once.drop("change_type"), docs, "d")
+    assert [r.change_type for r in again.collect()] == ["same"]

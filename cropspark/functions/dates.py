@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def day_number(c: Column) -> Column:
     return F.unix_date(c.cast("date")).cast("long")
 
 
+def moment(when: datetime) -> Column:
+    """A wall-clock literal that does not depend on the session's or the driver's time zone."""
+    return F.lit(when.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def is_weekday(c: Column) -> Column:
     return F.weekday(c) < 5
 

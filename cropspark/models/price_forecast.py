@@ -171,5 +171,5 @@ def reusable_backtest(registry: DataFrame, name: str, as_of: datetime) -> DataFr
     """The active version of the model when it is young enough to be used again."""
     from cropspark.operators.merge import active_versions
 
-    oldest = F.lit(as_of) - F.make_dt_interval(F.lit(K.BACKTEST_MAX_AGE_DAYS))
+    oldest = D.moment(as_of) - F.make_dt_interval(F.lit(K.BACKTEST_MAX_AGE_DAYS))
     return active_versions(registry).where((F.col("model_name") == name) & (F.col("trained_at") > oldest))

@@ -165,16 +165,16 @@ def run_freshness(runs: DataFrame, daily: DataFrame, as_of: datetime, stages: li
 
     ``runs`` also holds earlier notices, as source 'notice:<key>'.
     """
-    today = F.lit(as_of).cast("date")
+    today = D.moment(as_of).cast("date")
     delay = D.business_days_half_open(F.col("max_day"), today)
     late = daily.agg(F.max("day").alias("max_day")).where(delay > K.MAX_PRICE_DELAY_BDAYS).select(
         F.lit("prices_late").alias("key"), F.format_string("last price %s, %d business days late", F.col("max_day").cast("string"), delay).alias("detail"))
     good = runs.where((F.col("status") == "ok") & F.col("source").isin(*stages)).groupBy("source").agg(
         F.max(F.coalesce("finished_at", "started_at")).alias("last_ok"))
-    old = good.where(F.col("last_ok") < F.lit(as_of) - F.make_dt_interval(F.lit(K.MAX_STAGE_AGE_DAYS))).select(
+    old = good.where(F.col("last_ok") < D.moment(as_of) - F.make_dt_interval(F.lit(K.MAX_STAGE_AGE_DAYS))).select(
         F.concat("source", F.lit("_late")).alias("key"),
         F.concat(F.lit("last good run "), F.date_format("last_ok", "yyyy-MM-dd")).alias("detail"))
     sent = runs.where(F.col("source").startswith("notice:")
-                      & (F.col("started_at") > F.lit(as_of) - F.make_dt_interval(hours=F.lit(K.HOURS_BETWEEN_NOTICES)))
+                      & (F.col("started_at") > D.moment(as_of) - F.make_dt_interval(hours=F.lit(K.HOURS_BETWEEN_NOTICES)))
                       ).select(F.substring_index("source", "notice:", -1).alias("key"))
     return late.unionByName(old).join(sent, "key", "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cropspark import constants as K
 from cropspark.functions import collections as FC
+from cropspark.functions import dates as D
 from cropspark.functions import numeric as N
 from cropspark.functions import rules as R
 from cropspark.functions import text as T
@@ -212,7 +213,7 @@ def recommendation(pairs: DataFrame, suitability: DataFrame, enso: DataFrame, al
 def system_state(runs: DataFrame, as_of: datetime) -> DataFrame:
     """Per source: last state and time, last good run, newest data day, errors of the last 24 hours. One aggregate."""
     ok = F.col("status") == "ok"
-    recent = (F.col("status") == "error") & (F.col("started_at") > F.lit(as_of) - F.expr("INTERVAL 24 HOURS")) & (F.col("started_at") <= F.lit(as_of))
+    recent = (F.col("status") == "error") & (F.col("started_at") > D.moment(as_of) - F.expr("INTERVAL 24 HOURS")) & (F.col("started_at") <= D.moment(as_of))
     return runs.where(~F.col("source").startswith("notice:")).groupBy("source").agg(
         F.max_by("status", F.struct("started_at", "event_id")).alias("last_status"), F.max("started_at").alias("last_start"),
         F.max(F.when(ok, F.col("finished_at"))).alias("last_ok"), F.max(F.when(ok, F.col("max_day"))).alias("max_day"),
@@ -222,7 +223,7 @@ def system_state(runs: DataFrame, as_of: datetime) -> DataFrame:
 def price_runs_state(runs: DataFrame, feeds: list[str], as_of: datetime) -> DataFrame:
     """Per feed: last check, last good load, last load that changed rows, errors of the last 24 hours."""
     ok = F.col("status") == "ok"
-    recent = (F.col("status") == "error") & (F.col("started_at") > F.lit(as_of) - F.expr("INTERVAL 24 HOURS"))
+    recent = (F.col("status") == "error") & (F.col("started_at") > D.moment(as_of) - F.expr("INTERVAL 24 HOURS"))
     return runs.where(F.col("source").isin(*feeds)).groupBy("source").agg(
         F.max("started_at").alias("last_check"), F.max(F.when(ok, F.col("finished_at"))).alias("last_ok"),
         F.max(F.when(ok & (F.col("new_rows") > 0), F.col("finished_at"))).alias("last_change"),

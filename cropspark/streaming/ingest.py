@@ -75,6 +75,11 @@ def daily_means(stream: DataFrame, event_time: str, keys: list[str], value: str)
         F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def window_day(window: str = "window"):
+    """Day of a one-day window; windows start at midnight UTC whatever the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(f"{window}.start")) / 86400).cast("int"))
+
+
 def version_sink(table: str, select: Callable[[DataFrame], DataFrame]):
     """foreachBatch function for complete-mode results: each batch is the table's next version."""
 
@@ -101,5 +106,5 @@ def missing_months(present: DataFrame, first: str, last: str) -> DataFrame:
 
 def reprocess_window(raw: DataFrame, day: str, as_of, days: int = 7) -> DataFrame:
     """Rows of the last days, read again on every run so that late and revised rows arrive."""
-    return raw.where(F.col(day) >= F.date_sub(F.lit(as_of), days))
+    return raw.where(F.col(day) >= F.date_sub(F.lit(str(as_of)[:10]).cast("date"), days))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -88,7 +88,7 @@ SELECT o_orderkey, LEN(LIST_FILTER(GENERATE_SERIES(d, TIMESTAMP '2001-09-01' - I
        CAST(LIST_FILTER(GENERATE_SERIES(d, d + INTERVAL 3 DAY, INTERVAL 1 DAY), lambda x: ISODOW(x) < 6)[1] AS DATE) AS next_weekday
 FROM (SELECT o_orderkey, DATE_TRUNC('day', o_orderdate) AS d FROM orders)""")
 def _(spark, sf):
-    d, end = F.to_date("o_orderdate"), F.lit(datetime(2001, 9, 1)).cast("date")
+    d, end = F.to_date("o_orderdate"), F.lit(date(2001, 9, 1))
     return table(spark, sf, "orders").select(
         "o_orderkey", D.business_days_half_open(d, end).alias("half_open"), D.business_days_after(d, end).alias("after"),
         D.business_date(D.business_index(d)).alias("next_weekday"))

@@ -210,9 +210,11 @@ SELECT event_type, CAST(ts AS DATE) AS day, AVG(value) AS mean, COUNT(*) AS n FR
 def _(spark, sf):
     base = _scratch(spark, "rollup")
     stream = IN.file_stream(spark, sf, table(spark, sf, "events").schema, "parquet", "events.parquet")
-    timed = stream.select("event_type", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("event_time"), "value")
+    # A watermark needs an instant, not a wall-clock time: take the instant that reads the same in UTC, in any session zone.
+    instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    timed = stream.select("event_type", instant.alias("event_time"), "value")
     means = IN.daily_means(timed, "event_time", ["event_type"], "value")
-    sink = IN.version_sink(f"{base}/table", lambda b: b.select("event_type", F.to_date("window.start").alias("day"), "mean", "n"))
+    sink = IN.version_sink(f"{base}/table", lambda b: b.select("event_type", IN.window_day().alias("day"), "mean", "n"))
     IN.run_available(means, sink, f"{base}/checkpoint", "complete")
     return M.read_current(spark, f"{base}/table")
 

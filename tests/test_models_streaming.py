@@ -262,7 +262,7 @@ def test_daily_means_count_late_rows(spark, tmp_path):
 
     def run():
         stream = IN.file_stream(spark, str(landing), "ts timestamp, k string, v double", "json")
-        sink = IN.version_sink(table, lambda b: b.select("k", F.to_date("window.start").alias("day"), "mean", "n"))
+        sink = IN.version_sink(table, lambda b: b.select("k", IN.window_day().alias("day"), "mean", "n"))
         IN.run_available(IN.daily_means(stream, "ts", ["k"], "v"), sink, str(tmp_path / "c"), "complete")
         return {r.day: (r["mean"], r.n) for r in M.read_current(spark, table).collect()}
 

@@ -142,9 +142,16 @@ def write_version(df: DataFrame, base: str, partition_by: list[str] = ()) -> int
     return number
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Overwrite only the partitions that occur in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str], cluster_by: list[str] = ()) -> None:
+    """Overwrite only the partitions that occur in ``df``.
+
+    With ``cluster_by`` rows are first ranged by partition and these columns: a task then writes few partitions, a large
+    partition is written by several tasks, and files cover narrow key ranges.
+    """
+    if cluster_by:
+        order = [*partition_by, *cluster_by]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -153,7 +160,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def merge_touched_partitions(spark: SparkSession, path: str, incoming: DataFrame, partition: str,
-                             merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+                             merge: Callable[[DataFrame, DataFrame], DataFrame], cluster_by: list[str] = ()) -> DataFrame:
     """Merge into a partitioned table, reading and rewriting only the partitions the new rows fall into.
 
     ``merge(stored, incoming)`` returns the new rows of those partitions with ``change_type``; its result is also returned.
@@ -167,7 +174,7 @@ def merge_touched_partitions(spark: SparkSession, path: str, incoming: DataFrame
     else:
         stored = incoming.limit(0)
     merged = materialise(merge(stored, incoming))
-    replace_partitions(merged.drop("change_type"), path, [partition])
+    replace_partitions(merged.drop("change_type"), path, [partition], cluster_by)
     return merged
 
 

@@ -15,15 +15,22 @@ from cropspark.session import materialise
 _ALL = "_all"
 
 
-def rows_below(df: DataFrame, group: list[str], value: str, ranges: int = 64) -> DataFrame:
+def _default_ranges(df: DataFrame) -> int:
+    """As many value ranges per group as shuffle tasks, between 64 and 1024, as a power of two."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << (min(max(tasks, 64), 1024) - 1).bit_length()
+
+
+def rows_below(df: DataFrame, group: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """One row per distinct value: ``n`` rows hold it, ``below`` hold a smaller one, ``total`` are in the group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     return below_of_counts(counts, group, value, ranges)
 
 
-def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int = 64) -> DataFrame:
+def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """The same for distinct values that already carry their number of rows ``n``; further columns are kept."""
     keys = list(group) or [_ALL]
+    ranges = ranges or _default_ranges(counts)
     # Read three times below; without the cut in lineage the whole upstream plan would run three times.
     base = materialise(counts if group else counts.withColumn(_ALL, F.lit(0)))
     extra = [c for c in counts.columns if c not in (*group, value, "n")]

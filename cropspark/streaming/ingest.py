@@ -44,7 +44,7 @@ def merge_sink(table: str, log: str, source: str, transform: Callable[[DataFrame
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, started = batch.sparkSession, datetime.now(UTC)
-        merged = M.merge_touched_partitions(spark, table, _with_month(transform(batch)), "year_month", merge)
+        merged = M.merge_touched_partitions(spark, table, _with_month(transform(batch)), "year_month", merge, ["product_id", "market_id"])
         changed = F.col("change_type").isin(M.INSERTED, M.CHANGED)
         seen = merged.agg(F.count_if(changed).alias("new_rows"), F.max("day").alias("max_day")).first()
         log_run(spark, log, source, started, "ok", seen.new_rows, seen.max_day)

@@ -161,6 +161,15 @@ def test_rows_below_with_ties(spark):
     assert got == {1.0: (2, 0, 6), 2.0: (1, 2, 6), 3.0: (3, 3, 6)}
 
 
+@pytest.mark.parametrize("ranges", [2, 64, 1024])
+def test_rows_below_for_any_number_of_ranges(spark, ranges):
+    rng = np.random.default_rng(9)
+    values = np.round(rng.exponential(50, 2500), 1)
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double").repartition(4)
+    got = {r.v: (r.n, r.below) for r in RK.rows_below(df, ["g"], "v", ranges).collect()}
+    assert got == {v: (int((values == v).sum()), int((values < v).sum())) for v in set(values.tolist())}
+
+
 def test_dense_codes_and_surrogate_keys(spark):
     names = [f"n{i:03d}" for i in range(300)]
     shuffled = names * 2

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cropspark import constants as K
 from cropspark.functions import dates as D
 from cropspark.functions import numeric as N
 from cropspark.functions import rules as R

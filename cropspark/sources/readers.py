@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +91,14 @@ def read_relation(spark: SparkSession, url: str, query: str, partition: tuple[st
 
 def table_or_none(spark: SparkSession, name: str) -> DataFrame | None:
     return spark.table(name) if spark.catalog.tableExists(name) else None
+
+
+def read_price_fact(spark: SparkSession, path: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Price fact by month; day bounds also bound the month folders, so other months are not opened."""
+    df = spark.read.parquet(path)
+    month = F.col("year_month").cast("string")
+    if since:
+        df = df.where((F.col("day") >= F.lit(since)) & (month >= since.strftime("%Y-%m")))
+    if until:
+        df = df.where((F.col("day") <= F.lit(until)) & (month <= until.strftime("%Y-%m")))
+    return df

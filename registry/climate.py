@@ -15,6 +15,7 @@ from cropspark.operators import windows as W
 from cropspark.plans import climate as CL
 from cropspark.plans import features as FS
 from cropspark.plans import prices as P
+from cropspark.session import materialise
 from registry import standins as S
 from registry.base import CTES, query, table
 
@@ -322,7 +323,8 @@ WINDOW w AS (PARTITION BY b.town_id, b.crop_id ORDER BY b.year ROWS BETWEEN UNBO
 def _(spark, sf):
     store = feature_store(spark, sf).withColumn("_town", F.col("town_id").cast("string"))
     present = S.lots(spark, sf).select("town_id")  # codes count the towns that have rows
-    towns = S.towns(spark, sf).join(present, "town_id", "left_semi").withColumn("_town", F.col("town_id").cast("string"))
+    towns = materialise(
+        S.towns(spark, sf).join(present, "town_id", "left_semi").withColumn("_town", F.col("town_id").cast("string")))
     return store.join(RK.dense_codes(towns, "_town", "town_code"), "_town").join(
         RK.dense_codes(towns, "department", "department_code"), "department")
 

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cropspark.llm import language, license
 from cropspark.llm.common import table
+from cropspark.llm.decontaminate import contaminated
 from cropspark.llm.huffman import encoded_ids
+from cropspark.llm.jaccard import similar_documents
 from cropspark.llm.packing import pack
 from cropspark.llm.sharding import byte_shards
 
@@ -20,12 +23,24 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_ecoc_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    return language.predict(table(spark, sf, "documents"))
+
+
 @query
 def op3_huffman_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document, written as Huffman blocks and read back."""
     return encoded_ids(table(spark, sf, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_license_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """License statements of every document."""
+    return license.scan(table(spark, sf, "documents"))
+
+
 @query
 def op5_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Sixteen contiguous shards of near-equal bytes."""
@@ -36,3 +51,15 @@ def op5_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return pack(table(spark, sf, "documents"), 1024)
+
+
+@query
+def op9_token_group_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9."""
+    return similar_documents(table(spark, sf, "documents"), 3, 90)
+
+
+@query
+def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the benchmark items they hold."""
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cropspark.llm import language, license
 from cropspark.llm.common import table
+from cropspark.llm.covertree import linked_vectors
 from cropspark.llm.decontaminate import contaminated
 from cropspark.llm.huffman import encoded_ids
 from cropspark.llm.jaccard import similar_documents
 from cropspark.llm.packing import pack
 from cropspark.llm.sharding import byte_shards
+from cropspark.llm.urls import ORACLE_SQL as URL_SQL
+from cropspark.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +50,21 @@ def op5_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return byte_shards(table(spark, sf, "documents"), 16)
 
 
+@query
+def op6_cover_tree_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors linked by a cosine of at least 0.9, and their components."""
+    return linked_vectors(table(spark, sf, "embeddings"), 0.9)
+
+
+@query
+def op7_bloom_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return judge_urls(table(spark, sf, "pages"))
+
+
+ORACLE["op7_bloom_cascade"] = URL_SQL
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""

@@ -2,13 +2,13 @@
 
 1. Shingle sets become sorted 64-bit hashes; documents with equal sets form a class and go on as one.
 2. Tokens get one global order, from rare to frequent: frequent ones are found by counting, where any miscount changes the cost but never the
-   result. If two sets link, the rarest tokens of each (its prefix) have one in common. A document whose prefix tokens stand in no other
-   prefix is done.
+   result. If two sets link, the rarest tokens of each (its prefix) have one in common, and the place of the first such token bounds
+   their overlap. A document without such a token is done; only the others' sets are written.
 3. Partition: documents with a common minimum hash meet the most typical of them (fewest rare tokens). Those that link with it form
    a group around it, with the largest distance as its radius; all others are groups of their own.
-4. Token-group matrix: for each group the union of its members' prefix tokens, with the most that may follow a token (``rem``) and
-   the sizes. A token bounds the overlap of any member of one group with any of another by the smaller ``rem``. Group pairs without a token
-   that allows the overlap the threshold needs are never opened.
+4. Token-group matrix: for each group the union of its members' prefix tokens, each with the sizes of its members and the
+   largest partner that the token's place in their order allows. Group pairs without a token that allows the overlap which the threshold
+   needs are never opened.
 5. Centres of the remaining pairs are compared. They link, or the triangle inequality of the Jaccard distance rules out every pair of
    members, or the pair is opened: members that share a token with a sufficient bound are compared. Only pairs of groups in different
    components are opened, since a link inside a component changes nothing.
@@ -32,7 +32,9 @@ from cropspark.llm.graph import components
 COUNTED, LEAST = 4_000_000, 3
 #: Most frequent tokens that are told apart in the order; the others count as equally rare.
 FREQUENT = 1 << 20
-KEYS = 3
+KEYS = 2
+#: Posting lists up to this length tell which documents have a partner at all; in a longer one all documents may.
+SHORT = 32
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -71,29 +73,39 @@ def frequent_tokens(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 def signatures(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``doc_id, n, s1, s2, light, keys, prefix``: size and checksums of the set, share of rare tokens, minimum hashes, rarest tokens."""
     frequent, counts = frequent_tokens(texts, shingle)
-    salts = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, KEYS + 1)]
+    salts = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(KEYS)]
+    low, top = np.uint64((1 << 24) - 1), np.uint64((1 << 24) - 1)
+    marks = np.unique((frequent & low).astype(np.int64))
     schema = "doc_id long, n long, s1 long, s2 long, light double, keys array<long>, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(1 << 24, bool)
+        marked[marks] = True
         for part, tokens, ends in _sets(batches, shingle):
-            n, sums, light, keys, prefixes = [], [], [], [], []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                own = np.unique(tokens[a:b])
-                size = len(own)
-                n.append(size)
-                mixed = mix(own)
-                sums.append((int(own.sum()), int(mixed.sum())) if size else (0, 0))
-                keys.append(np.array([mix(own ^ s).min() for s in salts] if size else [], np.uint64).view(np.int64))
-                often = np.zeros(size, np.int64)
-                if len(frequent) and size:
-                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    known = frequent[at] == own
-                    often[known] = counts[at[known]]
-                light.append(float((often == 0).sum()) / max(1, size))
-                length = size - -(-percent * size // 100) + 1 if size else 0
-                prefixes.append(own[np.lexsort((mixed, often))[:length]].view(np.int64))
-            both = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(light, pa.float64()), _lists(keys), _lists(prefixes)], [c.split()[0] for c in schema.split(", ")])
+            sets = [np.unique(tokens[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            own, at = np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(n)])
+            mixed, often = mix(own), np.zeros(len(own), np.uint64)
+            maybe = np.flatnonzero(marked[(own & low).astype(np.int64)])
+            if len(maybe):
+                place = np.minimum(np.searchsorted(frequent, own[maybe]), len(frequent) - 1)
+                known = frequent[place] == own[maybe]
+                often[maybe[known]] = counts[place[known]].astype(np.uint64)
+            rank = (np.minimum(often, top) << np.uint64(40)) | (mixed >> np.uint64(24))  # equal ranks: in order of tokens
+            rare = np.concatenate([[0], np.cumsum(often == 0)])
+            salted = [mixed * s for s in salts]
+            sums, keys, prefixes = np.zeros((len(sets), 2), np.uint64), [], []
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                if a == b:
+                    keys.append(np.zeros(0, np.int64))
+                    prefixes.append(np.zeros(0, np.int64))
+                    continue
+                sums[i] = own[a:b].sum(), mixed[a:b].sum()
+                keys.append(np.array([x[a:b].min() for x in salted], np.uint64).view(np.int64))
+                length = b - a - -(-percent * (b - a) // 100) + 1
+                prefixes.append(own[a:b][np.argsort(rank[a:b], kind="stable")[:length]].view(np.int64))
+            both = sums.view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.diff(rare[at]) / np.maximum(n, 1)), _lists(keys), _lists(prefixes)], [c.split()[0] for c in schema.split(", ")])
 
     return texts.mapInArrow(run, schema)
 
@@ -122,9 +134,10 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("common", common).withColumn("joint", F.size("_ta") + F.size("_tb") - F.col("common")).drop("_ta", "_tb")
 
 
-def _may_link(rem1: Column, rem2: Column, n1: Column, n2: Column, percent: int) -> Column:
-    """The smaller ``rem`` reaches the overlap that sets of at least these sizes need: percent / (100 + percent) of both sizes."""
-    return F.least(rem1, rem2) * (100 + percent) >= (n1 + n2) * percent
+def _reach(rem: Column, n: Column, percent: int) -> Column:
+    """Largest partner that a set may link with, if the first common token of both is followed by ``rem`` of its tokens at most (itself
+    included): an overlap of percent / (100 + percent) of both sizes is needed."""
+    return F.floor(rem * (100 + percent) / percent + 1e-9) - n
 
 
 def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -143,10 +156,16 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").withColumnRenamed("doc_id", "id")
-    postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("rem", F.col("n") - F.col("pos")).drop("pos")
-    shared = postings.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("token")
-    postings = written(postings.join(shared, "token"))
-    active = written(postings.select("id").distinct())
+    postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("id", "n", "token", _reach(F.col("n") - F.col("pos"), F.col("n"), percent).alias("u")).repartition("token")
+    lengths = postings.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1")
+    postings = written(postings.join(lengths, "token"))
+    fits = "n <= u_b AND n_b <= u"
+    other = postings.select(F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+    few = postings.filter(F.col("many") <= SHORT)
+    partnered = few.join(other, "token").filter(f"id < b AND {fits}").select(F.explode(F.array("id", "b")).alias("id"))
+    active = written(partnered.union(postings.filter(F.col("many") > SHORT).select("id")).distinct())
+    postings = written(postings.drop("many").join(active.hint("shuffle_hash"), "id", "left_semi"))
     sets = written(token_sets(texts.join(active.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), shingle))
 
     # Groups: those that link with the most typical document of a common minimum hash.
@@ -154,9 +173,9 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     centre = keyed.groupBy("k", "key").agg(F.min(F.struct("light", F.col("id").alias("b"), F.col("n").alias("nb"))).alias("c"), F.count("*").alias("m")).filter("m > 1").select("k", "key", "c.b", "c.nb")
     met = keyed.join(centre, ["k", "key"]).filter((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
     met = met.select(F.col("id").alias("a"), "b").distinct()
-    own, other = postings.select(F.col("id").alias("a"), "token", "rem", "n"), postings.select(F.col("id").alias("b"), "token", F.col("rem").alias("rem_b"), F.col("n").alias("n_b"))
-    allowed = _may_link(F.col("rem"), F.col("rem_b"), F.col("n"), F.col("n_b"), percent)
-    met = met.join(own, "a").join(other, ["b", "token"]).filter(allowed).select("a", "b").distinct()
+    own = postings.select(F.col("id").alias("a"), "token", "n", "u")
+    other = postings.select(F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+    met = met.join(own, "a").join(other, ["b", "token"]).filter(fits).select("a", "b").distinct()
     links = written(compared(met, sets).filter(f"100 * common >= {percent} * joint"))
     member = links.groupBy("a").agg(F.min(F.struct(F.col("b").alias("g"), (1 - F.col("common") / F.col("joint")).alias("d"))).alias("g")).select(F.col("a").alias("id"), "g.g", "g.d")
     grouped = written(active.join(member, "id", "left").select("id", F.coalesce("g", "id").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")))
@@ -164,10 +183,10 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
 
     # Matrix of tokens and groups; pairs of groups whose bound allows a link.
     placed = postings.join(grouped.select("id", "g"), "id")
-    matrix = written(placed.groupBy("token", "g").agg(F.max("rem").alias("rem"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    one = matrix.select("token", F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("rem", "lo", "hi")])
-    two = matrix.select("token", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("rem", "lo", "hi")])
-    bound = (F.col("a") < F.col("b")) & _may_link(F.col("rem_a"), F.col("rem_b"), F.col("lo_a"), F.col("lo_b"), percent)
+    matrix = written(placed.groupBy("token", "g").agg(F.max("u").alias("u"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    one = matrix.select("token", F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("u", "lo", "hi")])
+    two = matrix.select("token", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("u", "lo", "hi")])
+    bound = (F.col("a") < F.col("b")) & (F.col("lo_a") <= F.col("u_b")) & (F.col("lo_b") <= F.col("u_a"))
     bound = bound & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
     opened = one.join(two, (one["token"] == two["token"]) & bound).select("a", "b").distinct()
     judged = compared(opened, sets).join(radius.select(F.col("g").alias("a"), F.col("r").alias("r_a")), "a").join(radius.select(F.col("g").alias("b"), F.col("r").alias("r_b")), "b")
@@ -180,9 +199,9 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     if not near.isEmpty():
         label_a, label_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
         apart = near.join(label_a, "a", "left").join(label_b, "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-        member_a = placed.select(F.col("g").alias("ga"), F.col("id").alias("a"), "token", "rem", "n")
-        member_b = placed.select(F.col("g").alias("gb"), F.col("id").alias("b"), "token", F.col("rem").alias("rem_b"), F.col("n").alias("n_b"))
-        pairs = apart.join(member_a, "ga").join(member_b, ["gb", "token"]).filter(allowed & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)).select("a", "b").distinct()
+        member_a = placed.select(F.col("g").alias("ga"), F.col("id").alias("a"), "token", "n", "u")
+        member_b = placed.select(F.col("g").alias("gb"), F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+        pairs = apart.join(member_a, "ga").join(member_b, ["gb", "token"]).filter(fits).select("a", "b").distinct()
         more = written(compared(pairs, sets).filter(f"100 * common >= {percent} * joint").select("a", "b"))
         if not more.isEmpty():
             labels = components(found.union(more))

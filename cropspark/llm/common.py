@@ -30,7 +30,13 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, path or scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what is written needs its shuffle files no more
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

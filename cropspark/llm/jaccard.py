@@ -2,13 +2,13 @@
 
 1. Shingle sets become sorted 64-bit hashes; documents with equal sets form a class and go on as one.
 2. Tokens get one global order, from rare to frequent: frequent ones are found by counting, where any miscount changes the cost but never the
-   result. If two sets link, the rarest tokens of each (its prefix) have one in common, and the place of the first such token bounds
-   their overlap. A document without such a token is done; only the others' sets are written.
+   result. If two sets link, the rarest tokens of each (its prefix) have ``MATCHES`` in common, and the places of these bound their overlap.
+   A document without a partner that shares so many is done; only the others' sets are written.
 3. Partition: documents with a common minimum hash meet the most typical of them (fewest rare tokens). Those that link with it form
    a group around it, with the largest distance as its radius; all others are groups of their own.
 4. Token-group matrix: for each group the union of its members' prefix tokens, each with the sizes of its members and the
-   largest partner that the token's place in their order allows. Group pairs without a token that allows the overlap which the threshold
-   needs are never opened.
+   largest partner that the token's place in their order allows. The number of tokens that two groups share bounds what any member of
+   one shares with any of the other; group pairs below the number that a link needs are never opened.
 5. Centres of the remaining pairs are compared. They link, or the triangle inequality of the Jaccard distance rules out every pair of
    members, or the pair is opened: members that share a token with a sufficient bound are compared. Only pairs of groups in different
    components are opened, since a link inside a component changes nothing.
@@ -33,6 +33,9 @@ COUNTED, LEAST = 4_000_000, 3
 #: Most frequent tokens that are told apart in the order; the others count as equally rare.
 FREQUENT = 1 << 20
 KEYS = 2
+#: Common tokens that two linked sets must have in their prefixes (or as many as the overlap they need, if that is less). Each prefix is
+#: longer by as many tokens less one.
+MATCHES = 4
 #: Posting lists up to this length tell which documents have a partner at all; in a longer one all documents may.
 SHORT = 32
 
@@ -102,7 +105,7 @@ def signatures(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                     continue
                 sums[i] = own[a:b].sum(), mixed[a:b].sum()
                 keys.append(np.array([x[a:b].min() for x in salted], np.uint64).view(np.int64))
-                length = b - a - -(-percent * (b - a) // 100) + 1
+                length = b - a - -(-percent * (b - a) // 100) + MATCHES
                 prefixes.append(own[a:b][np.argsort(rank[a:b], kind="stable")[:length]].view(np.int64))
             both = sums.view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.diff(rare[at]) / np.maximum(n, 1)), _lists(keys), _lists(prefixes)], [c.split()[0] for c in schema.split(", ")])
@@ -134,10 +137,15 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("common", common).withColumn("joint", F.size("_ta") + F.size("_tb") - F.col("common")).drop("_ta", "_tb")
 
 
-def _reach(rem: Column, n: Column, percent: int) -> Column:
-    """Largest partner that a set may link with, if the first common token of both is followed by ``rem`` of its tokens at most (itself
-    included): an overlap of percent / (100 + percent) of both sizes is needed."""
-    return F.floor(rem * (100 + percent) / percent + 1e-9) - n
+def _reach(n: Column, pos: Column, percent: int) -> Column:
+    """Largest partner of a set of ``n`` tokens if the token at ``pos`` of its order is one of the first MATCHES common ones: the overlap is
+    at most the tokens from there on and the common ones before, and percent / (100 + percent) of both sizes are needed."""
+    return F.floor(F.least(n, n - pos + MATCHES - 1) * (100 + percent) / percent + 1e-9) - n
+
+
+def _enough(n1: str, n2: str, percent: int) -> Column:
+    """Common prefix tokens that sets of at least these sizes must have."""
+    return F.least(F.lit(MATCHES), F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -157,14 +165,18 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi").withColumnRenamed("doc_id", "id")
     postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.select("id", "n", "token", _reach(F.col("n") - F.col("pos"), F.col("n"), percent).alias("u")).repartition("token")
+    postings = postings.select("id", "n", "token", _reach(F.col("n"), F.col("pos"), percent).alias("u")).repartition("token")
     lengths = postings.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1")
     postings = written(postings.join(lengths, "token"))
     fits = "n <= u_b AND n_b <= u"
     other = postings.select(F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-    few = postings.filter(F.col("many") <= SHORT)
-    partnered = few.join(other, "token").filter(f"id < b AND {fits}").select(F.explode(F.array("id", "b")).alias("id"))
-    active = written(partnered.union(postings.filter(F.col("many") > SHORT).select("id")).distinct())
+    few, many = postings.filter(F.col("many") <= SHORT), postings.filter(F.col("many") > SHORT)
+    held = many.groupBy("id", "n").agg(F.count("*").alias("h"))
+    pairs = few.join(other, "token").filter(f"id < b AND {fits}").groupBy("id", "b", "n", "n_b").agg(F.count("*").alias("m"))
+    pairs = pairs.join(held.select("id", "h"), "id", "left").join(held.select(F.col("id").alias("b"), F.col("h").alias("h_b")), "b", "left")
+    partnered = pairs.filter(F.col("m") + F.least(F.coalesce("h", F.lit(0)), F.coalesce("h_b", F.lit(0))) >= _enough("n", "n_b", percent)).select(F.explode(F.array("id", "b")).alias("id"))
+    crowded = held.filter(F.col("h") >= F.least(F.lit(MATCHES), F.ceil(F.col("n") * percent / 100 - 1e-9))).select("id")
+    active = written(partnered.union(crowded).distinct())
     postings = written(postings.drop("many").join(active.hint("shuffle_hash"), "id", "left_semi"))
     sets = written(token_sets(texts.join(active.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), shingle))
 
@@ -175,7 +187,7 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     met = met.select(F.col("id").alias("a"), "b").distinct()
     own = postings.select(F.col("id").alias("a"), "token", "n", "u")
     other = postings.select(F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-    met = met.join(own, "a").join(other, ["b", "token"]).filter(fits).select("a", "b").distinct()
+    met = met.join(own, "a").join(other, ["b", "token"]).filter(fits).groupBy("a", "b", "n", "n_b").count().filter(F.col("count") >= _enough("n", "n_b", percent)).select("a", "b")
     links = written(compared(met, sets).filter(f"100 * common >= {percent} * joint"))
     member = links.groupBy("a").agg(F.min(F.struct(F.col("b").alias("g"), (1 - F.col("common") / F.col("joint")).alias("d"))).alias("g")).select(F.col("a").alias("id"), "g.g", "g.d")
     grouped = written(active.join(member, "id", "left").select("id", F.coalesce("g", "id").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")))
@@ -188,7 +200,8 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     two = matrix.select("token", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("u", "lo", "hi")])
     bound = (F.col("a") < F.col("b")) & (F.col("lo_a") <= F.col("u_b")) & (F.col("lo_b") <= F.col("u_a"))
     bound = bound & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
-    opened = one.join(two, (one["token"] == two["token"]) & bound).select("a", "b").distinct()
+    met = one.join(two, (one["token"] == two["token"]) & bound).groupBy("a", "b").agg(F.count("*").alias("m"), F.min("lo_a").alias("lo_a"), F.min("lo_b").alias("lo_b"))
+    opened = met.filter(F.col("m") >= _enough("lo_a", "lo_b", percent)).select("a", "b")
     judged = compared(opened, sets).join(radius.select(F.col("g").alias("a"), F.col("r").alias("r_a")), "a").join(radius.select(F.col("g").alias("b"), F.col("r").alias("r_b")), "b")
     judged = written(judged.withColumn("linked", F.expr(f"100 * common >= {percent} * joint")))
     found = links.select("a", "b").union(judged.filter("linked").select("a", "b"))
@@ -201,7 +214,7 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
         apart = near.join(label_a, "a", "left").join(label_b, "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
         member_a = placed.select(F.col("g").alias("ga"), F.col("id").alias("a"), "token", "n", "u")
         member_b = placed.select(F.col("g").alias("gb"), F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-        pairs = apart.join(member_a, "ga").join(member_b, ["gb", "token"]).filter(fits).select("a", "b").distinct()
+        pairs = apart.join(member_a, "ga").join(member_b, ["gb", "token"]).filter(fits).groupBy("a", "b", "n", "n_b").count().filter(F.col("count") >= _enough("n", "n_b", percent)).select("a", "b")
         more = written(compared(pairs, sets).filter(f"100 * common >= {percent} * joint").select("a", "b"))
         if not more.isEmpty():
             labels = components(found.union(more))
@@ -212,10 +225,13 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, and of rows with equal id and text one."""
-    joined = similar_documents(docs, shingle, percent)
-    stays = joined.filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.filter("doc_id IS NULL").union(docs.filter("doc_id IS NOT NULL").join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, once if its row is repeated."""
+    joined = written(similar_documents(docs, shingle, percent).filter("doc_id IS NOT NULL").select("doc_id", "component_id"))
+    stays = joined.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_many"))
+    kept = docs.join(stays.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if not stays.filter("_many > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.filter("doc_id IS NULL"))
 
 
 __all__ = ["one_of_each", "similar_documents"]

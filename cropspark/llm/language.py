@@ -143,35 +143,41 @@ def fit(docs: DataFrame) -> Model | None:
     return model
 
 
+def _judged(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: whether it has a letter and there is a model, nearest language, its probability, whether another is as near."""
+    if model is None:
+        return np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    letters = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()), bool, len(texts))
+    return letters, *model.decode(model.margins(_texts(texts)))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``lang_pred, score, ambiguous`` beside the columns of ``docs``, from the text alone."""
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, ambiguous boolean"
+    """``doc_id, lang_pred, score, ambiguous`` from the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", STEP):
-                texts = part.column("text")
-                letters = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()), bool, len(texts))
-                if model is None:
-                    best, score, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-                    letters[:] = False
-                else:
-                    best, score, close = model.decode(model.margins(_texts(texts)))
+                letters, best, score, close = _judged(part.column("text"), model)
                 names = [model.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)], [*kept, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def predict(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` of every row, learned from the training rows of the same table."""
     model = fit(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose language is certain: not ``und``, not ambiguous. Columns stay as they are."""
-    judged = identify(docs.select("*", F.lit(None).cast("int").alias("_")).drop("_"), model)
-    return judged.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    """The rows of ``docs`` whose language is certain: not ``und``, not ambiguous. Columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", STEP):
+                letters, _, _, close = _judged(part.column("text"), model)
+                yield part.filter(pa.array(letters & ~close))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from cropspark.llm.decontaminate import contaminated
 from cropspark.llm.huffman import encoded_ids
 from cropspark.llm.jaccard import similar_documents
 from cropspark.llm.packing import pack
+from cropspark.llm.pii import find
 from cropspark.llm.sharding import byte_shards
 from cropspark.llm.urls import ORACLE_SQL as URL_SQL
 from cropspark.llm.urls import judge_urls
@@ -26,6 +27,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_weak_supervision_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document."""
+    return find(table(spark, sf, "documents"))
+
+
 @query
 def op2_ecoc_language(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document by error-correcting output codes."""

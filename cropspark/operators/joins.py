@@ -32,16 +32,16 @@ def expand_over(df: DataFrame, values: list, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
-def expand_over_table(df: DataFrame, table: DataFrame, columns: list[str], max_rows: int = 1000) -> DataFrame:
-    """Every row once per row of a small dimension.
+def expand_over_table(df: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Every row once per row of a dimension of any size: an equi-join on a block number.
 
-    The dimension travels as one array value, after a check that it is as small as claimed.
+    Rows are spread over as many blocks as there are shuffle partitions, by a hash of all they hold; the dimension is copied into each
+    block. It stays a frame, and Spark broadcasts it only if it is small enough.
     """
-    packed = table.agg(
-        F.when(F.count(F.lit(1)) <= max_rows, F.array_sort(F.collect_list(F.struct(*columns))))
-        .otherwise(F.raise_error(F.lit(f"dimension has more than {max_rows} rows"))).alias("rows")
-    ).scalar()
-    return df.withColumn("_row", F.explode(packed)).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = df.withColumn("_block", F.pmod(F.xxhash64(*df.columns), F.lit(blocks)))
+    right = table.select(*columns).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return left.join(right, "_block").select(*df.columns, *columns)
 
 
 def resolve_names(df: DataFrame, name: str, towns: DataFrame, town_name: str, code: str,
@@ -79,49 +79,59 @@ def _penalised_km(p: str, c: str) -> Column:
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, point_id: str, centre_id: str,
-                   cell_degrees: tuple[float, ...] = (1.0, 5.0, 15.0), blocks: int = 64) -> DataFrame:
+                   cell_degrees: tuple[float, ...] = (1.0, 5.0, 15.0, 45.0)) -> DataFrame:
     """Centre with the least penalised distance (great circle plus 0.1 km per metre of altitude difference).
 
-    Both sides carry lat, lon, alt. Points meet only centres in their own and the eight adjacent grid cells; a point is
-    settled when the best cost found is no larger than the distance that is surely covered by those cells. The others go
-    on with larger cells, and what is then still open is compared with all centres, spread over blocks of them. Exact on
-    every path; ties go to the smaller id. The distance returned is the unpenalised one.
+    Both sides carry lat, lon, alt; points at one place are one search. Places meet only centres in their own and the eight adjacent grid
+    cells, and are settled when the best cost found is no larger than the distance that is surely covered by those cells. The others
+    go on with larger cells. What is then still open meets the cells that a circle with its best cost as radius touches, all of them if
+    nothing was found. Exact on every path; ties go to the smaller id. The distance returned is the unpenalised one.
     """
-    located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(point_id, "lat", "lon", "alt")
+    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     targets = centres.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(centre_id, "lat", "lon", "alt")
+    place = ["lat", "lon", "alt"]
     settled: list[DataFrame] = []
-    open_points = located
-    for degrees in cell_degrees:
-        def cell(c: str) -> Column:
-            return F.floor(F.col(c) / degrees)
+    open_places = placed.select(*place).distinct().withColumn("_id", F.struct(*place))
+    one_degree = N.EARTH_RADIUS_KM * 3.141592653589793 / 180
+
+    def celled(frame: DataFrame, degrees: float) -> DataFrame:
+        return frame.withColumns({"_y": F.floor(F.col("lat") / degrees), "_x": F.pmod(F.floor(F.col("lon") / degrees), F.lit(int(360 / degrees)))})
 
-        columns = int(360 / degrees)
-        p = open_points.withColumns({"_y": cell("lat"), "_x": cell("lon")})
+    for degrees in cell_degrees:
         near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+        p = celled(open_places, degrees)
         p = p.withColumn("_y", F.explode(F.transform(near, lambda d: F.col("_y") + d)))
-        p = p.withColumn("_x", F.explode(F.transform(near, lambda d: F.pmod(F.col("_x") + d, F.lit(columns)))))
-        c = targets.withColumns({"_y": cell("lat"), "_x": F.pmod(cell("lon"), F.lit(columns))})
-        best = _cheapest(p.alias("p").join(c.alias("c"), ["_y", "_x"]), point_id, centre_id)
+        p = p.withColumn("_x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(F.col("_x") + d, F.lit(int(360 / degrees)))))))
+        best = _cheapest(p.alias("p").join(celled(targets, degrees).alias("c"), ["_y", "_x"]), "_id", centre_id)
         # A centre outside the 3 x 3 block is at least one cell away: in latitude, or from the block's edge meridian.
-        one_degree = N.EARTH_RADIUS_KM * 3.141592653589793 / 180
         sure = F.least(F.lit(degrees), F.degrees(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(degrees)))))) * one_degree
         found = materialise(
-            open_points.join(best, point_id, "left")
+            open_places.select("_id", *place).join(best, "_id", "left")
             .withColumn("_settled", F.coalesce(F.col("_best.cost") <= sure, F.lit(False))))
-        settled.append(found.where("_settled").select(point_id, "_best"))
-        open_points = found.where(~F.col("_settled")).select(point_id, "lat", "lon", "alt")
-        if open_points.isEmpty():
+        settled.append(found.where("_settled").select("_id", "_best"))
+        open_places = found.where(~F.col("_settled"))
+        if open_places.isEmpty():
             break
+        reach = open_places.select("_id", *place, (F.coalesce(F.col("_best.cost"), F.lit(180 * one_degree)) / one_degree).alias("_far"))
+        open_places = reach.select("_id", *place, "_far")
     else:
-        p = open_points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        c = targets.withColumn("_block", F.pmod(F.xxhash64(centre_id), F.lit(blocks)))
-        settled.append(_cheapest(p.alias("p").join(c.alias("c"), "_block"), point_id, centre_id))
+        last = cell_degrees[min(1, len(cell_degrees) - 1)]
+        columns = int(360 / last)
+        low, high = (F.floor(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + sign * F.col("_far"))) / last) for sign in (-1, 1))
+        # Half the longitudes a circle spans; all of them where it holds a pole.
+        span = F.degrees(F.asin(F.sin(F.radians(F.least("_far", F.lit(90.0)))) / F.cos(F.radians("lat"))))
+        whole = (F.abs("lat") + F.col("_far") >= 90 - last) | span.isNull() | F.isnan(span) | (2 * span + 2 * last >= 360)
+        west, east = F.floor((F.col("lon") - span) / last), F.floor((F.col("lon") + span) / last)
+        lons = F.when(whole, F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).otherwise(F.sequence(west, east))
+        p = open_places.withColumn("_y", F.explode(F.sequence(low, high))).withColumn("_x", F.explode(lons)).withColumn("_x", F.pmod("_x", F.lit(columns)))
+        settled.append(_cheapest(p.alias("p").join(celled(targets, last).alias("c"), ["_y", "_x"]), "_id", centre_id))
     best = settled[0]
     for more in settled[1:]:
         best = best.unionByName(more)
+    found = placed.select(point_id, F.struct(*place).alias("_id")).join(best, "_id").select(point_id, "_best")
     climb = F.coalesce(F.col("_best.climb"), F.lit(0.0))
     inside = (F.col("_best.km") <= K.JOIN_RADIUS_KM) & (climb <= K.JOIN_MAX_ALTITUDE_M)
-    return points.select(point_id).join(best, point_id, "left").select(
+    return points.select(point_id).join(found, point_id, "left").select(
         point_id, F.col(f"_best.{centre_id}").alias(centre_id), F.col("_best.km").alias("distance_km"),
         F.when(F.col("_best").isNull(), "unresolved").when(inside, "within_radius_and_altitude")
         .otherwise("nearest_outside").alias("method"))

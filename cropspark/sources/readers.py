@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from datetime import date
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +16,41 @@ from cropspark.operators.ranking import union_all
 from cropspark.sources import parsers as P
 
 
+log = logging.getLogger(__name__)
+#: Spark's error conditions of a path without data, and its messages about a file that is no parquet.
+MISSING = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+UNREADABLE = "CANNOT_READ_FILE_FOOTER|is not a Parquet file|FAILED_READ_FILE.*CANNOT_READ"
+
+
 def _text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Each record of the landed documents as text: an array's elements, or a document's lines. A broken array is one record."""
+    docs = read_documents(spark, path)
+    listed = F.from_json("document", "array<string>")
+    is_array = F.startswith(F.ltrim("document"), F.lit("["))
+    records = F.when(is_array, F.coalesce(listed, F.array("document"))).otherwise(F.split("document", r"\r?\n"))
+    return docs.select("file", F.explode(records).alias("record")).where(F.trim("record") != "")
+
+
+def _parsed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    schema = T.StructType([*_text_schema(columns).fields, T.StructField("_broken", T.StringType())])
+    read = F.from_json("record", schema, {"columnNameOfCorruptRecord": "_broken"})
+    rows = _json_elements(spark, path).withColumn("_r", read)
+    return rows.withColumn("_bad", F.col("_r").isNull() | F.col("_r._broken").isNotNull() | ~F.startswith(F.ltrim("record"), F.lit("{")))
+
+
 def read_json_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Landed arrays or lines of JSON objects, all fields as text; broken records are dropped."""
-    return spark.read.schema(_text_schema(columns)).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Landed arrays or lines of JSON objects, all fields as text. A file is read whole by one task: a landed page is small.
+    Records that are no object are in ``rejected_json``."""
+    return _parsed(spark, path, columns).where(~F.col("_bad")).select(*[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def rejected_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``file, record`` of what ``read_json_rows`` can't read; a broken array is one record, so none of its rows count."""
+    return _parsed(spark, path, columns).where("_bad").select("file", "record")
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -28,12 +59,18 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def read_parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A usable parquet source, or None when it is missing, empty or unreadable."""
+    """A usable parquet source, or None, so that it is fetched again, when it is missing or empty or any of its files has no readable footer.
+    Other errors are raised, those of damaged pages when they are read: part of a source is never taken for the whole."""
     try:
-        df = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
-    except AnalysisException:
-        return None
-    return None if df.isEmpty() else df
+        df = spark.read.option("mergeSchema", True).parquet(path)
+        return None if df.isEmpty() else df
+    except (PySparkException, Py4JJavaError) as error:
+        told = str(error)
+        missing = isinstance(error, PySparkException) and error.getCondition() in MISSING
+        if missing or re.search(UNREADABLE, told):
+            log.warning("no usable parquet at %s: %s", path, "; ".join(re.findall(r"\[[A-Z_]{8,}.*", told)[:3]) or told[:200])
+            return None
+        raise
 
 
 def read_price_xml(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -58,10 +95,22 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
     return P.layer_attributes(docs, "document", name)
 
 
-def read_sheets(spark: SparkSession, path: str, width: int = 80) -> DataFrame:
-    """Headerless sheets landed as CSV to (file, row, cells)."""
-    columns = [f"c{i}" for i in range(width)]
-    raw = (spark.read.schema(_text_schema(columns)).option("multiLine", True).option("escape", '"').csv(path)
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless sheets landed as CSV to (file, row, cells), all as wide as the widest row could be.
+
+    A row has at most one cell more than delimiters; lines that a quote leaves open belong to the row begun before. Each sheet is read
+    whole by one task, as its row order asks: a landed sheet is small.
+    """
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("held"), F.lit(0).alias("most"))
+
+    def line(acc: Column, text: Column) -> Column:
+        held = acc["held"] + F.length(F.regexp_replace(text, "[^,]", ""))
+        odd = (acc["open"] + F.length(F.regexp_replace(text, '[^"]', ""))) % 2
+        return F.struct(odd.alias("open"), F.when(odd == 1, held).otherwise(0).alias("held"), F.greatest(acc["most"], held).alias("most"))
+
+    wide = F.aggregate(F.split("document", "\n"), start, line, lambda acc: acc["most"])
+    width = (read_documents(spark, path).agg(F.max(wide)).first()[0] or 0) + 1
+    raw = (spark.read.schema(_text_schema([f"c{i}" for i in range(width)])).option("multiLine", True).option("escape", '"').csv(path)
            .withColumns({"_file": F.input_file_name(), "_order": F.monotonically_increasing_id()}))
     return P.number_rows(raw)
 

@@ -212,9 +212,12 @@ def _joined(texts: DataFrame, signed: DataFrame, shingle: int, percent: int) ->
     if not near.isEmpty():
         label_a, label_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
         apart = near.join(label_a, "a", "left").join(label_b, "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+        # Only tokens that both groups hold with a sufficient bound, then only the members that hold them.
+        both = apart.join(one.select(F.col("a").alias("ga"), "token", "u_a", "lo_a"), "ga").join(two.select(F.col("b").alias("gb"), "token", "u_b", "lo_b"), ["gb", "token"])
+        both = both.filter("lo_a <= u_b AND lo_b <= u_a").select("ga", "gb", "token")
         member_a = placed.select(F.col("g").alias("ga"), F.col("id").alias("a"), "token", "n", "u")
         member_b = placed.select(F.col("g").alias("gb"), F.col("id").alias("b"), "token", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-        pairs = apart.join(member_a, "ga").join(member_b, ["gb", "token"]).filter(fits).groupBy("a", "b", "n", "n_b").count().filter(F.col("count") >= _enough("n", "n_b", percent)).select("a", "b")
+        pairs = both.join(member_a, ["ga", "token"]).join(member_b, ["gb", "token"]).filter(fits).groupBy("a", "b", "n", "n_b").count().filter(F.col("count") >= _enough("n", "n_b", percent)).select("a", "b")
         more = written(compared(pairs, sets).filter(f"100 * common >= {percent} * joint").select("a", "b"))
         if not more.isEmpty():
             labels = components(found.union(more))

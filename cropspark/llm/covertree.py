@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import _ramp, with_offsets, written
+from cropspark.llm.common import _ramp, tidy, with_offsets, written
 from cropspark.llm.graph import components
 
 SAMPLE, BLOCK, FANOUT = 1024, 4096, 64
@@ -244,7 +244,7 @@ def point_links(points: DataFrame, threshold: float) -> DataFrame:
                 best = dots.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rank[finest[best]].astype(np.int32)), pa.array((1 - dots.max(axis=1)).astype(np.float32))], ["id", "copies", "embedding", "node", "far"])
 
-    placed = with_offsets(points.select("id", "copies", "embedding").mapInArrow(place, schema), ["node", "far", "id"], "copies", "_start", "_row").withColumn("block", F.floor(F.col("_row") / BLOCK))
+    placed = with_offsets(points.select("id", "copies", "embedding").mapInArrow(tidy(place), schema), ["node", "far", "id"], "copies", "_start", "_row").withColumn("block", F.floor(F.col("_row") / BLOCK))
     single = "float" in kind
     block_schema = "block long, centre array<double>, radius double, ids array<long>, copies array<long>, vectors binary, levels binary"
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import shingle_hashes, steps, word_hashes
+from cropspark.llm.common import shingle_hashes, steps, tidy, word_hashes
 from cropspark.llm.folded import spaced
 
 MIN_MATCH = 5
@@ -132,7 +132,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, length: int = MIN_MATCH) ->
                         rows = [(part.column("doc_id")[row].as_py(), seeds.ids[item], size, covered, covered / size, n, longest) for row, item, size, covered, n, longest in found]
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_arrow(schema))
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(tidy(run), schema)
 
     found = [search(held) for held in _slices(benchmark)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
@@ -162,7 +162,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = C
                         keep[row] &= covered < coverage * size
                     yield part.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
     return reduce(drop, _slices(benchmark), docs)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import _ramp, forget, scratch, steps, written
+from cropspark.llm.common import _ramp, forget, scratch, steps, tidy, written
 from cropspark.llm.tokens import default_tokenizer, encoder
 
 #: Longest code in bits: the decoding table has 2 ** LIMIT entries, and a vocabulary of as many ids still fits.
@@ -139,7 +139,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids, bounds = encode_texts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), _binaries(ids.astype("<u4").view(np.uint8), bounds * 4)], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark = docs.sparkSession
     kept = scratch(spark)
     ids = written(token_table(docs, tokenizer or default_tokenizer(), end_id), kept)
-    counted = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary at most
+    counted = ids.select("ids").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary at most
     counts = np.zeros(1 + max([0, *counted["id"].to_pylist()]), np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     lengths = code_lengths(counts)
@@ -201,8 +201,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield _block(part, block, start, held)
 
-    coded = ids.mapInArrow(code, coded_schema)
-    coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()).mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = ids.mapInArrow(tidy(code), coded_schema)
+    coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()).mapInArrow(tidy(pack), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     forget(spark, kept)
 
 
@@ -232,7 +232,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends[:-1] + row["start"] + bases[row["part"]]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(n), _binaries(ids.astype("<u4").view(np.uint8), ends * 4)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encoded_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

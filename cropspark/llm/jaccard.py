@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import mix, shingle_hashes, steps, word_hashes, written
+from cropspark.llm.common import mix, shingle_hashes, steps, tidy, word_hashes, written
 from cropspark.llm.graph import components
 
 #: Tokens counted at once when looking for frequent ones; those seen less often than ``LEAST`` among them are taken for rare.
-COUNTED, LEAST = 4_000_000, 3
+COUNTED, LEAST = 2_000_000, 3
 #: Most frequent tokens that are told apart in the order; the others count as equally rare.
 FREQUENT = 1 << 20
 KEYS = 2
@@ -66,7 +66,7 @@ def frequent_tokens(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
         if n:
             yield counted()
 
-    found = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST)
+    found = texts.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST)
     top = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
@@ -110,7 +110,7 @@ def signatures(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
             both = sums.view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.diff(rare[at]) / np.maximum(n, 1)), _lists(keys), _lists(prefixes)], [c.split()[0] for c in schema.split(", ")])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -126,7 +126,7 @@ def token_sets(texts: DataFrame, shingle: int) -> DataFrame:
             own = [np.unique(tokens[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(o) for o in own], pa.int64()), _lists(own)], ["id", "size", "tokens"])
 
-    return texts.mapInArrow(run, "id long, size long, tokens array<long>")
+    return texts.mapInArrow(tidy(run), "id long, size long, tokens array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import steps
+from cropspark.llm.common import steps, tidy
 
 FEATURES = 1 << 13
-#: Two codewords are told apart only if their losses differ by this much, as a share of a text's possible loss.
-AMBIGUOUS = 0.01
+#: Two codewords are told apart only if their losses differ by this much, as a share of a text's mean margin.
+AMBIGUOUS = 0.0005
 STEP = 2 << 20
 
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -118,7 +118,7 @@ def fit(docs: DataFrame) -> Model | None:
             at = np.concatenate([[0], np.flatnonzero(row)])  # feature 0 always, so that a language of empty texts is known, too
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(np.where(np.arange(len(at)), row[at], 0))], ["lang", "feature", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"), F.max("n").alias("m")).toArrow()
+    counted = rows.mapInArrow(tidy(count), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"), F.max("n").alias("m")).toArrow()
     languages = sorted(set(counted["lang"].to_pylist()))
     if not languages:
         return None
@@ -136,7 +136,7 @@ def fit(docs: DataFrame) -> Model | None:
         at = np.argwhere(np.ones_like(right, bool))
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(right.ravel()), pa.array(np.repeat(seen, right.shape[1]))], ["lang", "bit", "ok", "n"])
 
-    judged = rows.mapInArrow(judge, "lang long, bit long, ok double, n double").groupBy("lang", "bit").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect()
+    judged = rows.mapInArrow(tidy(judge), "lang long, bit long, ok double, n double").groupBy("lang", "bit").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).collect()
     for r in judged:
         model.weights[r["lang"], r["bit"]] = (r["ok"] + 1) / (r["n"] + 2)
     model.weights /= model.weights.sum(axis=1, keepdims=True)
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names = [model.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 letters, _, _, close = _judged(part.column("text"), model)
                 yield part.filter(pa.array(letters & ~close))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropspark.llm.common import steps
+from cropspark.llm.common import steps, tidy
 from cropspark.llm.folded import LOWER, raw, word_counts, words
 
 #: Phrases that count at every place where their words stand one after the other.
@@ -174,4 +174,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
                         first[i], last[i] = min(places), max(places)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(word_counts(data, bounds)), pa.array(count), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base, pa.string()), pa.array(labels, pa.string()), pa.array(score)], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)

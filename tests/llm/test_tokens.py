@@ -113,7 +113,8 @@ def test_plan_places_everything_once():
 
 def test_plan_is_tight():
     assert len({r[3] for r in packing.plan({700: 4, 324: 4}, 1024)}) == 1
-    lengths = Counter(random.Random(2).randint(1, 1024) for _ in range(20_000))
+    rng = random.Random(2)
+    lengths = Counter(rng.randint(1, 1024) for _ in range(20_000))
     rows = packing.plan(lengths, 1024)
     used = 1 + max(base + (end - first - 1) // each for _, first, end, base, each, _ in rows)
     assert used <= 1.02 * ceil(sum(k * v for k, v in lengths.items()) / 1024)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from cropspark.operators import aggregate as A
 from cropspark.operators import ranking as Q
 from cropspark.session import materialise
 
+log = logging.getLogger(__name__)
 FEATURES = ["rain_mm", "temp_mean", "temp_max", "temp_min", "humidity", "sun_hours", "oni", "spi", "rain_anomaly_pct",
             "rain_mm_lag1", "rain_anomaly_pct_lag1", "risk", "risk_lag1", "month_sin", "month_cos"]
 
@@ -31,6 +34,14 @@ def train_and_evaluate(samples: DataFrame, **params) -> tuple[DataFrame, DataFra
     """Predictions (history of the test months, inactive; newest month per town, active) and metrics of model and baseline."""
     data = materialise(TR.with_gap_flags(samples, FEATURES))
     train, test = time_split(data)
+    if train.select("target").distinct().count() < 2:
+        # Nothing to tell apart: the risk of now stands for that of the next month, and the metrics say so.
+        log.warning("training months have one class or none: persistence is used")
+        kept = F.col("risk").cast("double").alias("prediction"), F.lit(None).cast("double").alias("score")
+        metrics = A.classification_metrics(test, "target", "risk").withColumn("model", F.lit("persistence"))
+        newest = Q.latest_per_key(data, ["town_id"], ["period"])
+        columns = ["town_id", "period", "event", *kept]
+        return alert_rows(newest.select(*columns), test.select(*columns)), metrics
     features = TR.usable(train, FEATURES)
     train = train.withColumn("label", F.col("target").cast("double"))
     model = TR.fit_classifier(train, features, "label", **params)

@@ -1,7 +1,7 @@
 """Isolation forest per crop.
 
-A tree of this method grows from at most 256 rows. Each crop's trees draw theirs from a bounded pool of rows chosen by hash;
-every row is scored. Scoring splits a crop into blocks, so a crop holding a third of all rows is many tasks.
+A tree of this method grows from at most 256 rows, by its definition. Each tree draws its own from all rows of its crop, those with
+the smallest hashes of seed, tree and key; every row is scored. Scoring splits a crop into blocks, so a crop holding a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from cropspark.session import materialise
 
 INPUTS = ["predicted", "change", "deviation"]
 SAMPLE = 256
-POOL = 8192
+#: Rows of a crop that a tree chooses its sample from: far more than it takes, so that a hash bound finds enough.
+LIKELY = 4 * SAMPLE
 BLOCK_ROWS = 50_000
 
 
@@ -34,21 +35,20 @@ def _grower(trees: int, seed: int):
         """All trees of one crop at once, level by level, as complete binary trees in heap order."""
         import numpy as np
 
-        x = pdf.sort_values("pick")[["predicted", "change", "deviation"]].fillna(0.0).to_numpy(float)
-        size = min(256, len(x))
+        drawn = [g[INPUTS].to_numpy(float) for _, g in pdf.sort_values(["tree", "pick"]).groupby("tree")]
+        size = min(map(len, drawn))
+        values = np.stack([d[:size] for d in drawn])
         depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
         rng = np.random.default_rng(seed)
-        rows = np.argsort(rng.random((trees, len(x))), axis=1)[:, :size]
         node = np.zeros((trees, size), dtype=np.int64)
         inner, total = 2 ** depth - 1, 2 ** (depth + 1) - 1
         feature = np.zeros((trees, inner), dtype=np.int64)
         threshold = np.full((trees, inner), np.inf)  # an unsplit node sends all rows left
         tree = np.repeat(np.arange(trees)[:, None], size, axis=1)
-        values = x[rows]
         for level in range(depth):
             start, width = 2 ** level - 1, 2 ** level
             cell = tree * width + (node - start)
-            pick = rng.integers(0, x.shape[1], size=(trees, width))
+            pick = rng.integers(0, values.shape[2], size=(trees, width))
             lo, hi = np.full(trees * width, np.inf), np.full(trees * width, -np.inf)
             v = np.take_along_axis(values, pick[tree, node - start][:, :, None], axis=2)[:, :, 0]
             np.minimum.at(lo, cell.ravel(), v.ravel())
@@ -92,7 +92,7 @@ def _scorer(trees: int):
         feature = np.asarray(f["feature"]).reshape(trees, inner)
         threshold = np.asarray(f["threshold"]).reshape(trees, inner)
         leaf = np.asarray(f["leaf"]).reshape(trees, inner + 1)
-        x = rows[["predicted", "change", "deviation"]].fillna(0.0).to_numpy(float)
+        x = rows[INPUTS].to_numpy(float)
         total = np.zeros(len(x))
         for t in range(trees):
             node = np.zeros(len(x), dtype=np.int64)
@@ -109,15 +109,17 @@ def isolation_scores(inputs: DataFrame, trees: int = K.ANOMALY_TREES, share: flo
                      min_rows: int = K.ANOMALY_MIN_ROWS, seed: int = 42) -> DataFrame:
     """Score every row of crops with enough rows and flag the most isolated share per crop; others get no score."""
     key = ["town_id", "crop_id", "year"]
-    # The input is read by the pool, the block sizes and the scoring.
-    rows = materialise(inputs.select(*key, *INPUTS))
+    # The input is read by the samples, the block sizes and the scoring. Only a first year's change may be missing, and counts as none.
+    whole = materialise(inputs.select(*key, *INPUTS))
+    rows = whole.withColumn("change", F.coalesce("change", F.lit(0.0))).where(F.col("predicted").isNotNull() & F.col("deviation").isNotNull())
     sizes = rows.groupBy("crop_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    pick = F.xxhash64(F.lit(seed), *key)
-    chance = F.pmod(pick, F.lit(1_000_000_007)) / 1_000_000_007.0
-    likely = rows.join(sizes, "crop_id").withColumn("pick", pick).where(chance < 2.0 * POOL / F.col("n"))
-    order = Window.partitionBy("crop_id").orderBy("pick", *key)
-    pool = likely.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= POOL).drop("_r", "n")
-    forest = pool.select("crop_id", "pick", *INPUTS).groupBy("crop_id").applyInPandas(
+    unit = 1_000_000_007
+    within = F.ceil(F.lit(float(LIKELY * unit)) / F.col("n"))
+    likely = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *key), F.lit(unit)) < within)
+    drawn = rows.join(sizes, "crop_id").select(*key, *INPUTS, F.explode(likely).alias("tree")).withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "tree", *key), F.lit(unit)))
+    order = Window.partitionBy("crop_id", "tree").orderBy("pick", *key)  # about LIKELY rows
+    sample = drawn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE)
+    forest = sample.select("crop_id", "tree", "pick", *INPUTS).groupBy("crop_id").applyInPandas(
         _grower(trees, seed),
         "crop_id string, depth int, norm double, feature array<int>, threshold array<double>, leaf array<double>")
     blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
@@ -128,4 +130,4 @@ def isolation_scores(inputs: DataFrame, trees: int = K.ANOMALY_TREES, share: flo
     scores = materialise(scores)
     limit = exact_quantiles(scores, ["crop_id"], "score", {"limit": 1 - share}).drop("n_values")
     judged = scores.join(limit, "crop_id").select(*key, "score", (F.col("score") > F.col("limit")).alias("is_anomaly"))
-    return rows.select(*key).join(judged, key, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
+    return whole.select(*key).join(judged, key, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))

@@ -48,16 +48,16 @@ def _forecaster(steps: int):
 
 
 def seasonal_forecast(months: DataFrame, steps: int = 6, min_months: int = 24) -> DataFrame:
-    """Six months ahead for rain and mean temperature of every town with at least 24 months.
+    """Six months ahead for rain and mean temperature of every town with at least 24 observed months.
 
-    ``months`` has one row per town and month (stations averaged). Gaps are interpolated by Spark first.
+    ``months`` has one row per town and month (stations averaged). Months count before gaps are interpolated by Spark.
     """
     long = months.withColumn("period", D.month_index(F.col("year"), F.col("month"))).select("town_id", "period", F.explode(F.array(
         F.struct(F.lit("rain_mm").alias("measure"), F.col("rain_mm").alias("value")),
         F.struct(F.lit("temp_mean").alias("measure"), F.col("temp_mean").alias("value")))).alias("m")).select("town_id", "period", "m.*")
     key = ["town_id", "measure"]
     whole = W.interpolate(long, key, "period", "value")
-    sizes = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_months).drop("_n")
+    sizes = long.groupBy(*key).agg(F.count("value").alias("_n")).where(F.col("_n") >= min_months).drop("_n")
     ready = whole.join(sizes, key, "left_semi").select(*key, F.col("period").cast("int").alias("period"), "value")
     out = ready.groupBy(*key).applyInPandas(
         _forecaster(steps), "town_id int, measure string, period int, horizon int, value double, method string")

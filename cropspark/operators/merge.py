@@ -161,12 +161,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def merge_touched_partitions(spark: SparkSession, path: str, incoming: DataFrame, partition: str,
                              merge: Callable[[DataFrame, DataFrame], DataFrame], cluster_by: list[str] = ()) -> DataFrame:
-    """Merge into a partitioned table, reading and rewriting only the partitions the new rows fall into.
+    """Merge into a partitioned table, reading only the partitions the new rows fall into and rewriting those that change.
 
     ``merge(stored, incoming)`` returns the new rows of those partitions with ``change_type``; its result is also returned.
-    It is checkpointed before anything is overwritten, so no plan reads the files it replaces. A repeated run finds its rows
-    stored and changes nothing.
+    The new rows are written whole beside the table before any of its files is replaced, and removed after. A run that finds such rows
+    first finishes the run that left them, so a break at any point loses nothing. A repeated run finds its rows stored and changes nothing.
     """
+    staged = f"{path.rstrip('/')}.staged"
+    _apply_staged(spark, staged, path, partition, cluster_by)
     incoming = materialise(incoming)
     if exists(spark, path):
         touched = [r[0] for r in incoming.select(partition).distinct().collect()]  # months: bounded by the calendar
@@ -174,10 +176,51 @@ def merge_touched_partitions(spark: SparkSession, path: str, incoming: DataFrame
     else:
         stored = incoming.limit(0)
     merged = materialise(merge(stored, incoming))
-    replace_partitions(merged.drop("change_type"), path, [partition], cluster_by)
+    dirty = [r[0] for r in merged.where(F.col("change_type").isin(INSERTED, CHANGED)).select(partition).distinct().collect()]
+    if dirty:
+        merged.where(F.col(partition).isin(*dirty)).drop("change_type").write.mode("overwrite").parquet(staged)
+        _apply_staged(spark, staged, path, partition, cluster_by)
     return merged
 
 
+def _apply_staged(spark: SparkSession, staged: str, path: str, partition: str, cluster_by: list[str]) -> None:
+    """Replace the table's partitions by complete staged rows, if there are any; doing it again gives the same table."""
+    folder, fs = _folder(spark, staged)
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        replace_partitions(spark.read.parquet(staged), path, [partition], cluster_by)
+        spark.catalog.refreshByPath(path)
+    if fs.exists(folder):
+        fs.delete(folder, True)
+
+
+def expire_partitions(spark: SparkSession, path: str, partition: str, first_kept: str) -> list[str]:
+    """Remove the partition folders whose value, as text, is below the first one to keep; gives the values removed."""
+    folder, fs = _folder(spark, path)
+    gone = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        if name == partition and value < first_kept:
+            fs.delete(status.getPath(), True)
+            gone.append(value)
+    spark.catalog.refreshByPath(path)
+    return sorted(gone)
+
+
+def write_batch(df: DataFrame, base: str, batch_id: int) -> None:
+    """Rows of one batch in a folder of their own: a batch that comes again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
+    """Rows of all complete batches with ``batch``; None before the first."""
+    path, fs = _folder(spark, base)
+    if not fs.exists(path):
+        return None
+    whole = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")]
+    whole = [str(p) for p in whole if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return spark.read.option("basePath", base).parquet(*whole) if whole else None
+
+
 def retain_since(df: DataFrame, moment: str, now: Column, days: int) -> DataFrame:
     """Rows not older than the retention span."""
     return df.where(F.col(moment) >= now - F.make_dt_interval(F.lit(days)))

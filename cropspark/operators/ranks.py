@@ -15,10 +15,14 @@ from cropspark.session import materialise
 _ALL = "_all"
 
 
-def _default_ranges(df: DataFrame) -> int:
-    """As many value ranges per group as shuffle tasks, between 64 and 1024, as a power of two."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << (min(max(tasks, 64), 1024) - 1).bit_length()
+#: Distinct values that one range holds about, and copies of a group's cut points, so that a large group is no single join key.
+RANGE_VALUES, SALTS = 50_000, 16
+
+
+def _default_ranges(counts: DataFrame) -> int:
+    """A power of two: at least as many value ranges as shuffle tasks, and one for every RANGE_VALUES distinct values."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << (max(tasks, 64, counts.count() // RANGE_VALUES) - 1).bit_length()
 
 
 def rows_below(df: DataFrame, group: list[str], value: str, ranges: int | None = None) -> DataFrame:
@@ -30,14 +34,18 @@ def rows_below(df: DataFrame, group: list[str], value: str, ranges: int | None =
 def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """The same for distinct values that already carry their number of rows ``n``; further columns are kept."""
     keys = list(group) or [_ALL]
-    ranges = ranges or _default_ranges(counts)
-    # Read three times below; without the cut in lineage the whole upstream plan would run three times.
+    # Read several times below; without the cut in lineage the whole upstream plan would run as often.
     base = materialise(counts if group else counts.withColumn(_ALL, F.lit(0)))
+    ranges = ranges or _default_ranges(base)
     extra = [c for c in counts.columns if c not in (*group, value, "n")]
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     # Also written once, so that the totals and the rows inside a range use the same cut points.
     cuts = materialise(base.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps)).alias("_cuts")))
-    with_cuts = base.join(cuts, keys) if group else base.withColumn("_cuts", cuts.select("_cuts").scalar())
+    if group:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        with_cuts = base.withColumn("_salt", F.pmod(F.hash(value), F.lit(SALTS))).join(salted, [*keys, "_salt"]).drop("_salt")
+    else:
+        with_cuts = base.withColumn("_cuts", cuts.select("_cuts").scalar())
     placed = _place(with_cuts, "_cuts", value, "_range", ranges).drop("_cuts")
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
@@ -50,12 +50,17 @@ def scenario_projection(predictions: DataFrame) -> DataFrame:
 def prediction_lookup(predictions: DataFrame, requests: DataFrame) -> DataFrame:
     """For each requested town, crop and year the latest prediction not after it, else the latest of all.
 
-    One aggregate per request key; the answered year tells whether the fallback was used.
+    Predictions and distinct requests of a pair stand in one sequence of years, which the calendar bounds; no pair is joined. The answered
+    year tells whether the fallback was used. Pairs without a prediction give no row.
     """
-    pairs = requests.select("town_id", "crop_id", F.col("year").alias("asked_year")).join(predictions, ["town_id", "crop_id"])
-    fits = F.col("year") <= F.col("asked_year")
-    best = F.max_by(F.struct("year", "predicted", "low", "high"), F.struct(fits, "year"))
-    return pairs.groupBy("town_id", "crop_id", "asked_year").agg(best.alias("p")).select("town_id", "crop_id", "asked_year", "p.*")
+    answer = F.struct("year", "predicted", "low", "high")
+    made = predictions.select("town_id", "crop_id", "year", F.lit(0).alias("side"), answer.alias("p"))
+    asked = requests.select("town_id", "crop_id", "year").distinct().select("*", F.lit(1).alias("side"), F.lit(None).cast(made.schema["p"].dataType).alias("p"))
+    years = Window.partitionBy("town_id", "crop_id").orderBy("year", "side", "p")
+    so_far = F.last("p", ignorenulls=True).over(years.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ever = F.last("p", ignorenulls=True).over(years.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    both = made.unionByName(asked).withColumn("found", F.coalesce(so_far, ever))
+    return both.where((F.col("side") == 1) & F.col("found").isNotNull()).select("town_id", "crop_id", F.col("year").alias("asked_year"), "found.*")
 
 
 def search_predictions(named: DataFrame, wanted: str, k: int = 10) -> DataFrame:
@@ -182,12 +187,12 @@ def recent_climate(climate: DataFrame, towns: DataFrame, town: str, k: int = 12)
 
 def towns_with_harvest(towns: DataFrame, harvest: DataFrame) -> DataFrame:
     """Distinct 'town, department' labels of towns that have a harvest."""
-    return towns.join(harvest.select("town_id"), "town_id", "left_semi").select(
+    return towns.join(harvest.select("town_id").distinct(), "town_id", "left_semi").select(
         F.concat_ws(", ", "town", "department").alias("place")).distinct()
 
 
 def crops_with_harvest(crops: DataFrame, harvest: DataFrame) -> DataFrame:
-    return crops.join(harvest.select("crop_id"), "crop_id", "left_semi").select("crop").distinct()
+    return crops.join(harvest.select("crop_id").distinct(), "crop_id", "left_semi").select("crop").distinct()
 
 
 def recommendation(pairs: DataFrame, suitability: DataFrame, enso: DataFrame, alerts: DataFrame, predictions: DataFrame,

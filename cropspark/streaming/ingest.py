@@ -1,7 +1,8 @@
 """File stream of prices into a table by month, late data, run log, daily roll-up as a stream.
 
-The sink is exactly-once because the merge is idempotent: a replayed batch finds its rows already stored and changes
-nothing. The file source remembers paths, so a republished file needs a new name (with its publication time).
+The merge sink takes daily rows, a later one revising an earlier one. It is exactly-once because the merge is idempotent: a replayed batch
+finds its rows already stored and changes nothing. Single quotes, of which a day may have some in any number of batches, go to
+``quote_sink``, which keeps sums that add up. The file source remembers paths, so a republished file needs a new name (with its publication time).
 """
 
 from __future__ import annotations
@@ -44,9 +45,13 @@ def merge_sink(table: str, log: str, source: str, transform: Callable[[DataFrame
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, started = batch.sparkSession, datetime.now(UTC)
-        merged = M.merge_touched_partitions(spark, table, _with_month(transform(batch)), "year_month", merge, ["product_id", "market_id"])
-        changed = F.col("change_type").isin(M.INSERTED, M.CHANGED)
-        seen = merged.agg(F.count_if(changed).alias("new_rows"), F.max("day").alias("max_day")).first()
+        try:
+            merged = M.merge_touched_partitions(spark, table, _with_month(transform(batch)), "year_month", merge, ["product_id", "market_id"])
+            changed = F.col("change_type").isin(M.INSERTED, M.CHANGED)
+            seen = merged.agg(F.count_if(changed).alias("new_rows"), F.max("day").alias("max_day")).first()
+        except Exception as error:
+            log_run(spark, log, source, started, "error", error=str(error)[:500])
+            raise
         log_run(spark, log, source, started, "ok", seen.new_rows, seen.max_day)
 
     return write
@@ -80,15 +85,40 @@ def window_day(window: str = "window"):
     return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(f"{window}.start")) / 86400).cast("int"))
 
 
-def version_sink(table: str, select: Callable[[DataFrame], DataFrame]):
-    """foreachBatch function for complete-mode results: each batch is the table's next version."""
+def quote_sink(table: str, transform: Callable[[DataFrame], DataFrame]):
+    """foreachBatch function for single quotes (market_id, product_id, day, price): each batch keeps its own sums of a day."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        M.write_version(select(batch), table)
+        sums = transform(batch).groupBy(*FACT_KEY).agg(
+            F.sum("price").alias("total"), F.count("price").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+        M.write_batch(sums, table, batch_id)
 
     return write
 
 
+def quoted_days(spark: SparkSession, table: str) -> DataFrame:
+    """Daily price rows from the sums of all batches."""
+    return M.read_batches(spark, table).groupBy(*FACT_KEY).agg(
+        F.min("low").alias("price_min"), F.max("high").alias("price_max"), (F.sum("total") / F.sum("n")).alias("price_avg"))
+
+
+def update_sink(table: str, select: Callable[[DataFrame], DataFrame]):
+    """foreachBatch function for update mode: each batch keeps the rows it changed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        M.write_batch(select(batch), table, batch_id)
+
+    return write
+
+
+def latest_rows(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """Each key's row of the last batch that changed it."""
+    rows = M.read_batches(spark, table)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*values), "batch")
+    return rows.groupBy(*keys).agg(last.alias("r")).select(*keys, "r.*")
+
+
 def newer_data(fact: DataFrame, runs: DataFrame, stage: str) -> DataFrame:
     """Whether the stage has to run again: the fact's newest day against the newest day of the stage's last good run."""
     done = runs.where((F.col("source") == stage) & (F.col("status") == "ok")).agg(F.max("max_day")).scalar()

@@ -322,7 +322,7 @@ LEFT JOIN feature_base l3 ON l3.town_id = b.town_id AND l3.crop_id = b.crop_id A
 WINDOW w AS (PARTITION BY b.town_id, b.crop_id ORDER BY b.year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
     store = feature_store(spark, sf).withColumn("_town", F.col("town_id").cast("string"))
-    present = S.lots(spark, sf).select("town_id")  # codes count the towns that have rows
+    present = S.lots(spark, sf).select("town_id").distinct()  # codes count the towns that have rows
     towns = materialise(
         S.towns(spark, sf).join(present, "town_id", "left_semi").withColumn("_town", F.col("town_id").cast("string")))
     return store.join(RK.dense_codes(towns, "_town", "town_code"), "_town").join(

@@ -185,38 +185,41 @@ def _scratch(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _landed(sf: str, name: str) -> str:
+    """A table as a stream's input, be it a file or a folder of files: a pattern takes both."""
+    return f"{sf}/{name}.parque[t]"
+
+
 @query("stream_ingest", {"market_id": "i", "product_id": "s", "day": "d", "price_min": "f", "price_max": "f", "price_avg": "f", "source": "s"}, """
 SELECT market_id, product_id, day, price_min, price_max, price_avg, 'soap' AS source FROM daily""")
 def _(spark, sf):
-    """The quotes file as a stream, merged by precedence into a table by month; the table is the result."""
+    """The quotes as a stream of files, any number to a batch; the sums of all batches give the daily rows."""
     base = _scratch(spark, "prices")
-    schema = table(spark, sf, "lineitem").schema
-    stream = IN.file_stream(spark, sf, schema, "parquet", "lineitem.parquet")
+    stream = IN.file_stream(spark, _landed(sf, "lineitem"), table(spark, sf, "lineitem").schema, "parquet")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
 
     def transform(batch):
-        quotes = batch.join(supplier, batch.l_suppkey == supplier.s_suppkey).join(part, batch.l_partkey == part.p_partkey).select(
+        return batch.join(supplier, batch.l_suppkey == supplier.s_suppkey).join(part, batch.l_partkey == part.p_partkey).select(
             F.col("s_nationkey").alias("market_id"), F.col("p_brand").alias("product_id"), F.to_date("l_shipdate").alias("day"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-        return P.daily_prices(quotes).withColumn("source", F.lit("soap"))
 
-    IN.run_available(stream, IN.merge_sink(f"{base}/fact", f"{base}/log", "feed", transform), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/fact")
+    IN.run_available(stream, IN.quote_sink(f"{base}/sums", transform), f"{base}/checkpoint")
+    return IN.quoted_days(spark, f"{base}/sums").withColumn("source", F.lit("soap"))
 
 
 @query("stream_daily_rollup", {"event_type": "s", "day": "d", "mean": "f", "n": "i"}, """
 SELECT event_type, CAST(ts AS DATE) AS day, AVG(value) AS mean, COUNT(*) AS n FROM events GROUP BY ALL""")
 def _(spark, sf):
     base = _scratch(spark, "rollup")
-    stream = IN.file_stream(spark, sf, table(spark, sf, "events").schema, "parquet", "events.parquet")
+    stream = IN.file_stream(spark, _landed(sf, "events"), table(spark, sf, "events").schema, "parquet")
     # A watermark needs an instant, not a wall-clock time: take the instant that reads the same in UTC, in any session zone.
     instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     timed = stream.select("event_type", instant.alias("event_time"), "value")
     means = IN.daily_means(timed, "event_time", ["event_type"], "value")
-    sink = IN.version_sink(f"{base}/table", lambda b: b.select("event_type", IN.window_day().alias("day"), "mean", "n"))
-    IN.run_available(means, sink, f"{base}/checkpoint", "complete")
-    return M.read_current(spark, f"{base}/table")
+    sink = IN.update_sink(f"{base}/table", lambda b: b.select("event_type", IN.window_day().alias("day"), "mean", "n"))
+    IN.run_available(means, sink, f"{base}/checkpoint", "update")
+    return IN.latest_rows(spark, f"{base}/table", ["event_type", "day"])
 
 
 @query("newer_data", {"max_day": "d", "done_day": "d", "is_due": "b"}, """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cropspark.functions import rules as R
@@ -11,6 +13,7 @@ from cropspark.operators import quality as QC
 from cropspark.operators import ranks as RK
 from cropspark.operators import stats as ST
 from cropspark.plans import climate as CL
+from cropspark.session import shared_dir
 from registry import standins as S
 from registry.base import CTES, query, table
 
@@ -247,8 +250,14 @@ def _(spark, sf):
 @query("retention", {"kept": "i", "first": "t"}, """
 SELECT COUNT(*) AS kept, MIN(ts) AS first FROM events WHERE ts >= (SELECT MAX(ts) FROM events) - INTERVAL 7 DAY""")
 def _(spark, sf):
-    events = table(spark, sf, "events")
-    return M.retain_since(events, "ts", events.agg(F.max("ts")).scalar(), 7).agg(F.count(F.lit(1)).alias("kept"), F.min("ts").alias("first"))
+    """Expired days are removed from a table stored by day; the day the span begins in is cut."""
+    path = f"{shared_dir(spark)}/retention-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").withColumn("_day", F.date_format("ts", "yyyy-MM-dd"))
+    M.replace_partitions(events, path, ["_day"])
+    first = events.agg(F.date_format(F.max("ts") - F.make_dt_interval(F.lit(7)), "yyyy-MM-dd")).first()[0]
+    M.expire_partitions(spark, path, "_day", first)
+    kept = spark.read.parquet(path)
+    return M.retain_since(kept, "ts", kept.agg(F.max("ts")).scalar(), 7).agg(F.count(F.lit(1)).alias("kept"), F.min("ts").alias("first"))
 
 
 # --- quality ------------------------------------------------------------------------------------------

@@ -262,11 +262,110 @@ def test_daily_means_count_late_rows(spark, tmp_path):
 
     def run():
         stream = IN.file_stream(spark, str(landing), "ts timestamp, k string, v double", "json")
-        sink = IN.version_sink(table, lambda b: b.select("k", IN.window_day().alias("day"), "mean", "n"))
-        IN.run_available(IN.daily_means(stream, "ts", ["k"], "v"), sink, str(tmp_path / "c"), "complete")
-        return {r.day: (r["mean"], r.n) for r in M.read_current(spark, table).collect()}
+        sink = IN.update_sink(table, lambda b: b.select("k", IN.window_day().alias("day"), "mean", "n"))
+        IN.run_available(IN.daily_means(stream, "ts", ["k"], "v"), sink, str(tmp_path / "c"), "update")
+        return {r.day: (r["mean"], r.n) for r in IN.latest_rows(spark, table, ["k", "day"]).collect()}
 
     (landing / "1.json").write_text('{"ts":"2026-01-05T10:00:00Z","k":"a","v":1}', encoding="utf-8")
     assert run() == {date(2026, 1, 5): (1.0, 1)}
     (landing / "2.json").write_text('{"ts":"2026-01-05T11:00:00Z","k":"a","v":3}\n{"ts":"2026-01-06T11:00:00Z","k":"a","v":5}', encoding="utf-8")
     assert run() == {date(2026, 1, 5): (2.0, 2), date(2026, 1, 6): (5.0, 1)}
+
+
+def test_failed_batch_leaves_an_error_row(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def broken(batch):
+        raise ValueError("no such market")
+
+    with pytest.raises(ValueError):
+        IN.merge_sink(str(tmp_path / "fact"), log, "feed", broken)(spark.range(1), 0)
+    row = spark.read.parquet(log).first()
+    assert (row.source, row.status, row.error, row.new_rows) == ("feed", "error", "no such market", None)
+    assert row.started_at <= row.finished_at
+
+
+def test_quotes_of_a_day_add_up_over_files_batches_and_replays(spark, tmp_path):
+    landing, table = tmp_path / "in", str(tmp_path / "sums")
+    landing.mkdir()
+    quotes = [(m, "p", f"2025-03-0{d}", float(10 * d + k)) for m in (1, 2) for d in (1, 2) for k in range(6)]
+    for i in range(4):
+        (landing / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("market_id", "product_id", "day", "price"), q))) for q in quotes[i::4]), encoding="utf-8")
+    stream = IN.file_stream(spark, str(landing), "market_id int, product_id string, day date, price double", "json", files_per_batch=1)
+    sink = IN.quote_sink(table, lambda b: b)
+    batches = []
+    IN.run_available(stream, lambda b, i: (batches.append(i), sink(b, i), sink(b, i)), str(tmp_path / "c"))
+    assert len(batches) == 4
+    (tmp_path / "sums" / "batch=99").mkdir()  # begun, never completed
+    got = {(r.market_id, r.day.day): (r.price_min, r.price_max, r.price_avg) for r in IN.quoted_days(spark, table).collect()}
+    assert got == {(m, d): (10.0 * d, 10.0 * d + 5, 10.0 * d + 2.5) for m in (1, 2) for d in (1, 2)}
+
+
+def _by_key(stored, incoming):
+    both = stored.select("k", "v", "year_month", F.lit(0).alias("new")).unionByName(incoming.select("k", "v", "year_month", F.lit(1).alias("new")))
+    last = both.groupBy("k", "year_month").agg(F.max_by("v", "new").alias("v"), F.count_if(F.col("new") == 0).alias("old"), F.max("new").alias("new"), F.min_by("v", "new").alias("was"))
+    kind = F.when(F.col("old") == 0, M.INSERTED).when((F.col("new") == 1) & (F.col("v") != F.col("was")), M.CHANGED).otherwise("unchanged")
+    return last.select("k", "v", "year_month", kind.alias("change_type"))
+
+
+def test_a_broken_merge_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "k int, v double, year_month string"
+    months = {k: f"2025-0{1 + k % 3}" for k in range(9)}
+
+    def rows(*pairs):
+        return spark.createDataFrame([(k, v, months[k]) for k, v in pairs], schema)
+
+    def table():
+        spark.catalog.refreshByPath(path)
+        return {r.k: r.v for r in spark.read.parquet(path).collect()}
+
+    M.merge_touched_partitions(spark, path, rows(*[(k, 1.0) for k in range(9)]), "year_month", _by_key)
+    real = M.replace_partitions
+
+    def dies_half_way(df, where, by, cluster=()):
+        for folder in (tmp_path / "t").glob("year_month=2025-01"):
+            for f in folder.glob("*.parquet"):
+                f.unlink()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(M, "replace_partitions", dies_half_way)
+    with pytest.raises(RuntimeError):
+        M.merge_touched_partitions(spark, path, rows((0, 5.0), (1, 6.0)), "year_month", _by_key)
+    monkeypatch.setattr(M, "replace_partitions", real)
+    assert 3 not in table()
+    again = M.merge_touched_partitions(spark, path, rows((0, 5.0), (1, 6.0)), "year_month", _by_key)
+    assert table() == {**{k: 1.0 for k in range(9)}, 0: 5.0, 1: 6.0}
+    assert again.where(F.col("change_type") != "unchanged").count() == 0
+    files = {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    M.merge_touched_partitions(spark, path, rows((0, 7.0), (1, 6.0)), "year_month", _by_key)
+    kept = {p for p in files if "2025-02" in p or "2025-03" in p}
+    assert kept <= {str(p) for p in (tmp_path / "t").rglob("*.parquet")} and table()[0] == 7.0
+
+
+def test_expired_partitions_are_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, f"2025-0{m}") for i, m in enumerate((1, 2, 3, 3))], "i int, month string").write.partitionBy("month").parquet(path)
+    assert M.expire_partitions(spark, path, "month", "2025-03") == ["2025-01", "2025-02"]
+    assert sorted(r.i for r in spark.read.parquet(path).collect()) == [2, 3]
+    assert M.expire_partitions(spark, path, "month", "2025-03") == [] and M.expire_partitions(spark, str(tmp_path / "none"), "month", "x") == []
+
+
+def test_seasonal_months_count_before_gaps_are_filled(spark):
+    few = [(1, 2020 + m // 12, 1 + m % 12, 5.0, 20.0) for m in (0, 6, 12, 18, 25)]
+    enough = [(2, 2020 + m // 12, 1 + m % 12, 5.0 + m, 20.0) for m in range(26) if m not in (3, 9)]
+    got = SE.seasonal_forecast(spark.createDataFrame(few + enough, "town_id int, year int, month int, rain_mm double, temp_mean double"))
+    assert {r.town_id for r in got.select("town_id").distinct().collect()} == {2}
+
+
+def test_a_single_risk_class_falls_back_to_persistence(spark):
+    from cropspark.models import alerts as AL
+
+    rows = [(t, 2024 + m // 12, 1 + m % 12, 1, "rain", float(m)) for t in (1, 2) for m in range(14)]
+    samples = spark.createDataFrame(rows, "town_id int, year int, month int, risk int, event string, rain_mm double")
+    samples = samples.withColumn("period", F.col("year") * 12 + F.col("month")).withColumn("target", F.when(F.col("period") < F.lit(2025 * 12 + 2), F.lit(1)))
+    for c in AL.FEATURES:
+        if c not in samples.columns:
+            samples = samples.withColumn(c, F.lit(1.0))
+    out, metrics = AL.train_and_evaluate(samples)
+    assert [(r.model, r.accuracy) for r in metrics.collect()] == [("persistence", 1.0)]
+    assert {r.level for r in out.collect()} == {"MEDIO"} and out.where("is_active").count() == 2

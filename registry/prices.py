@@ -10,7 +10,7 @@ from cropspark.operators import windows as W
 from cropspark.plans import prices as P
 from cropspark.plans import report as RP
 from registry import standins as S
-from registry.base import CTES, query
+from registry.base import CTES, ORACLE, query
 
 REPORT_DAY = date(1998, 8, 23)
 
@@ -226,9 +226,33 @@ def _(spark, sf):
     return RP.outliers(base(spark, sf))
 
 
-@query("report_document", {"day": "d", "payload": "s"})
+# The document's lists, by the SQL of each; the document itself is taken apart again for the comparison.
+DOCUMENT_SQL = f"""
+SELECT 'coverage' AS list, NULL AS name, NULL AS place, series_with_data AS value FROM ({ORACLE["coverage"]})
+UNION ALL SELECT list, product, market, change_pct FROM ({ORACLE["movers_day"]})
+UNION ALL SELECT list, product, market, change_pct FROM ({ORACLE["movers_7d"]})
+UNION ALL SELECT 'market_gap', product, cheapest_market, gap_pct FROM ({ORACLE["market_gap"]})
+UNION ALL SELECT 'departments', department, NULL, series FROM ({ORACLE["department_summary"]})
+UNION ALL SELECT 'outliers', product, market, z FROM ({ORACLE["zscore_outliers"]})"""
+
+
+@query("report_document", {"day": "d", "list": "s", "name": "s", "place": "s", "value": "f3"}, f"SELECT DATE '1998-08-23' AS day, q.* FROM ({DOCUMENT_SQL}) q")
 def _(spark, sf):
-    return RP.report_document(S.report_prices(spark, sf), REPORT_DAY)
+    moved = "ARRAY<STRUCT<product: STRING, market: STRING, change_pct: DOUBLE>>"
+    schema = ("coverage STRUCT<series_with_data: LONG>, " + ", ".join(f"{n} {moved}" for n in ("rises_day", "falls_day", "rises_week", "falls_week"))
+              + ", market_gap ARRAY<STRUCT<product: STRING, cheapest_market: STRING, gap_pct: DOUBLE>>, departments ARRAY<STRUCT<department: STRING, series: LONG>>"
+              + ", outliers ARRAY<STRUCT<product: STRING, market: STRING, z: DOUBLE>>")
+    doc = RP.report_document(S.report_prices(spark, sf), REPORT_DAY).select("day", F.from_json("payload", schema).alias("p")).select("day", "p.*")
+    shape = "array<struct<list:string,name:string,place:string,value:double>>"
+    none = F.lit(None).cast("string")
+
+    def rows(name, *fields):
+        return F.transform(name, lambda x: F.struct(F.lit(name).alias("list"), *[(x[f] if f else none).alias(c) for f, c in zip(fields[:2], ("name", "place"))], x[fields[2]].cast("double").alias("value"))).cast(shape)
+
+    movers = [rows(n, "product", "market", "change_pct") for n in ("rises_day", "falls_day", "rises_week", "falls_week")]
+    seen = F.array(F.struct(F.lit("coverage").alias("list"), none.alias("name"), none.alias("place"), F.col("coverage.series_with_data").cast("double").alias("value"))).cast(shape)
+    every = F.concat(seen, *movers, rows("market_gap", "product", "cheapest_market", "gap_pct"), rows("departments", "department", None, "series"), rows("outliers", "product", "market", "z"))
+    return doc.select("day", F.explode(every).alias("r")).select("day", "r.*")
 
 
 @query("report_pending", {"day": "d", "generated_at": "t", "last_change": "t", "pending": "b"}, """

@@ -15,7 +15,7 @@ from cropspark.operators import stats as ST
 from cropspark.plans import climate as CL
 from cropspark.session import shared_dir
 from registry import standins as S
-from registry.base import CTES, query, table
+from registry.base import CTES, ORACLE, query, table
 
 
 # --- aggregates ---------------------------------------------------------------------------------------
@@ -413,6 +413,19 @@ def _(spark, sf):
     return ST.mann_whitney(tied(spark, sf), ["comparison"], "level", "value")
 
 
+@query("holm_adjusted", {"comparison": "s", "group1": "s", "group2": "s", "p": "f6", "p_adjusted": "f6", "significant": "b"}, f"""
+SELECT *, p_adjusted < 0.05 AS significant FROM (
+  SELECT comparison, group1, group2, p, LEAST(1.0, MAX(p * (m - k + 1)) OVER (PARTITION BY comparison ORDER BY k)) AS p_adjusted FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY comparison ORDER BY p, group1, group2) AS k, COUNT(*) OVER (PARTITION BY comparison) AS m
+    FROM (SELECT comparison, group1, group2, 1 / (1 + POW(z, 4)) AS p FROM ({ORACLE["mann_whitney"]}))))""")
+def _(spark, sf):
+    """The adjustment on a p that SQL can state, from the rounded z of each pair."""
+    from registry.base import QUERIES
+
+    pairs = QUERIES["mann_whitney"](spark, sf)
+    return ST.holm(pairs.select("comparison", "group1", "group2", (1 / (1 + F.pow("z", F.lit(4)))).alias("p")), ["comparison"])
+
+
 @query("group_comparisons", {"comparison": "s", "welch_f": "f", "welch_p": "f6", "kruskal_h": "f", "kruskal_p": "f6", "levene_p": "f6", "eta2": "f", "effect": "s", "stars": "s"})
 def _(spark, sf):
     return ST.compare_groups(units(spark, sf), ["comparison"], "level", "rain")

@@ -104,13 +104,14 @@ def _(spark, sf):
             .agg(F.avg(F.col("p_retailprice") * (1 + F.col("l_tax"))).alias("price")))
 
 
-CTES["sparse_harvest"] = "SELECT * FROM harvest WHERE harvested_ha > 0 AND (year <> 1998 OR yield_t_ha > 2) AND (year <> 1997 OR sown_ha > 250)"
+_SEEN = "harvested_ha > 0 AND (year <> 1998 OR yield_t_ha > 2) AND (year <> 1997 OR sown_ha > 250)"
+CTES["sparse_harvest"] = f"SELECT * REPLACE (CASE WHEN {_SEEN} THEN yield_t_ha END AS yield_t_ha, CASE WHEN {_SEEN} THEN production_t END AS production_t) FROM harvest"
 
 
 def sparse_harvest(spark, sf):
-    """Harvest with gaps: some series lack 1997 or 1998."""
-    return S.harvest(spark, sf).where((F.col("harvested_ha") > 0) & ((F.col("year") != 1998) | (F.col("yield_t_ha") > 2))
-                                      & ((F.col("year") != 1997) | (F.col("sown_ha") > 250)))
+    """The whole harvest; some yields and productions of 1997 and 1998 are missing, and a missing value is a gap."""
+    seen = F.expr(_SEEN)
+    return S.harvest(spark, sf).withColumns({c: F.when(seen, F.col(c)) for c in ("yield_t_ha", "production_t")})
 
 
 @query("calendar_lag_1_3", {"town_id": "i", "crop_id": "s", "year": "i", "yield_t_ha": "f", "lag1": "f", "lag3": "f", "next1": "f"}, """
@@ -151,22 +152,23 @@ def _(spark, sf):
 
 @query("interpolate_gaps", {"town_id": "i", "period": "i", "rain_mm": "f", "is_filled": "b"}, """
 WITH known AS (SELECT town_id, year * 12 + month AS period, rain_mm FROM (
-    SELECT c_nationkey AS town_id, YEAR(o_orderdate) AS year, MONTH(o_orderdate) AS month, AVG(o_totalprice) AS rain_mm
-    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY ALL)),
-spine AS (SELECT town_id, UNNEST(GENERATE_SERIES(MIN(period), MAX(period))) AS period FROM known GROUP BY town_id),
+    SELECT c_nationkey AS town_id, YEAR(o_orderdate) AS year, MONTH(o_orderdate) AS month, AVG(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN o_totalprice END) AS rain_mm
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)),
+held AS (SELECT * FROM known WHERE rain_mm IS NOT NULL),
+spine AS (SELECT town_id, UNNEST(GENERATE_SERIES((SELECT MIN(h.period) FROM held h WHERE h.town_id = known.town_id), MAX(period))) AS period FROM known GROUP BY town_id),
 edges AS (SELECT s.town_id, s.period, k.rain_mm,
-    (SELECT MAX(x.period) FROM known x WHERE x.town_id = s.town_id AND x.period <= s.period) AS p0,
-    (SELECT MIN(x.period) FROM known x WHERE x.town_id = s.town_id AND x.period >= s.period) AS p1
-  FROM spine s LEFT JOIN known k USING (town_id, period))
-SELECT e.town_id, e.period, CASE WHEN p1 = p0 THEN a.rain_mm ELSE a.rain_mm + (b.rain_mm - a.rain_mm) / (p1 - p0) * (e.period - p0) END AS rain_mm,
+    (SELECT MAX(x.period) FROM held x WHERE x.town_id = s.town_id AND x.period <= s.period) AS p0,
+    (SELECT MIN(x.period) FROM held x WHERE x.town_id = s.town_id AND x.period >= s.period) AS p1
+  FROM spine s LEFT JOIN held k USING (town_id, period))
+SELECT e.town_id, e.period, CASE WHEN p1 = p0 OR p1 IS NULL THEN a.rain_mm ELSE a.rain_mm + (b.rain_mm - a.rain_mm) / (p1 - p0) * (e.period - p0) END AS rain_mm,
        e.rain_mm IS NULL AS is_filled
-FROM edges e JOIN known a ON a.town_id = e.town_id AND a.period = p0 JOIN known b ON b.town_id = e.town_id AND b.period = p1""")
+FROM edges e JOIN held a ON a.town_id = e.town_id AND a.period = p0 LEFT JOIN held b ON b.town_id = e.town_id AND b.period = p1""")
 def _(spark, sf):
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
-    urgent = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-    months = urgent.join(customer, urgent.o_custkey == customer.c_custkey).groupBy(
+    urgent = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), F.col("o_totalprice"))
+    months = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(
         F.col("c_nationkey").alias("town_id"), D.month_index(F.year("o_orderdate"), F.month("o_orderdate")).alias("period")).agg(
-        F.avg("o_totalprice").alias("rain_mm"))
+        F.avg(urgent).alias("rain_mm"))
     return W.interpolate(months, ["town_id"], "period", "rain_mm")
 
 

@@ -149,15 +149,16 @@ def _(spark, sf):
     return C.validate_prices(rows, "day", "market", "product", "low", "high", "mean", ceiling=20000)
 
 
-@query("contract_alignment", {"town_id": "i", "town": "s", "altitude": "f", "region_name": "s"}, """
-SELECT n_nationkey AS town_id, n_name AS town, NULL AS altitude,
-       CASE WHEN n_nationkey IN (5, 11, 15, 17) THEN 'Andina' WHEN n_nationkey IN (8, 13, 20, 23) THEN 'Caribe' WHEN n_nationkey IN (19) THEN 'Pacífico' WHEN n_nationkey = 18 THEN 'Amazonía' END AS region_name
-FROM nation""")
+_REGIONS = ", ".join(f"('{k}', '{v}')" for k, v in K.DEPARTMENT_REGION.items())
+
+
+@query("contract_alignment", {"town_id": "i", "town": "s", "altitude": "f", "region_name": "s"}, f"""
+SELECT c_custkey AS town_id, c_name AS town, NULL AS altitude, region_name
+FROM customer LEFT JOIN (VALUES {_REGIONS}) v(code, region_name) ON code = LPAD(CAST(c_custkey % 100 AS VARCHAR), 2, '0')""")
 def _(spark, sf):
-    named = C.resolve_aliases(table(spark, sf, "nation"), {"town_id": ["ID_MUNI", "N_NATIONKEY"], "town": ["municipio", "n_name"]})
+    named = C.resolve_aliases(table(spark, sf, "customer"), {"town_id": ["ID_MUNI", "C_CUSTKEY"], "town": ["municipio", "c_name"]})
     aligned = C.align_to_contract(named, {"town_id": "int", "town": "string", "altitude": "double"})
-    return C.constant_lookup(aligned.withColumn("_d", T.zero_pad(F.col("town_id"), 2)), "_d",
-                             {k: v for k, v in K.DEPARTMENT_REGION.items() if k < "24"}, "region_name")
+    return C.constant_lookup(aligned.withColumn("_d", T.zero_pad(F.col("town_id") % 100, 2)), "_d", K.DEPARTMENT_REGION, "region_name")
 
 
 @query("unpivot_indices", {"year": "i", "index_name": "s", "value": "f2"}, """

@@ -112,14 +112,14 @@ def _(spark, sf):
 
 
 @query("oof_intervals", {"town_id": "i", "crop_id": "s", "year": "i", "lo": "f", "hi": "f"}, """
-WITH oof AS (SELECT town_id, crop_id, year, yield_t_ha AS y, predicted AS yhat, yield_t_ha - predicted AS res FROM predictions WHERE year >= 1998),
+WITH oof AS (SELECT town_id, crop_id, year, yield_t_ha AS y, predicted AS yhat, yield_t_ha - predicted AS res FROM predictions),
 years AS (SELECT DISTINCT year FROM oof),
 o AS (SELECT v.year, QUANTILE_CONT(res, 0.1) AS l, QUANTILE_CONT(res, 0.9) AS h FROM years v JOIN oof x ON x.year <> v.year AND x.year <> 2001 GROUP BY v.year),
 c AS (SELECT v.year, crop_id, QUANTILE_CONT(res, 0.1) AS l, QUANTILE_CONT(res, 0.9) AS h FROM years v JOIN oof x ON x.year <> v.year AND x.year <> 2001 GROUP BY v.year, crop_id HAVING COUNT(*) >= 30)
 SELECT oof.town_id, oof.crop_id, oof.year, GREATEST(yhat + COALESCE(c.l, o.l), 0) AS lo, yhat + COALESCE(c.h, o.h) AS hi
 FROM oof JOIN o ON o.year = oof.year LEFT JOIN c ON c.year = oof.year AND c.crop_id = oof.crop_id""")
 def _(spark, sf):
-    oof = S.predictions(spark, sf).where(F.col("year") >= 1998).select(
+    oof = S.predictions(spark, sf).select(
         "town_id", "crop_id", "year", F.col("yield_t_ha").alias("y"), F.col("predicted").alias("yhat"))
     return FO.calibrated_intervals(oof, 2001, FO.distinct_years(oof))
 
@@ -151,7 +151,7 @@ def _(spark, sf):
 
 @query("alert_model", {"town_id": "i", "year": "i", "month": "i", "level": "s", "event": "s", "is_active": "b", "description": "s"})
 def _(spark, sf):
-    rows, _ = AL.train_and_evaluate(CL.alert_samples(S.risk(spark, sf)), numTrees=20, maxDepth=5)
+    rows, _ = AL.train_and_evaluate(CL.alert_samples(S.risk(spark, sf)))
     return rows
 
 
@@ -224,11 +224,11 @@ def _(spark, sf):
 
 @query("newer_data", {"max_day": "d", "done_day": "d", "is_due": "b"}, """
 SELECT (SELECT MAX(max_day) FROM runs) AS max_day, MAX(max_day) AS done_day, (SELECT MAX(max_day) FROM runs) > MAX(max_day) AS is_due FROM runs
-WHERE source = 'purchase' AND status = 'ok' AND new_rows > 90""")
+WHERE source = 'purchase' AND status = 'ok'""")
 def _(spark, sf):
     runs = S.runs(spark, sf)
     fact = runs.select(F.col("max_day").alias("day"))
-    return IN.newer_data(fact, runs.where(F.col("new_rows") > 90), "purchase")
+    return IN.newer_data(fact, runs, "purchase")
 
 
 @query("missing_months", {"year": "i", "month": "i"}, """

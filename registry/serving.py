@@ -217,9 +217,10 @@ def _(spark, sf):
     return V.usage(table(spark, sf, "events").withColumn("day", local_day(F.col("ts"))), ["user_id", "day"], 3)
 
 
-@query("catalogue", {"table_name": "s", "n_rows": "n"}, """
-SELECT 'lineitem' AS table_name, COUNT(*) AS n_rows FROM lineitem UNION ALL SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'documents', COUNT(*) FROM documents
-UNION ALL SELECT 'absent', NULL""")
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("catalogue", {"table_name": "s", "n_rows": "n"}, " UNION ALL ".join([f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in TABLES]) + " UNION ALL SELECT 'absent', NULL")
 def _(spark, sf):
-    names = {n: table(spark, sf, n) for n in ("lineitem", "orders", "documents")}
+    names = {n: table(spark, sf, n) for n in TABLES}
     return V.catalogue(spark, {**names, "absent": None})

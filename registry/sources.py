@@ -148,15 +148,24 @@ def _(spark, sf):
     return X.land_use(cells, 2014)
 
 
-@query("parse_input_sheets", {"year": "i", "month": "i", "region": "s", "kind": "s", "subgroup": "s", "price": "f"}, """
-SELECT year, month, CASE WHEN region_id = 0 THEN 'Andina' WHEN region_id = 1 THEN 'Caribe' ELSE 'Andina' END AS region, 'agroquimico' AS kind,
-       CASE input_name WHEN 'ECONOMY' THEN 'Fungicidas' ELSE 'Herbicidas' END AS subgroup, AVG(price) AS price
-FROM inputs WHERE input_name IN ('ECONOMY', 'STANDARD') AND region_id < 2 GROUP BY ALL""")
+#: What each type of part plays: a sub-group's sheet and its kind; the sub-group of LARGE belongs to livestock.
+INPUT_SHEETS = {
+    "ECONOMY": ("1.2. Fungicidas", "agroquimico"), "STANDARD": ("1.3. Herbicidas", "agroquimico"), "SMALL": ("1.7. Material de propagación", "semilla"),
+    "MEDIUM": ("1.8. Bioinsumos", "bioinsumo"), "PROMO": ("1.1. Fertilizantes, enmiendas y acondicionadores de suelo", "fertilizante"), "LARGE": ("2.1. Antibióticos", None)}
+#: A department of each region.
+REGION_CODES = [("'05", "Andina"), ("8", "Caribe"), ("19", "Pacífico"), ("18", "Amazonía"), ("'50", "Orinoquía")]
+_SHEETS = ", ".join(f"('{k}', '{t.split('. ', 1)[1]}', '{kind}')" for k, (t, kind) in INPUT_SHEETS.items() if kind)
+_CODES = ", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(REGION_CODES))
+
+
+@query("parse_input_sheets", {"year": "i", "month": "i", "region": "s", "kind": "s", "subgroup": "s", "price": "f"}, f"""
+SELECT year, month, region, kind, subgroup, AVG(price) AS price
+FROM inputs JOIN (VALUES {_SHEETS}) s(input_name, subgroup, kind) USING (input_name) JOIN (VALUES {_CODES}) r(region_id, region) USING (region_id) GROUP BY ALL""")
 def _(spark, sf):
     """One sheet per sub-group; the sheet of a livestock group is dropped."""
-    names = F.create_map(*[F.lit(x) for x in ("ECONOMY", "1.2. Fungicidas", "STANDARD", "1.3. Herbicidas", "PROMO", "2.1. Antibióticos")])
-    rows = S.inputs(spark, sf).withColumn("title", F.try_element_at(names, F.col("input_name"))).where(F.col("title").isNotNull())
-    code = F.when(F.col("region_id") == 0, "'05").when(F.col("region_id") == 1, "8").otherwise("77")
+    names = F.create_map(*[F.lit(x) for k, (t, _) in INPUT_SHEETS.items() for x in (k, t)])
+    rows = S.inputs(spark, sf).withColumn("title", F.try_element_at(names, F.col("input_name")))
+    code = F.get(F.array(*[F.lit(c) for c, _ in REGION_CODES]), F.col("region_id"))
     body = rows.select(F.col("input_name").alias("file"), (F.lit(20) + F.col("year") * 12 + F.col("month")).alias("row"), F.array(
         F.col("year").cast("string"), D.month_name_es(F.col("month")), F.lit("x"), code, F.col("price").cast("string")).alias("cells"))
     heads = rows.select(F.col("input_name").alias("file"), "title").distinct().select("file", F.explode(F.array(

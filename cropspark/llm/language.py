@@ -3,7 +3,7 @@
 Each language has a codeword; for each bit a classifier, trained on the counts of all training rows, tells languages with a 1 from those
 with a 0 by the log-odds of byte trigrams (A-Z lower-cased, ASCII other than letters as a space). A text's margins are decoded with the
 logistic loss, weighted by how often each bit was right for each language on the training rows. The nearest codeword wins; where a
-second one is as near as ``AMBIGUOUS`` or the nearest is no nearer than chance, the row is flagged.
+second one is nearly as near (``AMBIGUOUS``), the row is flagged.
 
 Training counts and weights come from all training rows, summed on the executors; only ``languages x FEATURES`` sums reach the driver.
 Missing texts, and texts without a letter, are ``und`` with score 0, as is everything when there is nothing to learn from. Languages
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from cropspark.llm.common import steps, tidy
 
 FEATURES = 1 << 13
-#: Two codewords are told apart only if their losses differ by this much, as a share of a text's mean margin.
-AMBIGUOUS = 0.0005
+#: A text is flagged if its two nearest codewords differ in loss by less than this share of its mean margin. Texts in two languages are.
+AMBIGUOUS = 0.05
+#: The same for texts that ``known_language`` drops: only such as no codeword is nearer to.
+TIED = 1e-9
 STEP = 2 << 20
 
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -80,7 +82,7 @@ class Model:
             out[some] = np.add.reduceat(self.odds[features], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64) / np.sqrt(n[some, None])
         return np.clip(out, -30, 30)
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def decode(self, margins: np.ndarray, gap: float = AMBIGUOUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest language, its probability among all and whether another is as near."""
         loss = np.stack([(np.logaddexp(0, -margins * c) * w).sum(axis=1) for c, w in zip(self.code, self.weights, strict=True)], axis=1)
         best = loss.argmin(axis=1)
@@ -88,7 +90,7 @@ class Model:
         shares = np.exp(least[:, None] - loss)
         scale = np.maximum(np.abs(margins).mean(axis=1), 1e-12)
         second = np.partition(loss, 1, axis=1)[:, 1] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
-        return best, 1 / shares.sum(axis=1), (second - least) / scale < AMBIGUOUS
+        return best, 1 / shares.sum(axis=1), (second - least) / scale < gap
 
 
 def training_rows() -> Column:
@@ -143,12 +145,12 @@ def fit(docs: DataFrame) -> Model | None:
     return model
 
 
-def _judged(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _judged(texts: pa.Array, model: Model | None, gap: float = AMBIGUOUS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each text: whether it has a letter and there is a model, nearest language, its probability, whether another is as near."""
     if model is None:
         return np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
     letters = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()), bool, len(texts))
-    return letters, *model.decode(model.margins(_texts(texts)))
+    return letters, *model.decode(model.margins(_texts(texts)), gap)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -172,12 +174,12 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` whose language is certain: not ``und``, not ambiguous. Columns stay as they are."""
+    """The rows of ``docs`` that have a nearest language: not ``und``, and no second one exactly as near. Columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", STEP):
-                letters, _, _, close = _judged(part.column("text"), model)
+                letters, _, _, close = _judged(part.column("text"), model, TIED)
                 yield part.filter(pa.array(letters & ~close))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,8 @@ from cropspark.operators.ranks import dense_codes, exact_quantiles
 from cropspark.session import materialise
 
 SERIES = ["market_id", "product_id"]
-FEATURES = ["market_code", "product_code", "h", "dow", "doy_sin", "doy_cos", *[f"r{k}" for k in K.FORECAST_LAGS],
+NOMINAL = ["market_code", "product_code"]
+FEATURES = ["h", "dow", "doy_sin", "doy_cos", *[f"r{k}" for k in K.FORECAST_LAGS],
             "vol5", "vol20", "dev20", "dev90", "prod_r5", "prod_r20"]
 
 
@@ -101,7 +102,7 @@ def _coded(samples: DataFrame) -> DataFrame:
 def prepare(daily: DataFrame, min_obs: int = K.FORECAST_MIN_OBS) -> DataFrame:
     """Samples with features, written once: every fold reads them."""
     coded = _coded(materialise(lead_targets(features(panel(daily, min_obs)))))
-    return materialise(TR.with_gap_flags(coded, FEATURES))
+    return TR.as_nominal(materialise(TR.with_gap_flags(coded, FEATURES)), NOMINAL)
 
 
 def backtest(samples: DataFrame, **params) -> Backtest:
@@ -109,7 +110,7 @@ def backtest(samples: DataFrame, **params) -> Backtest:
     for fold in range(K.BACKTEST_FOLDS):
         train_if, test_if = fold_of(fold)
         train = train_all.where(train_if)
-        model = TR.fit_regressor(train, TR.usable(train, FEATURES), "y", **params)
+        model = TR.fit_regressor(train, TR.usable(train, FEATURES), "y", NOMINAL, **params)
         scored = model.transform(samples.where(test_if))
         parts.append(materialise(scored.select(*SERIES, "idx", "h", "y", F.col("prediction").alias("pred"), F.lit(fold).alias("fold"))))
     rows = parts[0]
@@ -161,7 +162,7 @@ def publish(future: DataFrame, improvement: DataFrame, bands: DataFrame) -> Data
 def predict(samples: DataFrame, tested: Backtest, **params) -> DataFrame:
     """Fit on all known targets and publish from the last day of the panel."""
     train = training_rows(samples)
-    model = TR.fit_regressor(train, TR.usable(train, FEATURES), "y", **params)
+    model = TR.fit_regressor(train, TR.usable(train, FEATURES), "y", NOMINAL, **params)
     last = samples.where(F.col("idx") == F.col("panel_end"))
     future = model.transform(last).select(*SERIES, "h", "log_price", "target_day", F.col("prediction").alias("pred"))
     return publish(future, expected_improvement(tested.errors), tested.quantiles)

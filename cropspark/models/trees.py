@@ -25,27 +25,42 @@ def usable(train: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if counts[c] > 0]
 
 
-def _stages(features: list[str]) -> list:
+def as_nominal(df: DataFrame, codes: list[str]) -> DataFrame:
+    """Mark columns of codes from 0 as categories, so that a tree splits their set, not their order."""
+    if not codes:
+        return df
+    top = df.agg(*[F.max(c).alias(c) for c in codes]).first()
+    known = {c: {"ml_attr": {"type": "nominal", "name": c, "num_vals": int(top[c] or 0) + 1}} for c in codes}
+    return df.withColumns({c: F.col(c).cast("double").alias(c, metadata=known[c]) for c in codes})
+
+
+def _bins(df: DataFrame, nominal: list[str]) -> int:
+    """Spark's default, or as many bins as the largest set of categories."""
+    return max([32, *[df.schema[c].metadata["ml_attr"]["num_vals"] for c in nominal]])
+
+
+def _stages(features: list[str], nominal: list[str]) -> list:
     filled = [f"{c}_filled" for c in features]
     return [Imputer(inputCols=features, outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=[*filled, *[f"{c}_gap" for c in features]], outputCol="features")]
+            VectorAssembler(inputCols=[*filled, *[f"{c}_gap" for c in features], *nominal], outputCol="features")]
 
 
-def fit_regressor(train: DataFrame, features: list[str], target: str, **params) -> PipelineModel:
-    """Gradient-boosted trees with absolute loss."""
-    settings = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params}
+def fit_regressor(train: DataFrame, features: list[str], target: str, nominal: list[str] = (), **params) -> PipelineModel:
+    """Gradient-boosted trees with absolute loss; ``nominal`` columns come from :func:`as_nominal`."""
+    settings = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, "maxBins": _bins(train, nominal), **params}
     learner = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", lossType="absolute", **settings)
-    return Pipeline(stages=[*_stages(features), learner]).fit(train)
+    return Pipeline(stages=[*_stages(features, list(nominal)), learner]).fit(train)
 
 
-def fit_classifier(train: DataFrame, features: list[str], target: str, **params) -> PipelineModel:
-    settings = {"numTrees": 60, "maxDepth": 6, "seed": 42, **params}
+def fit_classifier(train: DataFrame, features: list[str], target: str, nominal: list[str] = (), **params) -> PipelineModel:
+    settings = {"numTrees": 60, "maxDepth": 6, "seed": 42, "maxBins": _bins(train, nominal), **params}
     learner = RandomForestClassifier(featuresCol="features", labelCol=target, predictionCol="prediction", **settings)
-    return Pipeline(stages=[*_stages(features), learner]).fit(train)
+    return Pipeline(stages=[*_stages(features, list(nominal)), learner]).fit(train)
 
 
-def importances(model: PipelineModel, features: list[str], k: int = 10) -> list[tuple[str, float]]:
+def importances(model: PipelineModel, features: list[str], k: int = 10, nominal: list[str] = ()) -> list[tuple[str, float]]:
     """The k most important features; a feature and its gap flag count together."""
     values = model.stages[-1].featureImportances.toArray()
     both = [(f, float(values[i] + values[i + len(features)])) for i, f in enumerate(features)]
+    both += [(f, float(values[2 * len(features) + i])) for i, f in enumerate(nominal)]
     return sorted(both, key=lambda x: (-x[1], x[0]))[:k]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cropspark.models import folds as FO
 from cropspark.models import trees as TR
 from cropspark.operators import aggregate as A
+from cropspark.operators.ranks import dense_codes
 from cropspark.session import materialise
 
 # Identifiers, the target, and what is only known after the harvest.
@@ -33,11 +34,22 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in NOT_FEATURES and t in numeric]
 
 
-def _fit_predict(df: DataFrame, train_years: list[int], year: int, features: list[str], params: dict):
+def with_codes(store: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Codes of town, department and crop, as far as the store has them; the dimensions are joined, never collected."""
+    codes = []
+    for column in ("town_id", "department", "crop_id"):
+        if column in store.columns:
+            code = f"{column.removesuffix('_id')}_code"
+            store = store.drop(code).join(dense_codes(store, column, code), column)
+            codes.append(code)
+    return store, codes
+
+
+def _fit_predict(df: DataFrame, train_years: list[int], year: int, features: list[str], nominal: list[str], params: dict):
     known = F.col("year").isin(*train_years)
     based = FO.with_baseline(df, known, "yield_t_ha", "yield_t_ha_hist", "crop_id")
     train = based.where(known).withColumn("residual", F.col("yield_t_ha") - F.col("baseline"))
-    model = TR.fit_regressor(train, features, "residual", **params)
+    model = TR.fit_regressor(train, features, "residual", nominal, **params)
     out = model.transform(based.where(F.col("year") == year)).select(
         "town_id", "crop_id", "year", F.col("yield_t_ha").alias("y"), "baseline", (F.col("baseline") + F.col("prediction")).alias("yhat"))
     return model, out
@@ -48,8 +60,9 @@ def train_and_evaluate(store: DataFrame, grid: list[dict] | None = None) -> Yiel
 
     Every prediction kept comes from a model that has not seen its year.
     """
-    columns = feature_columns(store)
-    df = materialise(TR.with_gap_flags(store.where(F.col("yield_t_ha").isNotNull()), columns))
+    store, nominal = with_codes(materialise(store.where(F.col("yield_t_ha").isNotNull())))
+    columns = [c for c in feature_columns(store) if c not in nominal]
+    df = TR.as_nominal(materialise(TR.with_gap_flags(store, columns)), nominal)
     years = FO.distinct_years(df)
     test_year, seen = years[-1], years[:-1]
     folds = FO.year_folds(seen)
@@ -58,7 +71,7 @@ def train_and_evaluate(store: DataFrame, grid: list[dict] | None = None) -> Yiel
     for params in grid or [{}]:
         parts, details = [], []
         for train_years, year in folds:
-            _, out = _fit_predict(df, train_years, year, features, params)
+            _, out = _fit_predict(df, train_years, year, features, nominal, params)
             out = materialise(out)
             mae = A.regression_metrics(out, "y", "yhat").first()["mae"]
             parts.append(out)
@@ -67,7 +80,7 @@ def train_and_evaluate(store: DataFrame, grid: list[dict] | None = None) -> Yiel
         if best is None or score < best[0]:
             best = (score, params, parts, details)
     _, params, parts, details = best
-    model, test = _fit_predict(df, seen, test_year, features, params)
+    model, test = _fit_predict(df, seen, test_year, features, nominal, params)
     oof = materialise(test)
     for part in parts:
         oof = oof.unionByName(part)
@@ -75,4 +88,4 @@ def train_and_evaluate(store: DataFrame, grid: list[dict] | None = None) -> Yiel
     last = bounded.where(F.col("year") == test_year)
     metrics = (A.regression_metrics(last, "y", "yhat").withColumn("model", F.lit("trees"))
                .unionByName(A.regression_metrics(last, "y", "baseline").withColumn("model", F.lit("baseline"))))
-    return YieldReport(bounded, metrics, FO.interval_coverage(bounded, test_year), TR.importances(model, features), params, test_year, details)
+    return YieldReport(bounded, metrics, FO.interval_coverage(bounded, test_year), TR.importances(model, features, nominal=nominal), params, test_year, details)

@@ -143,23 +143,30 @@ def _(spark, sf):
 
 
 # --- models (no SQL counterpart) ----------------------------------------------------------------------
-@query("yield_model", {"model": "s", "mae": "f", "rmse": "f", "r2": "f", "n": "i", "coverage": "f"})
+#: Candidates of the yield model, judged by the mean error of the year folds.
+YIELD_GRID = [{"maxDepth": 3}, {"maxDepth": 5}]
+
+
+@query("yield_model", {"model": "s", "mae": "f", "rmse": "f", "r2": "f", "n": "i", "coverage": "f", "chosen_depth": "i", "top_feature": "s"})
 def _(spark, sf):
-    report = YM.train_and_evaluate(feature_store(spark, sf), [{"maxIter": 8, "maxDepth": 4}])
-    return report.metrics.withColumn("coverage", report.coverage.select("coverage").scalar())
+    """Metrics of model and baseline, the chosen candidate and the most important feature."""
+    report = YM.train_and_evaluate(feature_store(spark, sf), YIELD_GRID)
+    return report.metrics.withColumns({
+        "coverage": report.coverage.select("coverage").scalar(), "chosen_depth": F.lit(report.params["maxDepth"]), "top_feature": F.lit(report.importances[0][0])})
 
 
-@query("alert_model", {"town_id": "i", "year": "i", "month": "i", "level": "s", "event": "s", "is_active": "b", "description": "s"})
+@query("alert_model", {"town_id": "i", "year": "i", "month": "i", "level": "s", "event": "s", "is_active": "b", "description": "s", "accuracy": "f", "persistence": "f"})
 def _(spark, sf):
-    rows, _ = AL.train_and_evaluate(CL.alert_samples(S.risk(spark, sf)))
-    return rows
+    """Alerts with the accuracy of the forest and of persistence on the test months."""
+    rows, metrics = AL.train_and_evaluate(CL.alert_samples(S.risk(spark, sf)))
+    accuracy = {r.model: r.accuracy for r in metrics.collect()}
+    return rows.withColumns({"accuracy": F.lit(accuracy.get("forest")).cast("double"), "persistence": F.lit(accuracy["persistence"])})
 
 
 @query("price_forecast", {"market_id": "i", "product_id": "s", "target_day": "d", "h": "i", "price": "f", "p10": "f", "p90": "f", "method": "s", "confidence": "s"})
 def _(spark, sf):
     samples = PF.prepare(S.panel_daily(spark, sf))
-    settings = {"maxIter": 5, "maxDepth": 4}
-    return PF.predict(samples, PF.backtest(samples, **settings), **settings)
+    return PF.predict(samples, PF.backtest(samples))
 
 
 @query("seasonal_forecast", {"town_id": "i", "measure": "s", "year": "i", "month": "i", "horizon": "i", "value": "f3", "method": "s"})

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropspark.llm.common import _ramp, forget, scratch, steps, tidy, written
-from cropspark.llm.tokens import default_tokenizer, encoder
+from cropspark.llm.tokens import TOKEN_STEP, default_tokenizer, encoder
 
 #: Longest code in bits: the decoding table has 2 ** LIMIT entries, and a vocabulary of as many ids still fits.
 LIMIT = 16
@@ -135,7 +135,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(tokenizer, end_id)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", TOKEN_STEP):
                 ids, bounds = encode_texts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), _binaries(ids.astype("<u4").view(np.uint8), bounds * 4)], ["doc_id", "n_tokens", "ids"])
 

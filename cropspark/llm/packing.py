@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark.llm.common import _ramp, steps, tidy, written
-from cropspark.llm.tokens import default_tokenizer, encoder
+from cropspark.llm.tokens import TOKEN_STEP, default_tokenizer, encoder
 
 CAPACITY = 1024
 
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(tokenizer, end_id)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", TOKEN_STEP):
                 ids, bounds = encode_texts(part.column("text"))
                 n = np.diff(bounds)
                 many = -(-n // capacity)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Pieces a worker remembers between steps; further ones are encoded again in each step that has them.
 REMEMBERED = 800_000
+#: Bytes of text that one step encodes: a larger step looks up fewer pieces twice.
+TOKEN_STEP = 8 << 20
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
 
@@ -51,7 +53,9 @@ class Encoder:
             for p in self.extra:
                 del self.known[p]
             self.extra, self.used = [], int(self.starts[REMEMBERED - 1] + self.lengths[REMEMBERED - 1])
-        new = [p for p in pieces if p not in self.known]
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, number in enumerate(found) if number is None]
+        new = [pieces[i] for i in missing]
         if (more := len(self.known) + len(new) - len(self.starts)) > 0:
             self.starts, self.lengths = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.lengths))
         for at in range(0, len(new), 20_000):
@@ -68,7 +72,9 @@ class Encoder:
             self.known.update(zip(part, range(first, first + len(part)), strict=True))
         if len(self.known) > REMEMBERED:
             self.extra = new[len(new) - (len(self.known) - REMEMBERED) :]
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        for i in missing:
+            found[i] = self.known[pieces[i]]
+        return np.array(found, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (the end id after each), and the bounds of each text's ids."""

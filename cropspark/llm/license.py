@@ -1,8 +1,8 @@
 """License statements by template markup: optional and replaceable regions compiled into token automata.
 
-A template is plain wording with two kinds of markup: ``<<optional>> ... <</optional>>`` may be absent (and nest), ``<<any:n>>`` stands for up
-to n words. Everything else is mandatory: a text is accepted where it has just these words, whatever the case, punctuation and line
-breaks. Words are runs of letters and digits (``folded``).
+A template is plain wording with three kinds of markup: ``<<optional>> ... <</optional>>`` may be absent (and nest), ``<<any:n>>`` stands for
+up to n words, ``<<of:a|b>>`` for one of the listed words. Everything else is mandatory: a text is accepted where it has just these
+words, whatever the case, punctuation and line breaks. Words are runs of letters and digits (``folded``).
 
 An automaton begins only at its first words, so documents without one of those are never walked. A missing or empty text has no words,
 no label and score 0. Every row is judged by itself; repeated rows give repeated results.
@@ -24,43 +24,46 @@ from cropspark.llm.folded import LOWER, raw, word_counts, words
 #: Phrases that count at every place where their words stand one after the other.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: The verb of a notice and what may stand before the license's name.
+_UNDER = "<<of:licensed|licenced|released|distributed|available|published|provided|offered>> under <<optional>>the terms of<</optional>>"
+
 #: The mandatory wording of public license notices.
 TEMPLATES = {
-    "cc-by": "<<optional>>this work is<</optional>> licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<optional>>license<</optional>> <<any:4>> license",
-    "cc-by-4.0": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
-    "cc-by-sa-4.0": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by sa <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
-    "cc-by-nc-4.0": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nc <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
-    "cc-by-nd-4.0": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nd <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
+    "cc-by": f"<<optional>>this work is<</optional>> {_UNDER} <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<optional>>license<</optional>> <<any:4>> license",
+    "cc-by-4.0": f"{_UNDER} <<optional>>a<</optional>> <<optional>>the<</optional>> cc by <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
+    "cc-by-sa-4.0": f"{_UNDER} <<optional>>a<</optional>> <<optional>>the<</optional>> cc by sa <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
+    "cc-by-nc-4.0": f"{_UNDER} <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nc <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
+    "cc-by-nd-4.0": f"{_UNDER} <<optional>>a<</optional>> <<optional>>the<</optional>> cc by nd <<optional>>license<</optional>> <<optional>>version<</optional>> 4 0",
     "cc0-1.0": "<<optional>>dedicated to the public domain<</optional>> under <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc0 <<optional>>license<</optional>> 1 0",
-    "apache-2.0": "licensed under the apache license <<optional>>version<</optional>> 2 0",
-    "gpl-2.0": "<<optional>>this <<any:4>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> <<optional>>gnu<</optional>> general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 2",
-    "gpl-3.0": "<<optional>>this <<any:4>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> <<optional>>gnu<</optional>> general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 3",
-    "lgpl": "licensed under the <<optional>>terms of the<</optional>> <<optional>>gnu<</optional>> lesser general public license <<optional>>version <<any:2>><</optional>>",
-    "agpl": "licensed under the <<optional>>terms of the<</optional>> <<optional>>gnu<</optional>> affero general public license <<optional>>version <<any:2>><</optional>>",
+    "apache-2.0": f"{_UNDER} <<optional>>the<</optional>> apache license <<optional>>version<</optional>> 2 0",
+    "gpl-2.0": f"<<optional>>this <<any:4>> is<</optional>> {_UNDER} <<optional>>the<</optional>> <<optional>>gnu<</optional>> general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 2",
+    "gpl-3.0": f"<<optional>>this <<any:4>> is<</optional>> {_UNDER} <<optional>>the<</optional>> <<optional>>gnu<</optional>> general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 3",
+    "lgpl": f"{_UNDER} <<optional>>the<</optional>> <<optional>>gnu<</optional>> lesser general public license <<optional>>version <<any:2>><</optional>>",
+    "agpl": f"{_UNDER} <<optional>>the<</optional>> <<optional>>gnu<</optional>> affero general public license <<optional>>version <<any:2>><</optional>>",
     "mpl-2.0": "subject to the terms of the mozilla public license <<optional>>v<</optional>> <<optional>>version<</optional>> 2 0",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software",
-    "mit-notice": "licensed under the mit license",
+    "mit-notice": f"{_UNDER} <<optional>>an<</optional>> <<optional>>the<</optional>> mit license",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "reserved": "<<optional>>copyright <<any:6>><</optional>> all rights reserved",
     "spdx": "spdx license identifier <<any:1>>",
 }
 
-_MARK = re.compile(r"<<(/?optional|any:\d+)>>")
+_MARK = re.compile(r"<<(/?optional|any:\d+|of:[^>]+)>>")
 
 
 class Automaton:
-    """Token automaton of a template: state i reads ``words[i]`` (None: any word) and goes to i + 1; ``skips[i]`` are states that may be
+    """Token automaton of a template: state i reads one of ``words[i]`` (None: any word) and goes to i + 1; ``skips[i]`` are states that may be
     entered from i without reading. ``need[i]`` counts the mandatory words before state i."""
 
     def __init__(self, template: str):
-        self.words: list[bytes | None] = []
+        self.words: list[frozenset[bytes] | None] = []
         jumps: dict[int, set[int]] = {}
         optional, opened, mandatory = 0, [], []
         at = 0
         for mark in [*_MARK.finditer(template), None]:
             for w in words(template[at : mark.start() if mark else len(template)].encode()):
-                self.words.append(w)
+                self.words.append(frozenset([w]))
                 mandatory.append(not optional)
             if mark is None:
                 break
@@ -71,6 +74,9 @@ class Automaton:
             elif kind == "/optional":
                 jumps.setdefault(opened.pop(), set()).add(len(self.words))
                 optional -= 1
+            elif kind.startswith("of:"):
+                self.words.append(frozenset(words(kind[3:].encode())))
+                mandatory.append(not optional)
             else:
                 n, first = int(kind[4:]), len(self.words)
                 for k in range(n):
@@ -80,7 +86,7 @@ class Automaton:
         self.end = len(self.words)
         self.need = np.concatenate([[0], np.cumsum(mandatory)]).tolist()
         self.skips = [self._closure(i, jumps) for i in range(self.end + 1)]
-        self.first = {self.words[i] for i in self.skips[0] if i < self.end}
+        self.first = set().union(*(self.words[i] or () for i in self.skips[0] if i < self.end))
 
     @staticmethod
     def _closure(state: int, jumps: dict[int, set[int]]) -> frozenset[int]:
@@ -96,7 +102,7 @@ class Automaton:
         """Words read until the template is complete (0: never), and the share of its mandatory words reached."""
         states, most = self.skips[0], 0
         for k in range(start, len(text)):
-            read = [i for i in states if i < self.end and (self.words[i] is None or self.words[i] == text[k])]
+            read = [i for i in states if i < self.end and (self.words[i] is None or text[k] in self.words[i])]
             if not read:
                 break
             states = frozenset().union(*(self.skips[i + 1] for i in read))
@@ -133,9 +139,10 @@ def judge(text: list[bytes], phrases: dict[str, list[bytes]], automata: dict[str
     return places, sorted(base), sorted(labels), best
 
 
-def _rare(automaton: Automaton) -> bytes:
-    """The longest mandatory word: a text without it can't be accepted."""
-    return max((w for i, w in enumerate(automaton.words) if w is not None and automaton.need[i + 1] > automaton.need[i]), key=len)
+def _rare(automaton: Automaton) -> frozenset[bytes]:
+    """The longest mandatory word, or all of a listed choice where there is no other: a text without any of them can't be accepted."""
+    mandatory = [w for i, w in enumerate(automaton.words) if w is not None and automaton.need[i + 1] > automaton.need[i]]
+    return max(mandatory, key=lambda choice: (len(choice) == 1, min(map(len, choice))))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
@@ -148,7 +155,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     compiled = {label: Automaton(t) for label, t in templates.items()}
     spelled = {label: words(p.encode()) for p, label in phrases.items()}
-    anchors = sorted({max(p, key=len) for p in spelled.values()} | {_rare(a) for a in compiled.values()})
+    anchors = sorted({max(p, key=len) for p in spelled.values()} | set().union(*map(_rare, compiled.values())))
     anchors = [a for a in anchors if not any(b != a and b in a for b in anchors)]
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 

@@ -89,6 +89,19 @@ def test_license_templates(spark):
     assert got == ["cc-by,cc-by-nc-4.0", "apache-2.0", "gpl,gpl-3.0", "reserved", ""]
 
 
+def test_license_lines_of_the_tables(spark):
+    lines = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit-notice", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "All rights reserved.": "reserved", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0"}
+    got = license.scan(spark.createDataFrame([(i, f"Some prose. {line}\nMore of it.") for i, line in enumerate(lines)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [(label, 1.0) for label in lines.values()]
+
+
+@pytest.mark.parametrize("verb", ["Licensed", "Released", "distributed", "Available", "published"])
+def test_license_verbs(spark, verb):
+    names = {"the MIT License": "mit-notice", "the terms of the MIT license": "mit-notice", "the Apache License, Version 2.0": "apache-2.0", "CC BY-SA 4.0": "cc-by,cc-by-sa-4.0", "the terms of the GNU General Public License, version 2": "gpl,gpl-2.0", "the GNU Lesser General Public License": "gpl,lgpl", "the sun, but no license": "", "mit": ""}
+    got = license.scan(spark.createDataFrame([(i, f"It is {verb} under {name}.") for i, name in enumerate(names)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == list(names.values())
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

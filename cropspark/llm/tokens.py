@@ -2,11 +2,15 @@
 
 A byte-level BPE first cuts a text at words; a single space between two characters that are no white space always begins a new cut.
 Cutting there beforehand therefore changes nothing, and the pieces repeat so often that most of the work falls away.
+
+The file's added tokens come before that: where a text holds one it gives the token's own id, and what stands between them is cut by
+itself. Each place of one is therefore a piece.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -41,7 +45,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Added tokens by their bytes; False for those whose place depends on more than the leftmost longest match.
+        self.added = {t.content.encode(): not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added}
+        self.any_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
@@ -76,6 +83,23 @@ class Encoder:
             found[i] = self.known[pieces[i]]
         return np.array(found, np.int64)
 
+    def _mark_added(self, marks: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Cut at both ends of every added token that stands within a text, and nowhere inside. A text with a token whose place depends on
+        its neighbours stays whole."""
+        view, at = data.data, 0
+        while self.any_added and (found := self.any_added.search(view, at)):
+            row = int(np.searchsorted(offsets, found.start(), side="right")) - 1
+            first, end = int(offsets[row]), int(offsets[row + 1])
+            if found.end() > end and not (found := self.any_added.search(view, found.start(), end)):
+                at = end
+            elif self.added[found[0]]:
+                at = found.end()
+                marks[found.start() + 1 : at] = False
+                marks[[found.start(), at]] = True
+            else:
+                at = end
+                marks[first + 1 : end] = False
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (the end id after each), and the bounds of each text's ids."""
         rows = pc.cast(pc.fill_null(texts, ""), pa.large_binary())
@@ -85,6 +109,7 @@ class Encoder:
         offsets = offsets - base
         marks = _cut(data)
         marks[offsets] = True
+        self._mark_added(marks, data, offsets)
         cuts = np.flatnonzero(marks)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]) if len(cuts) > 1 else pa.array([], pa.large_binary())
         coded = pieces.dictionary_encode()

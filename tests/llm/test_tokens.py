@@ -35,6 +35,45 @@ def test_pieces_give_the_same_ids(plain):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == plain(t), t
 
 
+def test_added_tokens_give_their_ids(plain):
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", "<", *" \n\té×aZ1.'s日", "  ", " a", "'ll", " \n", "one", " two"]
+    texts = ["one two<|endoftext|>three", "<|endof", "text|> over two texts", "<|endoftext|>", None, "", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    ids, bounds = Encoder(default_tokenizer())(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain(t), t
+    assert ids[: bounds[1]].tolist() == [505, 734, 50256, 15542, 2]
+    sliced, bounds = Encoder(default_tokenizer(), None)(pa.array(texts).slice(3, 40))
+    for i, t in enumerate(texts[3:43]):
+        assert sliced[bounds[i] : bounds[i + 1]].tolist() == plain(t)[:-1], t
+
+
+def test_added_tokens_that_take_their_surroundings(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer, path = Tokenizer.from_file(default_tokenizer()), str(tmp_path / "tokenizer.json")
+    tokenizer.add_special_tokens([AddedToken("<|pad|>", lstrip=True, rstrip=True), AddedToken("<|pad|>>", normalized=False), AddedToken("mid", single_word=True)])
+    tokenizer.add_tokens([AddedToken("e<|", normalized=True)])
+    tokenizer.save(path)
+    rng = random.Random(6)
+    parts = ["<|pad|>", "<|pad|>>", "<|endoftext|>", "mid", "<|", " ", "  ", "\n", " a", "one", "é"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    ids, bounds = Encoder(path, None)(pa.array(texts))
+    tokenizer = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_queries_keep_added_tokens(spark, plain):
+    texts = ["one two<|endoftext|>three", "one two", "<|endoftext|>" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = huffman.encoded_ids(docs).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(plain(t)), crc(plain(t))) for i, t in enumerate(texts)]
+    pieces = packing.pieces(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.length, r.ids_crc32) for r in pieces] == [(i, len(plain(t)), crc(plain(t))) for i, t in enumerate(texts)]
+
+
 def test_encoder_beyond_its_memory(plain, monkeypatch):
     monkeypatch.setattr("cropspark.llm.tokens.REMEMBERED", 50)
     encoder, rng = Encoder(default_tokenizer()), random.Random(1)

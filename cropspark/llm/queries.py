@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropspark.llm import language, license
+from cropspark.llm import language, license, nbsvm, negatives, vafile
 from cropspark.llm.common import table
 from cropspark.llm.covertree import linked_vectors
 from cropspark.llm.decontaminate import contaminated
@@ -88,3 +88,27 @@ def op9_token_group_join(spark: SparkSession, sf: str) -> DataFrame:
 def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and the benchmark items they hold."""
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op11_va_file_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty exact integer clusters of the vectors after five rounds."""
+    return vafile.clustered(table(spark, sf, "embeddings"), 40, 5, 64)
+
+
+ORACLE["op11_va_file_clusters"] = vafile.oracle(40, 5, 64)
+
+
+@query
+def op12_nb_svm_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the training split."""
+    return nbsvm.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op13_one_bit_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector's positives."""
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
+
+
+ORACLE["op13_one_bit_negatives"] = negatives.ORACLE_SQL

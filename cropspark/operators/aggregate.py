@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def harvest_rollup(df: DataFrame, keys: list[str], sown: str, harvested: str, production: str, yield_col: str) -> DataFrame:
-    """Sum areas and production; the yield is recomputed from the sums, or the mean where nothing was harvested."""
+def harvest_rollup(df: DataFrame, keys: list[str], sown: str, harvested: str, production: str, yield_col: str, lots: str | None = None) -> DataFrame:
+    """Sum areas and production; the yield is recomputed from the sums, or the mean where nothing was harvested.
+
+    Rows may be sums already: then ``lots`` tells how many yields each stands for, and ``yield_col`` holds their sum.
+    """
     area, tons = F.sum(harvested), F.sum(production)
+    mean = F.avg(yield_col) if lots is None else F.sum(yield_col) / F.nullif(F.sum(lots), F.lit(0))
     return df.groupBy(*keys).agg(
         F.sum(sown).alias(sown), area.alias(harvested), tons.alias(production),
-        F.coalesce(F.when(area > 0, tons / area), F.avg(yield_col)).alias(yield_col),
+        F.coalesce(F.when(area > 0, tons / area), mean).alias(yield_col),
     )
 
 
@@ -26,6 +30,27 @@ def combine_blocks(df: DataFrame, keys: list[str], mean: str, low: str, high: st
     )
 
 
+def moments(value: str, weight: str | None = None) -> list[Column]:
+    """Aggregates that later merge: count, mean and squared deviations of a value, and of a weight its sum, its count and the weighted sum."""
+    n, none = F.count(value), F.lit(None).cast("double")
+    state = [n.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2")]
+    if weight is None:
+        return [*state, F.lit(0).cast("long").alias("weights"), none.alias("weight_sum"), none.alias("product_sum"), none.alias("product_weight")]
+    both = F.col(value).isNotNull()
+    return [*state, F.count(weight).alias("weights"), F.sum(weight).cast("double").alias("weight_sum"), F.sum(F.col(value) * F.col(weight)).cast("double").alias("product_sum"),
+            F.sum(F.when(both, F.col(weight))).cast("double").alias("product_weight")]
+
+
+def merge_moments(df: DataFrame, keys: list[str], mean: str, std: str, weight_mean: str, weighted: str) -> DataFrame:
+    """Mean, sample deviation, mean weight and weighted mean per key from rows of ``moments``; one value has no deviation."""
+    n, centre = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - n * centre * centre
+    return df.groupBy(*keys).agg(
+        centre.alias(mean), F.when(n > 1, F.sqrt(F.greatest(F.sum("m2") + between, F.lit(0.0)) / (n - 1))).alias(std),
+        (F.sum("weight_sum") / F.nullif(F.sum("weights"), F.lit(0))).alias(weight_mean),
+        (F.sum("product_sum") / F.nullif(F.sum("product_weight"), F.lit(0))).alias(weighted))
+
+
 def merge_aliases(df: DataFrame, keys: list[str], low: str, high: str, mean: str, first_of: list[str], order: str) -> DataFrame:
     """Rows that became one after renaming: extremes, mean of means, first known attribute by ``order``."""
     firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first_of]

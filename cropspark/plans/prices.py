@@ -154,6 +154,22 @@ def annual_prices(daily: DataFrame, links: DataFrame) -> DataFrame:
         F.avg("price_avg").alias("price_mean"), F.stddev_samp("price_avg").alias("price_std"))
 
 
+def crop_year_prices(daily: DataFrame, monthly: DataFrame, links: DataFrame) -> DataFrame:
+    """``crop_id, year, price_mean, price_std, volume_mean, price_weighted, price_source`` from both price facts.
+
+    A crop and year that has any daily price takes its figures from the daily fact (which knows no volumes), otherwise from the monthly one: mean and
+    deviation of its prices, mean volume, and the mean price weighted by volume. Each fact is reduced to one row per product and year before
+    anything is joined; products of one crop are merged from those rows.
+    """
+    seen = daily.where(F.col("price_avg").isNotNull()).groupBy("product_id", F.year("day").alias("year")).agg(*A.moments("price_avg"))
+    rest = monthly.groupBy("product_id", "year").agg(*A.moments("price", "volume"))
+    both = seen.withColumn("price_source", F.lit("daily")).unionByName(rest.withColumn("price_source", F.lit("monthly")))
+    linked = both.join(links.where(F.col("crop_id").isNotNull()).select("product_id", "crop_id"), "product_id")
+    merged = A.merge_moments(linked, ["crop_id", "year", "price_source"], "price_mean", "price_std", "volume_mean", "price_weighted")
+    values = ["price_mean", "price_std", "volume_mean", "price_weighted", "price_source"]
+    return merged.groupBy("crop_id", "year").agg(F.min_by(F.struct(*values), "price_source").alias("_v")).select("crop_id", "year", "_v.*")  # "daily" < "monthly"
+
+
 def monthly_prices(rows: DataFrame) -> DataFrame:
     """Monthly mean of prices and sum of volumes; a missing town is a group of its own, all-missing volume stays missing."""
     return rows.groupBy("market", "town_id", "product_key", "year", "month").agg(

@@ -285,32 +285,47 @@ def _(spark, sf):
 # --- feature store ------------------------------------------------------------------------------------
 FEATURES = {
     "town_id": "i", "crop_id": "s", "year": "i", "sown_ha": "f", "yield_t_ha": "f", "rain_year": "f", "temp_year": "f", "rain_std": "f",
-    "spi_mean": "f", "oni_mean": "f", "rain_anomaly_mean": "f", "is_nino_number": "f", "price_mean": "f", "price_std": "f",
+    "spi_mean": "f", "oni_mean": "f", "rain_anomaly_mean": "f", "is_nino_number": "f", "price_mean": "f", "price_std": "f", "volume_mean": "f", "price_weighted": "f", "price_source": "s",
     "input_index_mean": "f", "input_index_std": "f", "suitability_score": "f", "has_climate": "i", "has_price": "i",
     "rain_year_lag1": "f", "rain_year_lag3": "f", "spi_mean_lag1": "f", "oni_mean_lag3": "f", "price_mean_lag1": "f",
     "yield_t_ha_hist": "f", "production_t_hist": "f", "town_code": "i", "department_code": "i"}
+CTES["crop_year_prices"] = """
+SELECT * FROM (
+  SELECT product_id AS crop_id, YEAR(day) AS year, AVG(price_avg) AS price_mean, STDDEV_SAMP(price_avg) AS price_std, NULL::DOUBLE AS volume_mean,
+         NULL::DOUBLE AS price_weighted, 'daily' AS price_source FROM recent_daily GROUP BY ALL
+  UNION ALL
+  SELECT product_id, year, AVG(price), STDDEV_SAMP(price), AVG(volume), SUM(price * volume) / NULLIF(SUM(CASE WHEN price IS NOT NULL THEN volume END), 0), 'monthly'
+  FROM old_monthly GROUP BY ALL)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY crop_id, year ORDER BY price_source) = 1"""
 CTES["feature_base"] = """
 SELECT h.*, t.department, c.rain_year, c.temp_year, c.rain_std, e.spi_mean, e.oni_mean, e.rain_anomaly_mean, e.is_nino_number,
-       p.price_mean, p.price_std, i.input_index_mean, i.input_index_std,
+       p.price_mean, p.price_std, p.volume_mean, p.price_weighted, p.price_source, i.input_index_mean, i.input_index_std,
        CASE s.suitability WHEN 'alta' THEN 3 WHEN 'moderada' THEN 2 WHEN 'marginal' THEN 1 WHEN 'no_apta' THEN 0 END AS suitability_score
 FROM harvest h JOIN towns t USING (town_id) LEFT JOIN town_year c USING (town_id, year)
 LEFT JOIN (SELECT e.year, AVG(spi) AS spi_mean, AVG(oni) AS oni_mean, AVG(rain_anomaly_pct) AS rain_anomaly_mean, CAST(BOOL_OR(is_nino) AS INTEGER) AS is_nino_number
            FROM enso e LEFT JOIN nino n ON n.year = e.year GROUP BY e.year) e USING (year)
-LEFT JOIN (SELECT product_id AS crop_id, YEAR(day) AS year, AVG(price_avg) AS price_mean, STDDEV_SAMP(price_avg) AS price_std FROM daily GROUP BY ALL) p USING (crop_id, year)
+LEFT JOIN crop_year_prices p USING (crop_id, year)
 LEFT JOIN (SELECT year, AVG(ix) AS input_index_mean, STDDEV_SAMP(ix) AS input_index_std FROM (
              SELECT year, price / NULLIF(AVG(price) OVER (PARTITION BY input_name, region_id), 0) * 100 AS ix FROM inputs) GROUP BY year) i USING (year)
 LEFT JOIN suitability s USING (town_id, crop_id)"""
 
 
-def feature_store(spark, sf):
-    """Also the input of the yield model."""
+def feature_store(spark, sf, sources=None):
+    """Also the input of the yield model. ``sources``: harvest and suitability, if they are at hand."""
     towns = S.towns(spark, sf)
     links = S.products(spark, sf).select("product_id", F.col("product_id").alias("crop_id"))
-    store = FS.feature_store(
-        S.harvest(spark, sf), towns, CL.town_years(CL.town_months(S.climate(spark, sf))),
-        FS.enso_years(S.enso(spark, sf), S.nino(spark, sf)), P.annual_prices(S.daily(spark, sf), links),
-        FS.input_index_years(S.inputs(spark, sf)), S.suitability(spark, sf))
-    return store
+    harvest, suitability = sources or S.harvest_and_suitability(spark, sf)
+    return FS.feature_store(
+        harvest, towns, CL.town_years(CL.town_months(S.climate(spark, sf))),
+        FS.enso_years(S.enso(spark, sf), S.nino(spark, sf)), P.crop_year_prices(*S.two_price_facts(spark, sf), links),
+        FS.input_index_years(S.inputs(spark, sf)), suitability)
+
+
+@query("crop_year_prices", {"crop_id": "s", "year": "i", "price_mean": "f", "price_std": "f", "volume_mean": "f", "price_weighted": "f", "price_source": "s"}, "SELECT * FROM crop_year_prices")
+def _(spark, sf):
+    """Price of each crop and year from the daily fact where it has any, else from the monthly one."""
+    links = S.products(spark, sf).select("product_id", F.col("product_id").alias("crop_id"))
+    return P.crop_year_prices(*S.two_price_facts(spark, sf), links)
 
 
 @query("feature_store", FEATURES, """
@@ -323,8 +338,9 @@ LEFT JOIN feature_base l ON l.town_id = b.town_id AND l.crop_id = b.crop_id AND
 LEFT JOIN feature_base l3 ON l3.town_id = b.town_id AND l3.crop_id = b.crop_id AND l3.year = b.year - 3
 WINDOW w AS (PARTITION BY b.town_id, b.crop_id ORDER BY b.year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
-    store = feature_store(spark, sf).withColumn("_town", F.col("town_id").cast("string"))
-    present = S.lots(spark, sf).select("town_id").distinct()  # codes count the towns that have rows
+    sources = S.harvest_and_suitability(spark, sf)
+    store = feature_store(spark, sf, sources).withColumn("_town", F.col("town_id").cast("string"))
+    present = sources[0].select("town_id").distinct()  # codes count the towns that have rows
     towns = materialise(
         S.towns(spark, sf).join(present, "town_id", "left_semi").withColumn("_town", F.col("town_id").cast("string")))
     return store.join(RK.dense_codes(towns, "_town", "town_code"), "_town").join(

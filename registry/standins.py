@@ -36,6 +36,31 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
                     F.to_date("l_shipdate").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
 
 
+# Two price facts that share the quotes: what is settled is kept by month, with volumes, what is open by day. The year they meet in has both.
+CTES["recent_daily"] = """
+SELECT s_nationkey AS market_id, p_brand AS product_id, CAST(l_shipdate AS DATE) AS day, AVG(l_extendedprice / l_quantity) AS price_avg
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linestatus = 'O' GROUP BY ALL"""
+CTES["old_monthly"] = """
+SELECT s_nationkey AS market_id, p_brand AS product_id, YEAR(l_shipdate) AS year, MONTH(l_shipdate) AS month, AVG(l_extendedprice / l_quantity) AS price,
+       SUM(CASE WHEN l_returnflag <> 'R' THEN l_quantity END) AS volume
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linestatus = 'F' GROUP BY ALL"""
+
+
+def two_price_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The daily fact of open lines and the monthly fact of settled ones, from one scan: a settled row is summed by month, an open one by day."""
+    line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    is_open = F.col("l_linestatus") == "O"
+    facts = materialise(
+        line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(part, line.l_partkey == part.p_partkey)
+        .groupBy(F.col("s_nationkey").alias("market_id"), F.col("p_brand").alias("product_id"), is_open.alias("_open"),
+                 F.when(is_open, F.to_date("l_shipdate")).otherwise(F.trunc("l_shipdate", "month")).alias("day"))
+        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).alias("volume")))
+    recent = facts.where("_open").select("market_id", "product_id", "day", F.col("price").alias("price_avg"))
+    return recent, facts.where("NOT _open").select("market_id", "product_id", F.year("day").alias("year"), F.month("day").alias("month"), "price", "volume")
+
+
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     return P.daily_prices(quotes(spark, sf))
 
@@ -153,6 +178,18 @@ def harvest(spark: SparkSession, sf: str) -> DataFrame:
                             "yield_t_ha")
 
 
+def harvest_and_suitability(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both from one aggregate of the lots by soil, so that the fact is read once."""
+    sums = materialise(lots(spark, sf).groupBy("town_id", "crop_id", "year", "soil").agg(
+        F.sum("sown_ha").alias("sown_ha"), F.sum("harvested_ha").alias("harvested_ha"), F.sum("production_t").alias("production_t"),
+        F.sum("yield_t_ha").alias("yield_t_ha"), F.count("yield_t_ha").alias("lots"), F.count(F.lit(1)).alias("n")))
+    text = F.when(F.col("soil") == "A", "Aptitud alta").when(F.col("soil") == "N", "Aptitud media").otherwise("No apta")
+    counts = sums.groupBy("town_id", "crop_id", text.alias("_class")).agg(F.sum("n").alias("n"))
+    classed = A.largest_share(counts, ["town_id", "crop_id"], "_class", "n", "_class")
+    return (A.harvest_rollup(sums, ["town_id", "crop_id", "year"], "sown_ha", "harvested_ha", "production_t", "yield_t_ha", "lots"),
+            classed.select("town_id", "crop_id", R.suitability_class(F.col("_class")).alias("suitability")))
+
+
 def suitability(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("soil") == "A", "Aptitud alta").when(F.col("soil") == "N", "Aptitud media").otherwise("No apta")
     classed = A.most_frequent_class(lots(spark, sf).withColumn("_s", text), ["town_id", "crop_id"], "_s", "_class")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from datetime import datetime
 
@@ -102,6 +103,81 @@ def standardize(
     return add_provenance(out, source_uri, extracted_at)
 
 
+class ExtractionReport:
+    """What a conformed source was read from and what became of its rows; known once an action has run over the conformed rows.
+
+    The counts are observed on the way through that action: nothing is read a second time.
+    """
+
+    def __init__(self, source: str, uri: str, extracted_at: datetime, columns: list[str], steps: list[str]):
+        self.source, self.uri, self.extracted_at, self.columns, self.steps = source, uri, extracted_at, columns, steps
+        self.on_entry, self.on_exit = Observation(), Observation()
+
+    def metrics(self) -> dict[str, int]:
+        """Rows read, rows dropped by each step in its order (``missing``, ``range:<column>``, ``duplicate``), missing values of each critical
+        column, and rows kept."""
+        first, last = self.on_entry.get, self.on_exit.get
+        dropped = {step: first[f"s{i}"] for i, step in enumerate(self.steps)}
+        dropped["duplicate"] = first["rows"] - sum(dropped.values()) - last["rows"]
+        missing = {k: v for k, v in first.items() if k.startswith("missing:")}
+        return {"read": first["rows"], **{f"dropped:{k}": v for k, v in dropped.items()}, **missing, "kept": last["rows"]}
+
+    def completeness(self) -> dict[str, float]:
+        """Percent of the kept rows that have a value, by column; nothing of no rows."""
+        last = self.on_exit.get
+        return {c: 100.0 * last[f"c{i}"] / last["rows"] for i, c in enumerate(self.columns) if last["rows"]}
+
+    def document(self) -> str:
+        """The report as the JSON document that ``quality.sync_reports`` stores; a conformed source has no repeated keys left."""
+        return json.dumps({
+            "source": self.source, "uri": self.uri, "rows": self.metrics()["kept"], "columns": len(self.columns), "completeness_pct": self.completeness(),
+            "key_duplicates": 0, "extracted_at": self.extracted_at.isoformat(timespec="seconds"), "steps": self.metrics()}, ensure_ascii=False)
+
+
+def standardize_with_report(
+    df: DataFrame,
+    source: str,
+    source_uri: str,
+    required: list[str],
+    extracted_at: datetime,
+    numeric: list[str] = (),
+    text: list[str] = (),
+    critical: list[str] = (),
+    ranges: dict[str, tuple[float | None, float | None]] | None = None,
+    keys: list[str] | None = None,
+    order: str | None = None,
+) -> tuple[DataFrame, ExtractionReport]:
+    """``standardize``, and a report that counts what each step drops.
+
+    A row counts for the first step it fails: a missing critical value, then the ranges in their order (a missing value is out of range, as in
+    ``keep_range``), then a later row of the same key.
+    """
+    out = coerce_text(coerce_numeric(require_columns(df, required, source), numeric), text)
+    alive, failed, steps = F.lit(True), [], []
+    if critical:
+        whole = F.lit(True)
+        for c in critical:
+            whole = whole & F.col(c).isNotNull()
+        alive, steps, failed = whole, ["missing"], [~whole]
+    for column, (low, high) in (ranges or {}).items():
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (F.col(column) >= low)
+        if high is not None:
+            inside = inside & (F.col(column) <= high)
+        inside = F.coalesce(inside, F.lit(False))
+        steps, failed, alive = [*steps, f"range:{column}"], [*failed, alive & ~inside], alive & inside
+    names = [*out.columns, "_source_uri", "_extracted_at"]
+    report = ExtractionReport(source, source_uri, extracted_at, names, steps)
+    out = out.observe(
+        report.on_entry, F.count(F.lit(1)).alias("rows"), *[F.count_if(x).alias(f"s{i}") for i, x in enumerate(failed)],
+        *[F.count_if(F.col(c).isNull()).alias(f"missing:{c}") for c in critical]).where(alive)
+    if keys:
+        out = dedupe_latest(out, keys, [order] if order else [])
+    out = add_provenance(out, source_uri, extracted_at)
+    return out.observe(report.on_exit, F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(names)]), report
+
+
 def validate_prices(df: DataFrame, day: str, market: str, product: str, low: str, high: str, mean: str,
                     ceiling: float = K.MAX_PRICE_KG) -> DataFrame:
     """Keep credible price rows; a minimum or maximum that contradicts the mean becomes missing."""

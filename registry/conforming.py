@@ -13,8 +13,10 @@ from cropspark.functions import numeric as N
 from cropspark.functions import text as T
 from cropspark.operators import conform as C
 from cropspark.operators import joins as J
+from cropspark.operators import quality as QL
 from cropspark.operators import ranking as Q
 from cropspark.operators import ranks as RK
+from cropspark.session import materialise
 from registry import standins as S
 from registry.base import CTES, query, table
 
@@ -136,6 +138,41 @@ def _(spark, sf):
                          extracted_at=datetime(2026, 1, 1))
 
 
+_CLEAN = """SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS quantity, TRIM(l_returnflag) AS flag, l_partkey FROM lineitem"""
+
+
+@query("standardize_report", {"name": "s", "value": "f"}, f"""
+WITH clean AS ({_CLEAN}), good AS (SELECT * FROM clean WHERE quantity BETWEEN 5 AND 45),
+kept AS (SELECT * FROM good QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
+SELECT 'read' AS name, COUNT(*)::DOUBLE AS value FROM clean
+UNION ALL SELECT 'dropped:missing', COUNT(*) FROM clean WHERE quantity IS NULL OR l_orderkey IS NULL
+UNION ALL SELECT 'missing:quantity', COUNT(*) FROM clean WHERE quantity IS NULL
+UNION ALL SELECT 'missing:l_orderkey', 0
+UNION ALL SELECT 'dropped:range:quantity', COUNT(*) FROM clean WHERE quantity < 5 OR quantity > 45
+UNION ALL SELECT 'dropped:duplicate', (SELECT COUNT(*) FROM good) - (SELECT COUNT(*) FROM kept)
+UNION ALL SELECT 'kept', COUNT(*) FROM kept
+UNION ALL SELECT 'stored rows', COUNT(*) FROM kept UNION ALL SELECT 'stored columns', 8
+UNION ALL SELECT 'completeness of ' || c, 100.0 FROM (VALUES ('l_orderkey'), ('l_linenumber'), ('l_shipdate'), ('quantity'), ('l_partkey'), ('_source_uri'), ('_extracted_at')) v(c)
+UNION ALL SELECT 'completeness of flag', 100.0 * COUNT(NULLIF(flag, 'N')) / COUNT(*) FROM kept""")
+def _(spark, sf):
+    """Counts of the conforming chain, observed in the one action that makes its rows, and the report as it is stored."""
+    raw = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate",
+        F.when(F.col("l_returnflag") == "R", "sin dato").otherwise(F.col("l_quantity").cast("string")).alias("quantity"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("  "), "l_returnflag", F.lit(" "))).alias("flag"), "l_partkey")
+    rows, report = C.standardize_with_report(
+        raw, "lineitem", "landing/lineitem", ["l_orderkey", "quantity"], datetime(2026, 1, 1), numeric=["quantity"], text=["flag"],
+        critical=["quantity", "l_orderkey"], ranges={"quantity": (5, 45)}, keys=["l_orderkey"], order="l_shipdate")
+    materialise(rows)
+    counts = spark.createDataFrame([(k, float(v)) for k, v in report.metrics().items()], "name string, value double")
+    none = spark.createDataFrame([], QL.REPORT_FIELDS.replace("MAP<STRING, DOUBLE>", "STRING"))
+    stored = QL.sync_reports(none, spark.createDataFrame([(report.document(),)], "doc string"), "doc")
+    shares = stored.select(F.explode(F.from_json("completeness_pct", "map<string,double>")).alias("name", "value"))
+    return counts.unionByName(stored.select(F.lit("stored rows").alias("name"), F.col("rows").cast("double").alias("value"))).unionByName(
+        stored.select(F.lit("stored columns").alias("name"), F.col("columns").cast("double").alias("value"))).unionByName(
+        shares.select(F.concat(F.lit("completeness of "), "name").alias("name"), "value"))
+
+
 @query("price_validation", {"l_orderkey": "i", "l_linenumber": "i", "mean": "f", "low": "f", "high": "f"}, """
 SELECT l_orderkey, l_linenumber, m AS mean, CASE WHEN lo > 0 AND lo <= m THEN lo END AS low, CASE WHEN hi > 0 AND hi >= m THEN hi END AS high
 FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS m, l_extendedprice / l_quantity - 200 AS lo,

@@ -351,3 +351,29 @@ def test_report_sync_ignores_foreign_and_broken_documents(spark):
     assert [(r.source, r.rows, r.completeness_pct, r.change_type) for r in once.collect()] == [("s", 3, '{"a":100.0}', "inserted")]
     again = QC.sync_reports(once.drop("change_type"), docs, "d")
     assert [r.change_type for r in again.collect()] == ["same"]
+
+
+def test_standardize_report_counts_every_step(spark):
+    """A row counts for the first step it fails; one action makes the rows and all counts, and the document is what the report store takes."""
+    raw = spark.createDataFrame(
+        [("a", "5", " x ", 1), ("a", "7", "y", 2), ("b", "sin dato", "z", 1), (None, "9", "z", 1), ("c", "-4", None, 1), ("d", "900", "w", 1), ("e", "50", None, 99), ("f", "10", None, 1)],
+        "code string, v string, t string, n int")
+    cleaned, report = C.standardize_with_report(
+        raw, "feed", "uri", ["code", "v"], datetime(2024, 5, 1), numeric=["v", "n"], text=["t"], critical=["code", "v"], ranges={"v": (0, 100), "n": (None, 50)}, keys=["code"], order="n")
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    got = {r.code: (r.v, r.t) for r in cleaned.collect()}
+    assert got == {"a": (7.0, "y"), "f": (10.0, None)}
+    assert report.metrics() == {
+        "read": 8, "dropped:missing": 2, "dropped:range:v": 2, "dropped:range:n": 1, "dropped:duplicate": 1, "missing:code": 1, "missing:v": 1, "kept": 2}
+    assert report.completeness()["t"] == 50.0 and report.completeness()["v"] == 100.0
+    stored = QC.sync_reports(spark.createDataFrame([], QC.REPORT_FIELDS.replace("MAP<STRING, DOUBLE>", "STRING")), spark.createDataFrame([(report.document(),)], "d string"), "d").first()
+    assert (stored.source, stored.rows, stored.columns, stored.key_duplicates) == ("feed", 2, 6, 0)
+    same = C.standardize(raw, "feed", "uri", ["code", "v"], numeric=["v", "n"], text=["t"], critical=["code", "v"], ranges={"v": (0, 100), "n": (None, 50)}, keys=["code"], order="n", extracted_at=datetime(2024, 5, 1))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, cleaned.collect()))
+
+
+def test_standardize_report_of_no_rows(spark):
+    raw = spark.createDataFrame([], "code string, v string")
+    cleaned, report = C.standardize_with_report(raw, "feed", "uri", ["code"], datetime(2024, 5, 1), critical=["code"], keys=["code"])
+    assert cleaned.collect() == [] and report.metrics() == {"read": 0, "dropped:missing": 0, "dropped:duplicate": 0, "missing:code": 0, "kept": 0} and report.completeness() == {}

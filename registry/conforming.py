@@ -253,7 +253,9 @@ def _(spark, sf):
     return J.resolve_names(table(spark, sf, "customer").select("c_custkey", name.alias("name")), "name", towns, "town", "code", synonyms)
 
 
-CTES["points"] = "SELECT vec_id, embedding[1] * 100.0::DOUBLE AS lat, embedding[2] * 200.0::DOUBLE AS lon, CASE WHEN embedding[4] > 0 THEN ABS(embedding[3]) * 3000.0::DOUBLE END AS alt, label FROM embeddings"
+# A quarter of the points has no coordinates, only a name; some names nobody knows.
+CTES["points"] = """SELECT vec_id, CASE WHEN embedding[5] <= 0.08 THEN embedding[1] * 100.0::DOUBLE END AS lat, embedding[2] * 200.0::DOUBLE AS lon,
+  CASE WHEN embedding[4] > 0 THEN ABS(embedding[3]) * 3000.0::DOUBLE END AS alt, label FROM embeddings"""
 CTES["centres"] = "SELECT label, ROUND(AVG(lat), 6) AS lat, ROUND(AVG(lon), 6) AS lon, ROUND(AVG(alt), 3) AS alt FROM points GROUP BY label"
 CTES["pair_costs"] = """
 SELECT vec_id, c.label, ABS(c.alt - p.alt) AS climb, 6371.0::DOUBLE * 2 * ATAN2(SQRT(a), SQRT(1 - a)) AS km FROM points p CROSS JOIN centres c,
@@ -262,14 +264,19 @@ LATERAL (SELECT POW(SIN((RADIANS(c.lat) - RADIANS(p.lat)) / 2), 2) + COS(RADIANS
 
 @query("nearest_centroid", {"vec_id": "i", "label": "i", "distance_km": "f3", "method": "s"}, """
 SELECT vec_id, label, km AS distance_km, CASE WHEN km <= 50 AND COALESCE(climb, 0) <= 400 THEN 'within_radius_and_altitude' ELSE 'nearest_outside' END AS method
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY km + COALESCE(climb, 0) * 0.1::DOUBLE, label) AS rn FROM pair_costs) WHERE rn = 1""")
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY km + COALESCE(climb, 0) * 0.1::DOUBLE, label) AS rn FROM pair_costs WHERE km IS NOT NULL) WHERE rn = 1
+UNION ALL SELECT vec_id, CASE WHEN label < 7 THEN label END, NULL, CASE WHEN label < 7 THEN 'text' ELSE 'unresolved' END FROM points WHERE lat IS NULL""")
 def _(spark, sf):
     e = F.col("embedding")
     points = table(spark, sf, "embeddings").select(
-        "vec_id", (e[0] * F.lit(100.0)).cast("double").alias("lat"), (e[1] * F.lit(200.0)).cast("double").alias("lon"),
-        F.when(e[3] > 0, F.abs(e[2]) * F.lit(3000.0)).cast("double").alias("alt"), "label")
-    centres = points.groupBy("label").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("alt"), 3).alias("alt"))
-    return J.nearest_centre(points.drop("label"), centres, "vec_id", "label")
+        "vec_id", F.when(e[4] <= 0.08, (e[0] * F.lit(100.0)).cast("double")).alias("lat"), (e[1] * F.lit(200.0)).cast("double").alias("lon"),
+        F.when(e[3] > 0, F.abs(e[2]) * F.lit(3000.0)).cast("double").alias("alt"), "label",
+        F.when(F.col("label") < 4, F.concat(F.lit("  CENTRÓ "), "label", F.lit(" (Región)"))).when(F.col("label") < 7, F.concat(F.lit("Vereda "), "label"))
+        .when(F.col("label") < 9, F.concat(F.lit("Zona "), "label")).alias("name"))
+    centres = points.groupBy("label").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("alt"), 3).alias("alt")).withColumn(
+        "name", F.concat(F.lit("Centro "), "label"))
+    synonyms = centres.select(F.concat(F.lit("vereda "), "label").alias("synonym"), F.col("label").cast("string").alias("code"))
+    return J.assign_centres(points.drop("label"), centres, "vec_id", "label", "name", "name", synonyms)
 
 
 @query("fk_rejects", {"accepted": "i", "rejected": "i"}, """

@@ -4,6 +4,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -228,6 +229,35 @@ def test_nearest_centre_equals_brute_force(spark):
             assert got[pid].c == want[0] and got[pid].distance_km == pytest.approx(want[1], rel=1e-9)
 
 
+def test_nearest_centre_in_a_dense_cell(spark):
+    """100,000 places and 100,000 centres within one degree, and some far away from all: no cell is all pairs, and every answer is exact."""
+    rng = np.random.default_rng(8)
+    n = 100_000
+    side = lambda: (4 + rng.random(n), -74 + rng.random(n), np.where(rng.random(n) < 0.01, np.nan, rng.random(n) * 3000))
+    places, centres = side(), side()
+    places[0][:50], places[1][:50] = rng.uniform(-89, 89, 50), rng.uniform(-179, 179, 50)
+    frame = lambda s, name: spark.createDataFrame(pd.DataFrame({name: np.arange(n), "lat": s[0], "lon": s[1], "alt": s[2]})).withColumn("alt", F.nullif(F.col("alt"), F.lit(float("nan"))))
+    out = J.nearest_centre(frame(places, "p"), frame(centres, "c"), "p", "c")
+    got = out.toPandas().set_index("p")
+    assert len(got) == n and got["c"].notna().all()
+    lat, lon, alt = np.radians(centres[0]), np.radians(centres[1]), centres[2]
+    for p in [*range(50), *rng.integers(0, n, 250)]:
+        a = np.sin((lat - np.radians(places[0][p])) / 2) ** 2 + np.cos(np.radians(places[0][p])) * np.cos(lat) * np.sin((lon - np.radians(places[1][p])) / 2) ** 2
+        cost = 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) + np.nan_to_num(np.abs(alt - places[2][p])) * 0.1
+        assert cost[int(got.loc[p, "c"])] <= cost.min() + 1e-9
+
+
+def test_names_stand_in_for_coordinates(spark):
+    points = spark.createDataFrame([(1, 4.0, -74.0, None, "nowhere"), (2, None, None, None, " BOGOTÁ (D.C.)"), (3, None, -74.0, None, "santa fe"), (4, None, None, None, None), (5, float("nan"), 1.0, None, "zzz")],
+                                   "p int, lat double, lon double, alt double, name string")
+    centres = spark.createDataFrame([(11, 4.1, -74.1, 2600.0, "Bogota"), (12, 10.0, -75.0, 2.0, "Cartagena"), (13, None, None, None, "Lost")], "c int, lat double, lon double, alt double, town string")
+    synonyms = spark.createDataFrame([("Santa Fé", "11")], "synonym string, code string")
+    got = {r.p: (r.c, r.method) for r in J.assign_centres(points, centres, "p", "c", "name", "town", synonyms).collect()}
+    assert got == {1: (11, "within_radius_and_altitude"), 2: (11, "text"), 3: (11, "text"), 4: (None, "unresolved"), 5: (None, "unresolved")}
+    none = {r.p: (r.c, r.method) for r in J.assign_centres(points, centres.where("c = 13"), "p", "c", "name", "town", {}).collect()}
+    assert set(none.values()) == {(None, "unresolved")}
+
+
 def test_nearest_centre_ties_and_radius(spark):
     centres = spark.createDataFrame([(2, 4.0, -74.0, 100.0), (1, 4.0, -74.0, 100.0)], "c int, lat double, lon double, alt double")
     points = spark.createDataFrame([(1, 4.1, -74.0, 100.0), (2, 4.1, -74.0, 600.0), (3, 5.0, -74.0, None)], "p int, lat double, lon double, alt double")

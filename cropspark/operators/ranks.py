@@ -38,7 +38,7 @@ def below_of_counts(counts: DataFrame, group: list[str], value: str, ranges: int
     base = materialise(counts if group else counts.withColumn(_ALL, F.lit(0)))
     ranges = ranges or _default_ranges(base)
     extra = [c for c in counts.columns if c not in (*group, value, "n")]
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    steps = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")  # one constant, however many
     # Also written once, so that the totals and the rows inside a range use the same cut points.
     cuts = materialise(base.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps)).alias("_cuts")))
     if group:
@@ -124,3 +124,34 @@ def assign_surrogate_keys(dimension: DataFrame, incoming: DataFrame, natural: st
     return dense_codes(new, natural, "_code", start=1).select(
         natural, (F.col("_code") + top).cast("long").alias(key)
     )
+
+
+class OrderedRanges:
+    """Rows of each group in order, cut into ranges of which every task has one: running counts, sums and maxima of a group of any size.
+
+    The order continues the group's columns in one sort key, so the cuts fall inside a large group as well; they are fixed by a checkpoint. Running
+    values are those inside a range, combined with the totals of the group's lower ranges, of which there are as many as tasks. ``order`` must tell the
+    rows of a group apart.
+    """
+
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], parts: int | None = None):
+        self.by, self.order = by, order
+        cut = [*by, *order] if parts is None else [parts, *by, *order]
+        self.rows = materialise(df.repartitionByRange(*cut).withColumn("_part", F.spark_partition_id()))
+
+    def add(self, **values: tuple[str, Column]) -> OrderedRanges:
+        """Add columns with the running ``sum`` or ``max`` (first in each pair) of a value up to and including the row; ``total`` is the whole group's
+        sum on each row."""
+        how = {"sum": F.sum, "max": F.max, "total": F.sum}
+        keys = [*self.by, "_part"]
+        lower = Window.partitionBy(*self.by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy(*keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = self.rows.groupBy(*keys).agg(*[how[kind](c).alias(f"_{name}") for name, (kind, c) in values.items()])
+        spans = {name: Window.partitionBy(*self.by) if kind == "total" else lower for name, (kind, _) in values.items()}
+        before = sums.select(*keys, *[how[kind](f"_{name}").over(spans[name]).alias(f"_{name}") for name, (kind, _) in values.items()])
+        own = self.rows.withColumns({name: how[kind](c).over(inside) for name, (kind, c) in values.items() if kind != "total"})
+        same = [own[c].eqNullSafe(before[c]) for c in keys]
+        joined = own.join(before, same)
+        done = {"sum": lambda name: own[name] + F.coalesce(before[f"_{name}"], F.lit(0)), "max": lambda name: F.greatest(own[name], before[f"_{name}"]), "total": lambda name: before[f"_{name}"]}
+        self.rows = joined.select(*[own[c] for c in self.rows.columns], *[done[kind](name).alias(name) for name, (kind, _) in values.items()])
+        return self

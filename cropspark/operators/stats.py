@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark.functions import rules as R
-from cropspark.operators.ranks import average_rank, below_of_counts, exact_quantiles, rows_below
+from cropspark.operators.ranks import OrderedRanges, average_rank, below_of_counts, exact_quantiles, rows_below
 from cropspark.session import materialise
 
 MIN_PER_GROUP = 3
@@ -96,7 +96,7 @@ def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Two-sided Mann-Whitney U and z (continuity and tie corrected) for every pair of factor levels.
 
-    Distinct values with counts, not rows, are copied to the pairs of their level.
+    By definition the result has all pairs of levels. Distinct values with counts, not rows, are copied to the pairs of their level.
     """
     kept = materialise(valid_groups(df, by, group, value).select(*by, group, value))
     counts = kept.groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("c"))
@@ -122,13 +122,12 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
 
 
 def holm(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    """Holm-adjusted p-values over the pairs of one comparison."""
-    order = Window.partitionBy(*by).orderBy(p, "group1", "group2")
-    whole = Window.partitionBy(*by)
-    step = (F.count(F.lit(1)).over(whole) - F.row_number().over(order) + 1) * F.col(p)
-    raised = df.withColumn("_step", F.when(step > 1, 1.0).otherwise(step))
-    adjusted = F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return raised.withColumn("p_adjusted", adjusted).withColumn("significant", F.col("p_adjusted") <= 0.05).drop("_step")
+    """Holm-adjusted p-values over the pairs of one comparison, of which there may be very many: places, numbers of pairs and the running maximum of
+    the raised p-values come from ordered ranges, so no comparison is ever in one task."""
+    ordered = OrderedRanges(df, by, [p, "group1", "group2"]).add(_place=("sum", F.lit(1)), _pairs=("total", F.lit(1)))
+    ordered.rows = ordered.rows.withColumn("_step", F.least(F.lit(1.0), (F.col("_pairs") - F.col("_place") + 1) * F.col(p)))
+    ordered.rows = ordered.rows.withColumn("_step", F.when(F.col(p).isNotNull(), F.col("_step")))
+    return ordered.add(p_adjusted=("max", F.col("_step"))).rows.withColumn("significant", F.col("p_adjusted") <= 0.05).drop("_part", "_place", "_pairs", "_step")
 
 
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:

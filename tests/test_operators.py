@@ -407,3 +407,31 @@ def test_standardize_report_of_no_rows(spark):
     raw = spark.createDataFrame([], "code string, v string")
     cleaned, report = C.standardize_with_report(raw, "feed", "uri", ["code"], datetime(2024, 5, 1), critical=["code"], keys=["code"])
     assert cleaned.collect() == [] and report.metrics() == {"read": 0, "dropped:missing": 0, "dropped:duplicate": 0, "missing:code": 0, "kept": 0} and report.completeness() == {}
+
+
+def test_ordered_ranges_hold_a_hot_group(spark):
+    """Running counts, sums and maxima of a group that spans many ranges equal those of one pass over it."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    df = pd.DataFrame({"g": np.where(rng.random(n) < 0.9, "hot", "g" + pd.Series(rng.integers(0, 50, n)).astype(str)), "o": rng.permutation(n), "v": rng.integers(-50, 50, n)})
+    placed = RK.OrderedRanges(spark.createDataFrame(df).repartition(6), ["g"], ["o"], parts=9)
+    assert placed.rows.where("g = 'hot'").select("_part").distinct().count() > 5
+    got = placed.add(k=("sum", F.lit(1)), m=("total", F.lit(1)), s=("sum", F.col("v")), top=("max", F.col("v"))).rows.toPandas().sort_values("o").reset_index(drop=True)
+    want = df.sort_values("o").reset_index(drop=True)
+    groups = want.groupby("g")["v"]
+    assert (got["k"] == groups.cumcount() + 1).all() and (got["m"] == groups.transform("size")).all()
+    assert (got["s"] == groups.cumsum()).all() and (got["top"] == groups.cummax()).all()
+
+
+def test_holm_of_very_many_pairs(spark):
+    from cropspark.operators import stats as ST
+
+    rng = np.random.default_rng(6)
+    p = np.round(rng.random(8000) ** 6, 6)
+    rows = pd.DataFrame({"comparison": "c", "group1": np.arange(8000) // 100, "group2": np.arange(8000) % 100, "p": p})
+    got = ST.holm(spark.createDataFrame(rows).repartition(7), ["comparison"]).toPandas().sort_values(["p", "group1", "group2"])
+    raised = np.minimum(1, np.sort(p) * np.arange(8000, 0, -1))
+    assert np.allclose(got["p_adjusted"], np.maximum.accumulate(raised)) and (got["significant"] == (got["p_adjusted"] <= 0.05)).all()
+    assert list(got.columns) == ["comparison", "group1", "group2", "p", "p_adjusted", "significant"]
+    alone = spark.createDataFrame([("x", "a", "b", None), ("x", "a", "c", 0.01), ("y", "a", "b", 0.04)], "comparison string, group1 string, group2 string, p double")
+    assert {(r.comparison, r.group2): r.p_adjusted for r in ST.holm(alone, ["comparison"]).collect()} == {("x", "b"): None, ("x", "c"): 0.02, ("y", "b"): 0.04}

@@ -7,6 +7,7 @@ readers take the newest complete one, so a failed job leaves the table as it was
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -206,19 +207,88 @@ def expire_partitions(spark: SparkSession, path: str, partition: str, first_kept
     return sorted(gone)
 
 
-def write_batch(df: DataFrame, base: str, batch_id: int) -> None:
-    """Rows of one batch in a folder of their own: a batch that comes again replaces itself."""
+#: Batch folders that may stand beside the folded rows before they are folded; the newest ones stay, because the engine may write its last batch
+#: again. Folders of the fold before last are removed, so a reader that has begun keeps its files, and there are never more than ``MOST_FOLDERS``.
+FOLD_EVERY, KEPT_BATCHES = 50, 10
+MOST_FOLDERS = 2 * (FOLD_EVERY + KEPT_BATCHES) + 2
+
+
+def _manifests(spark: SparkSession, base: str) -> list[dict]:
+    """What has been folded, oldest first: ``version``, ``folder`` and the last batch it holds (``through``)."""
+    folder, fs = _folder(spark, f"{base}/_manifest")
+    found = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        if status.getPath().getName().endswith(".json"):
+            stream = fs.open(status.getPath())
+            found.append(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return sorted(found, key=lambda m: m["version"])
+
+
+def _publish(spark: SparkSession, base: str, manifest: dict) -> None:
+    """Readers see the new manifest from one moment to the next: it is written under another name and renamed."""
+    folder, fs = _folder(spark, f"{base}/_manifest")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(folder)
+    draft = path(folder, f"{manifest['version']}.draft")
+    stream = fs.create(draft, True)
+    stream.writeBytes(json.dumps(manifest))
+    stream.close()
+    fs.rename(draft, path(folder, f"{manifest['version']:09d}.json"))
+
+
+def _batches(spark: SparkSession, base: str) -> dict[int, str]:
+    """Folders of all complete batches by their number."""
+    path, fs = _folder(spark, base)
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")] if fs.exists(path) else []
+    return {int(p.getName()[6:]): str(p) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def write_batch(df: DataFrame, base: str, batch_id: int, combine: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Rows of one batch in a folder of their own: a batch that comes again replaces itself. Now and then older batches are folded."""
+    spark = df.sparkSession
+    done = _manifests(spark, base)
+    if done and batch_id <= done[-1]["through"]:
+        return  # its rows are folded already
     df.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+    through = done[-1]["through"] if done else -1
+    if sum(b > through for b in _batches(spark, base)) >= FOLD_EVERY + KEPT_BATCHES:
+        fold_batches(spark, base, combine)
 
 
-def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
-    """Rows of all complete batches with ``batch``; None before the first."""
+def fold_batches(spark: SparkSession, base: str, combine: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Fold all complete batches but the newest ``KEPT_BATCHES`` into one base folder.
+
+    ``combine`` reduces the rows of several batches to rows that stand for them (sums, or the last of each key); it keeps ``batch``, the last batch
+    a row stands for. The base is written whole, then a manifest names it, then what the manifest before the last named is removed. A run that
+    breaks off leaves the manifest before it, under which all rows are still there, and the next run does the work again.
+    """
+    done, batches = _manifests(spark, base), _batches(spark, base)
+    last = done[-1] if done else {"version": 0, "folder": None, "through": -1}
+    waiting = sorted(b for b in batches if b > last["through"])[:-KEPT_BATCHES]
+    if not waiting:
+        return
+    rows = _rows_of(spark, base, last["folder"], [batches[b] for b in waiting])
+    folder = f"{base}/folded-{last['version'] + 1}"
+    (combine(rows) if combine else rows).write.mode("overwrite").parquet(folder)
+    _publish(spark, base, {"version": last["version"] + 1, "folder": folder, "through": waiting[-1]})
     path, fs = _folder(spark, base)
-    if not fs.exists(path):
-        return None
-    whole = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")]
-    whole = [str(p) for p in whole if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return spark.read.option("basePath", base).parquet(*whole) if whole else None
+    gone = [m["folder"] for m in done[:-1]] + [p for b, p in batches.items() if b <= last["through"]]
+    for name in [*gone, *[f"{base}/_manifest/{m['version']:09d}.json" for m in done[:-1]]]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), True)
+
+
+def _rows_of(spark: SparkSession, base: str, folder: str | None, batches: list[str]) -> DataFrame | None:
+    parts = [spark.read.parquet(folder)] if folder else []
+    parts += [spark.read.option("basePath", base).parquet(*batches).withColumn("batch", F.col("batch").cast("long"))] if batches else []
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+
+
+def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
+    """Rows of all complete batches with ``batch``; None before the first. The manifest says which are folded; later ones are read beside."""
+    done = _manifests(spark, base)
+    last = done[-1] if done else {"folder": None, "through": -1}
+    return _rows_of(spark, base, last["folder"], [p for b, p in sorted(_batches(spark, base).items()) if b > last["through"]])
 
 
 def retain_since(df: DataFrame, moment: str, now: Column, days: int) -> DataFrame:

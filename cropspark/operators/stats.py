@@ -124,9 +124,9 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFr
 def holm(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     """Holm-adjusted p-values over the pairs of one comparison, of which there may be very many: places, numbers of pairs and the running maximum of
     the raised p-values come from ordered ranges, so no comparison is ever in one task."""
-    ordered = OrderedRanges(df, by, [p, "group1", "group2"]).add(_place=("sum", F.lit(1)), _pairs=("total", F.lit(1)))
-    ordered.rows = ordered.rows.withColumn("_step", F.least(F.lit(1.0), (F.col("_pairs") - F.col("_place") + 1) * F.col(p)))
-    ordered.rows = ordered.rows.withColumn("_step", F.when(F.col(p).isNotNull(), F.col("_step")))
+    is_test = F.col(p).isNotNull().cast("long")  # a pair without p is no test
+    ordered = OrderedRanges(df, by, [p, "group1", "group2"]).add(_place=("sum", is_test), _pairs=("total", is_test))
+    ordered.rows = ordered.rows.withColumn("_step", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), (F.col("_pairs") - F.col("_place") + 1) * F.col(p))))
     return ordered.add(p_adjusted=("max", F.col("_step"))).rows.withColumn("significant", F.col("p_adjusted") <= 0.05).drop("_part", "_place", "_pairs", "_step")
 
 

@@ -91,22 +91,31 @@ def quote_sink(table: str, transform: Callable[[DataFrame], DataFrame]):
     def write(batch: DataFrame, batch_id: int) -> None:
         sums = transform(batch).groupBy(*FACT_KEY).agg(
             F.sum("price").alias("total"), F.count("price").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
-        M.write_batch(sums, table, batch_id)
+        M.write_batch(sums, table, batch_id, _add_up)
 
     return write
 
 
+def _add_up(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(*FACT_KEY).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("batch").alias("batch"))
+
+
 def quoted_days(spark: SparkSession, table: str) -> DataFrame:
     """Daily price rows from the sums of all batches."""
     return M.read_batches(spark, table).groupBy(*FACT_KEY).agg(
         F.min("low").alias("price_min"), F.max("high").alias("price_max"), (F.sum("total") / F.sum("n")).alias("price_avg"))
 
 
-def update_sink(table: str, select: Callable[[DataFrame], DataFrame]):
-    """foreachBatch function for update mode: each batch keeps the rows it changed."""
+def update_sink(table: str, select: Callable[[DataFrame], DataFrame], keys: list[str] | None = None):
+    """foreachBatch function for update mode: each batch keeps the rows it changed. Folded batches keep the last row of each of the ``keys``."""
+
+    def last(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        M.write_batch(select(batch), table, batch_id)
+        M.write_batch(select(batch), table, batch_id, last if keys else None)
 
     return write
 

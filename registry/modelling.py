@@ -224,7 +224,7 @@ def _(spark, sf):
     instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     timed = stream.select("event_type", instant.alias("event_time"), "value")
     means = IN.daily_means(timed, "event_time", ["event_type"], "value")
-    sink = IN.update_sink(f"{base}/table", lambda b: b.select("event_type", IN.window_day().alias("day"), "mean", "n"))
+    sink = IN.update_sink(f"{base}/table", lambda b: b.select("event_type", IN.window_day().alias("day"), "mean", "n"), ["event_type", "day"])
     IN.run_available(means, sink, f"{base}/checkpoint", "update")
     return IN.latest_rows(spark, f"{base}/table", ["event_type", "day"])
 

@@ -370,3 +370,59 @@ def test_a_single_risk_class_falls_back_to_persistence(spark):
     out, metrics = AL.train_and_evaluate(samples)
     assert [(r.model, r.accuracy) for r in metrics.collect()] == [("persistence", 1.0)]
     assert {r.level for r in out.collect()} == {"MEDIO"} and out.where("is_active").count() == 2
+
+
+def test_batches_are_folded(spark, tmp_path, monkeypatch):
+    """500 batches stay few folders; a break between writing and publishing, or before the clean-up, loses and repeats nothing."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    base = str(tmp_path / "table")
+    add_up = lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v"), F.max("batch").alias("batch"))
+    frame, rows = spark.range(3).selectExpr("id AS k", "id * 10 AS v").coalesce(1), pa.table({"k": [0, 1, 2], "v": [0, 10, 20]})
+    total = lambda: {r.k: r.v for r in M.read_batches(spark, base).groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    monkeypatch.setattr(M, "FOLD_EVERY", 20)
+    monkeypatch.setattr(M, "KEPT_BATCHES", 4)
+    publish, most, broken = M._publish, 0, 0
+    for batch in range(500):
+        if batch == 200:
+            def fail(*_):
+                raise OSError("killed between write and swap")
+
+            monkeypatch.setattr(M, "_publish", fail)
+        if batch % 10:  # as the sink's own, but quicker to make
+            pq.write_table(rows, (os.makedirs(f"{base}/batch={batch}") or f"{base}/batch={batch}/part-0.parquet"))
+            open(f"{base}/batch={batch}/_SUCCESS", "w").close()
+            continue
+        try:
+            M.write_batch(frame, base, batch, add_up)
+        except OSError:
+            broken += 1
+            assert total() == {k: k * 10 * (batch + 1) for k in range(3)}
+            monkeypatch.setattr(M, "_publish", publish)
+            M.write_batch(frame, base, batch, add_up)  # the engine writes the batch again
+        if batch % 100 == 0:
+            assert total() == {k: k * 10 * (batch + 1) for k in range(3)}
+        most = max(most, sum(not n.startswith((".", "_")) for n in os.listdir(base)))
+    assert broken == 1 and most <= 2 * (20 + 4 + 10) + 2
+    assert total() == {k: k * 10 * 500 for k in range(3)}
+    M.write_batch(frame, base, 100, add_up)  # long folded: stays as it is
+    M.write_batch(frame, base, 499, add_up)
+    assert total() == {k: k * 10 * 500 for k in range(3)}
+    state = M._manifests(spark, base)
+    assert len(state) == 2 and state[-1]["through"] >= 499 - 34 and M.read_batches(spark, str(tmp_path / "none")) is None
+
+
+def test_folded_roll_up_keeps_last_rows(spark, tmp_path, monkeypatch):
+    from cropspark.streaming import ingest as IN
+
+    monkeypatch.setattr(M, "FOLD_EVERY", 3)
+    monkeypatch.setattr(M, "KEPT_BATCHES", 1)
+    base = str(tmp_path / "days")
+    sink = IN.update_sink(base, lambda b: b, ["k"])
+    for batch in range(11):
+        sink(spark.createDataFrame([(batch % 4, float(batch)), (9, -float(batch))], "k long, mean double"), batch)
+    assert M._manifests(spark, base)
+    assert {r.k: r["mean"] for r in IN.latest_rows(spark, base, ["k"]).collect()} == {0: 8.0, 1: 9.0, 2: 10.0, 3: 7.0, 9: -10.0}

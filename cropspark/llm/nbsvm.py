@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = min(1.0, 1.05 * SAMPLE / max(1, learned.count()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(in_training(F.col("doc_id")))
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = texts.join(learned, "doc_id").select("text", "quality", key.alias("key"))
+    # Always a shuffle of both sides: labels grow with the documents, and a plan that changes with their size would hide what it costs.
+    rows = texts.join(learned.hint("merge"), "doc_id").select("text", "quality", key.alias("key"))
     limit = int(share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "climate", "serving", "conforming", "quality", "sources", "landing", "modelling"]
+MODULES = ["prices", "climate", "serving", "conforming", "quality", "sources", "landing", "modelling", "loading"]
 
 
 def load_all():

@@ -1,13 +1,14 @@
 """Comparison of groups: Welch, Levene, Kruskal-Wallis, Mann-Whitney with Holm.
 
 Everything is sums over groups and distinct values, so samples of any size stay distributed. ``by`` names the comparison a
-row belongs to (at least one column), so several comparisons run in one plan. Only the final rows, one per comparison or pair, meet Python, for
-the tail probabilities that Spark has no function for.
+row belongs to (at least one column), so several comparisons run in one plan. Tail probabilities are column expressions, too: continued fractions
+and series, folded over a sequence of terms.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,92 +131,92 @@ def holm(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     return ordered.add(p_adjusted=("max", F.col("_step"))).rows.withColumn("significant", F.col("p_adjusted") <= 0.05).drop("_part", "_place", "_pairs", "_step")
 
 
+# Coefficients of Lanczos's approximation of the gamma function (g = 7, nine terms).
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
+            -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(a: Column) -> Column:
+    """Logarithm of the gamma function for values of at least 0.5."""
+    z = a - 1
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        total = total + c / (z + i)
+    t = z + 7.5
+    return F.lit(math.log(2 * math.pi) / 2) + (z + 0.5) * F.log(t) - t + F.log(total)
+
+
+def _steps(size: Column) -> Column:
+    """Terms that surely suffice: they grow with the root of the parameter."""
+    return F.sequence(F.lit(1), F.least(F.lit(20_000), F.ceil(F.sqrt(size) * 8) + 80).cast("int"))
+
+
+def _not_zero(c: Column) -> Column:
+    return F.when(F.abs(c) < 1e-300, 1e-300).otherwise(c)
+
+
+def _number(result: Column, *given: Column) -> Column:
+    """The result where all that is given is a number."""
+    ok = F.lit(True)
+    for c in given:
+        ok = ok & c.isNotNull() & ~F.isnan(c)
+    return F.when(ok, result)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta function, its continued fraction folded over a sequence of terms."""
+
+    def lower(x: Column, a: Column, b: Column) -> Column:
+        def term(acc: Column, j: Column) -> Column:
+            m = F.floor(j / 2).cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            part = F.when(j % 2 == 0, even).otherwise(odd)
+            d, c = 1 / _not_zero(1 + part * acc["d"]), _not_zero(1 + part / acc["c"])
+            return F.struct(d.alias("d"), c.alias("c"), (acc["f"] * d * c).alias("f"))
+
+        start = F.struct(F.lit(0.0).alias("d"), F.lit(1.0).alias("c"), F.lit(1.0).alias("f"))
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+        return front / (a * F.aggregate(_steps(F.greatest(a, b)), start, term, lambda acc: acc["f"]))
+
+    inside = F.when(x < (a + 1) / (a + b + 2), lower(x, a, b)).otherwise(1 - lower(1 - x, b, a))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function: the lower one's series up to ``a + 1``, a continued fraction beyond."""
+
+    def in_series(acc: Column, n: Column) -> Column:
+        term = acc["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    def in_fraction(acc: Column, i: Column) -> Column:
+        part, b = -i * (i - a), x + 1 - a + 2 * i
+        d, c = 1 / _not_zero(part * acc["d"] + b), _not_zero(b + part / acc["c"])
+        return F.struct(d.alias("d"), c.alias("c"), (acc["h"] * d * c).alias("h"))
+
+    front, steps = F.exp(-x + a * F.log(x) - log_gamma(a)), _steps(F.greatest(a, F.lit(1.0)))
+    series = F.aggregate(steps, F.struct((1 / a).alias("term"), (1 / a).alias("total")), in_series, lambda acc: acc["total"])
+    first = 1 / _not_zero(x + 1 - a)
+    fraction = F.aggregate(steps, F.struct(first.alias("d"), F.lit(1e300).alias("c"), first.alias("h")), in_fraction, lambda acc: acc["h"])
+    return F.when(x <= 0, 1.0).when(x < a + 1, 1 - front * series).otherwise(front * fraction)
+
+
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
     """P(F > f)."""
-
-    @F.pandas_udf("double")
-    def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-        import math
-
-        def beta_fraction(a: float, b: float, x: float) -> float:
-            # Lentz's continued fraction of the incomplete beta function
-            tiny = 1e-300
-            c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            h = d
-            for m in range(1, 500):
-                for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                    d = 1.0 + num * d
-                    d = 1.0 / (d if abs(d) > tiny else tiny)
-                    c = 1.0 + num / c
-                    c = c if abs(c) > tiny else tiny
-                    h *= d * c
-                if abs(d * c - 1.0) < 1e-15:
-                    break
-            return h
-
-        def beta(a: float, b: float, x: float) -> float:
-            if x <= 0 or x >= 1:
-                return float(x >= 1)
-            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                             + a * math.log(x) + b * math.log1p(-x))
-            if x < (a + 1) / (a + b + 2):
-                return front * beta_fraction(a, b, x) / a
-            return 1 - front * beta_fraction(b, a, 1 - x) / b
-
-        return pd.Series([
-            None if any(v is None or v != v for v in (x, a, b)) else beta(b / 2, a / 2, b / (b + a * x))
-            for x, a, b in zip(f, d1, d2)], dtype="float64")
-
-    return tail(f, df1.cast("double"), df2.cast("double"))
+    f, df1, df2 = f.cast("double"), df1.cast("double"), df2.cast("double")
+    return _number(F.when(f <= 0, 1.0).otherwise(incomplete_beta(df2 / (df2 + df1 * f), df2 / 2, df1 / 2)), f, df1, df2)
 
 
 def chi2_tail(x: Column, df: Column) -> Column:
     """P(chi squared > x)."""
-
-    @F.pandas_udf("double")
-    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
-        import math
-
-        def upper_gamma(a: float, x: float) -> float:
-            if x <= 0:
-                return 1.0
-            front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-            if x < a + 1:  # series of the lower function
-                term = total = 1.0 / a
-                n = a
-                while abs(term) > abs(total) * 1e-16:
-                    n += 1
-                    term *= x / n
-                    total += term
-                return 1.0 - total * front
-            b, c = x + 1 - a, 1e300
-            d = 1.0 / b
-            h = d
-            for i in range(1, 1000):
-                num = -i * (i - a)
-                b += 2
-                d = 1.0 / (num * d + b)
-                c = b + num / c
-                h *= d * c
-                if abs(d * c - 1) < 1e-15:
-                    break
-            return front * h
-
-        return pd.Series([None if a is None or a != a else upper_gamma(b / 2, a / 2) for a, b in zip(x, k)], dtype="float64")
-
-    return tail(x, df.cast("double"))
+    x, df = x.cast("double"), df.cast("double")
+    return _number(upper_gamma(df / 2, x / 2), x, df)
 
 
 def normal_two_sided(z: Column) -> Column:
-    @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        import math
-
-        return pd.Series([None if v is None or v != v else min(1.0, math.erfc(v / math.sqrt(2))) for v in z], dtype="float64")
-
-    return tail(z)
+    """P(|Z| > z); 1 below 0."""
+    return _number(F.when(z <= 0, 1.0).otherwise(upper_gamma(F.lit(0.5), z * z / 2)), z)
 
 
 def compare_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:

@@ -358,23 +358,29 @@ def _(spark, sf):
     return units(spark, sf)
 
 
-@query("welch_anova", {"comparison": "s", "n_groups": "i", "n_total": "i", "welch_f": "f", "welch_df2": "f", "eta2": "f"}, """
+CTES["unit_welch"] = """
 SELECT g.comparison, k AS n_groups, n_total, (SUM(w * POW(m - mw, 2)) / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1.0::DOUBLE) * SUM(POW(1 - w / ws, 2) / (n - 1))) AS welch_f,
   (k * k - 1) / (3 * SUM(POW(1 - w / ws, 2) / (n - 1))) AS welch_df2, SUM(n * POW(m - grand, 2)) / (SUM(n * POW(m - grand, 2)) + SUM((n - 1) * v)) AS eta2
 FROM (SELECT *, n / v AS w FROM unit_groups) g
 JOIN (SELECT comparison, COUNT(*) AS k, SUM(n) AS n_total, SUM(n / v) AS ws, SUM(n / v * m) / SUM(n / v) AS mw, SUM(n * m) / SUM(n) AS grand FROM unit_groups GROUP BY 1) t
-  ON t.comparison = g.comparison GROUP BY g.comparison, k, n_total""")
+  ON t.comparison = g.comparison GROUP BY g.comparison, k, n_total"""
+
+
+@query("welch_anova", {"comparison": "s", "n_groups": "i", "n_total": "i", "welch_f": "f", "welch_df2": "f", "eta2": "f"}, "SELECT * FROM unit_welch")
 def _(spark, sf):
     return ST.welch_anova(units(spark, sf), ["comparison"], "level", "rain")
 
 
-@query("levene_median", {"comparison": "s", "levene_w": "f", "levene_df1": "i", "levene_df2": "i"}, """
+CTES["unit_levene"] = """
 WITH d AS (SELECT u.comparison, u.level, ABS(rain - med) AS z FROM units u JOIN (SELECT comparison, level, MEDIAN(rain) AS med, COUNT(*) AS c FROM units GROUP BY ALL) q
    ON q.comparison = u.comparison AND q.level = u.level WHERE c >= 3),
 g AS (SELECT comparison, level, COUNT(*) AS n, AVG(z) AS m, VAR_SAMP(z) AS v FROM d GROUP BY ALL),
 t AS (SELECT comparison, AVG(z) AS grand FROM d GROUP BY ALL)
 SELECT g.comparison, (SUM(n * POW(m - grand, 2)) / (COUNT(*) - 1)) / (SUM((n - 1) * v) / (SUM(n) - COUNT(*))) AS levene_w, COUNT(*) - 1 AS levene_df1, SUM(n) - COUNT(*) AS levene_df2
-FROM g JOIN t ON t.comparison = g.comparison GROUP BY g.comparison""")
+FROM g JOIN t ON t.comparison = g.comparison GROUP BY g.comparison"""
+
+
+@query("levene_median", {"comparison": "s", "levene_w": "f", "levene_df1": "i", "levene_df2": "i"}, "SELECT * FROM unit_levene")
 def _(spark, sf):
     return ST.levene(units(spark, sf), ["comparison"], "level", "rain")
 
@@ -392,23 +398,31 @@ def tied(spark, sf):
         F.floor(F.col("l_quantity") / 4).cast("double").alias("value"))
 
 
-@query("kruskal", {"comparison": "s", "kruskal_h": "f", "kruskal_df": "i", "epsilon2": "f6"}, """
+def _kruskal_sql(ranks: str) -> str:
+    return f"""
 SELECT comparison, h AS kruskal_h, k - 1 AS kruskal_df, h * (total + 1) / (total * total::DOUBLE - 1) AS epsilon2 FROM (
   SELECT g.comparison, total, COUNT(*) AS k, (12.0::DOUBLE / (total * (total + 1.0::DOUBLE)) * SUM(rs * rs / n) - 3 * (total + 1)) / (1 - ties / (POW(total, 3) - total)) AS h
-  FROM (SELECT comparison, level, total, SUM(r) AS rs, COUNT(*) AS n FROM tied_ranks GROUP BY ALL) g
-  JOIN (SELECT comparison, SUM(t * t::DOUBLE - 1) AS ties FROM tied_ranks GROUP BY 1) x ON x.comparison = g.comparison GROUP BY g.comparison, total, ties)""")
-def _(spark, sf):
-    return ST.kruskal(tied(spark, sf), ["comparison"], "level", "value")
+  FROM (SELECT comparison, level, total, SUM(r) AS rs, COUNT(*) AS n FROM {ranks} GROUP BY ALL) g
+  JOIN (SELECT comparison, SUM(t * t::DOUBLE - 1) AS ties FROM {ranks} GROUP BY 1) x ON x.comparison = g.comparison GROUP BY g.comparison, total, ties)"""
 
 
-@query("mann_whitney", {"comparison": "s", "group1": "s", "group2": "s", "u1": "f1", "z": "f"}, """
-WITH counts AS (SELECT comparison, level, value, COUNT(*) AS c FROM tied GROUP BY ALL),
+def _mann_whitney_sql(rows: str) -> str:
+    return f"""
+WITH counts AS (SELECT comparison, level, value, COUNT(*) AS c FROM {rows} GROUP BY ALL),
 pairs AS (SELECT a.comparison, a.level AS group1, b.level AS group2 FROM (SELECT DISTINCT comparison, level FROM counts) a JOIN (SELECT DISTINCT comparison, level FROM counts) b
   ON b.comparison = a.comparison AND a.level < b.level),
 v AS (SELECT p.comparison, group1, group2, value, SUM(c) AS n, SUM(CASE WHEN c.level = group1 THEN c ELSE 0 END) AS n1 FROM pairs p JOIN counts c ON c.comparison = p.comparison AND c.level IN (group1, group2) GROUP BY ALL),
 r AS (SELECT *, SUM(n) OVER (PARTITION BY comparison, group1, group2 ORDER BY value) - (n - 1) / 2.0::DOUBLE AS rk FROM v),
 s AS (SELECT comparison, group1, group2, SUM(n1 * rk) AS r1, SUM(n1)::DOUBLE AS a, SUM(n - n1)::DOUBLE AS b, SUM(POW(n, 3) - n) AS ties FROM r GROUP BY ALL)
-SELECT comparison, group1, group2, r1 - a * (a + 1) / 2 AS u1, (GREATEST(r1 - a * (a + 1) / 2, a * b - (r1 - a * (a + 1) / 2)) - a * b / 2 - 0.5) / SQRT(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM s""")
+SELECT comparison, group1, group2, r1 - a * (a + 1) / 2 AS u1, (GREATEST(r1 - a * (a + 1) / 2, a * b - (r1 - a * (a + 1) / 2)) - a * b / 2 - 0.5) / SQRT(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM s"""
+
+
+@query("kruskal", {"comparison": "s", "kruskal_h": "f", "kruskal_df": "i", "epsilon2": "f6"}, _kruskal_sql("tied_ranks"))
+def _(spark, sf):
+    return ST.kruskal(tied(spark, sf), ["comparison"], "level", "value")
+
+
+@query("mann_whitney", {"comparison": "s", "group1": "s", "group2": "s", "u1": "f1", "z": "f"}, _mann_whitney_sql("tied"))
 def _(spark, sf):
     return ST.mann_whitney(tied(spark, sf), ["comparison"], "level", "value")
 
@@ -426,12 +440,46 @@ def _(spark, sf):
     return ST.holm(pairs.select("comparison", "group1", "group2", (1 / (1 + F.pow("z", F.lit(4)))).alias("p")), ["comparison"])
 
 
-@query("group_comparisons", {"comparison": "s", "welch_f": "f", "welch_p": "f6", "kruskal_h": "f", "kruskal_p": "f6", "levene_p": "f6", "eta2": "f", "effect": "s", "stars": "s"})
+# Tail probabilities by Simpson's rule over densities whose ends a change of variable makes smooth: the other side of the continued fractions.
+def _integral(expression: str, end: str, points: int = 4000) -> str:
+    """Integral of an expression in ``t`` from 0 to ``end``."""
+    inner = expression.replace("{t}", f"(({end}) * i / {points}.0::DOUBLE)")
+    return f"(({end}) / {3 * points}.0::DOUBLE * LIST_SUM([(CASE WHEN i = 0 OR i = {points} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({inner}) FOR i IN RANGE(0, {points + 1})]))"
+
+
+def _f_tail_sql(f: str, d1: str, d2: str) -> str:
+    density = f"2 * POW(SIN({{t}}), ({d2}) - 1) * POW(COS({{t}}), ({d1}) - 1)"
+    scale = f"EXP(LGAMMA((({d1}) + ({d2})) / 2.0::DOUBLE) - LGAMMA(({d1}) / 2.0::DOUBLE) - LGAMMA(({d2}) / 2.0::DOUBLE))"
+    return f"({scale} * {_integral(density, f'ASIN(SQRT(({d2}) / (({d2}) + ({d1}) * ({f}))))')})"
+
+
+def _chi2_tail_sql(x: str, k: str) -> str:
+    density = f"2 * POW({{t}}, ({k}) - 1) * EXP(-{{t}} * {{t}} / 2)"
+    return f"(1 - {_integral(density, f'SQRT({x})')} / (POW(2, ({k}) / 2.0::DOUBLE) * GAMMA(({k}) / 2.0::DOUBLE)))"
+
+
+CTES["unit_values"] = """
+SELECT u.comparison, u.level, u.rain AS value FROM units u JOIN unit_groups g ON g.comparison = u.comparison AND g.level = u.level WHERE rain IS NOT NULL"""
+CTES["unit_ranks"] = CTES["tied_ranks"].replace("FROM tied", "FROM unit_values")
+CTES["unit_kruskal"] = _kruskal_sql("unit_ranks")
+CTES["unit_pairs"] = _mann_whitney_sql("unit_values")
+
+
+@query("group_comparisons", {"comparison": "s", "welch_f": "f", "welch_p": "f6", "kruskal_h": "f", "kruskal_p": "f6", "levene_p": "f6", "eta2": "f", "effect": "s", "stars": "s"}, f"""
+SELECT *, CASE WHEN eta2 < 0.01 THEN 'insignificante' WHEN eta2 < 0.06 THEN 'pequeño' WHEN eta2 < 0.14 THEN 'mediano' ELSE 'grande' END AS effect,
+  CASE WHEN welch_p < 0.001 THEN '***' WHEN welch_p < 0.01 THEN '**' WHEN welch_p < 0.05 THEN '*' ELSE 'ns' END AS stars
+FROM (SELECT w.comparison, welch_f, eta2, kruskal_h, {_f_tail_sql("welch_f", "n_groups - 1", "welch_df2")} AS welch_p, {_chi2_tail_sql("kruskal_h", "kruskal_df")} AS kruskal_p,
+        {_f_tail_sql("levene_w", "levene_df1", "levene_df2")} AS levene_p
+      FROM unit_welch w JOIN unit_kruskal k ON k.comparison = w.comparison JOIN unit_levene l ON l.comparison = w.comparison)""")
 def _(spark, sf):
     return ST.compare_groups(units(spark, sf), ["comparison"], "level", "rain")
 
 
-@query("pairwise_holm", {"comparison": "s", "group1": "s", "group2": "s", "p": "f6", "p_adjusted": "f6", "significant": "b"})
+@query("pairwise_holm", {"comparison": "s", "group1": "s", "group2": "s", "p": "f6", "p_adjusted": "f6", "significant": "b"}, f"""
+SELECT *, p_adjusted <= 0.05 AS significant FROM (
+  SELECT comparison, group1, group2, p, LEAST(1.0, MAX(p * (m - k + 1)) OVER (PARTITION BY comparison ORDER BY k)) AS p_adjusted FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY comparison ORDER BY p, group1, group2) AS k, COUNT(*) OVER (PARTITION BY comparison) AS m
+    FROM (SELECT comparison, group1, group2, CASE WHEN z <= 0 THEN 1.0 ELSE {_chi2_tail_sql("z * z", "1")} END AS p FROM unit_pairs)))""")
 def _(spark, sf):
     return ST.pairwise_holm(units(spark, sf), ["comparison"], "level", "rain")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark.models import folds as FO
@@ -23,7 +23,7 @@ class YieldReport:
     predictions: DataFrame
     metrics: DataFrame
     coverage: DataFrame
-    importances: list[tuple[str, float]]
+    importances: DataFrame
     params: dict
     test_year: int
     folds: list[dict] = field(default_factory=list)
@@ -88,4 +88,14 @@ def train_and_evaluate(store: DataFrame, grid: list[dict] | None = None) -> Yiel
     last = bounded.where(F.col("year") == test_year)
     metrics = (A.regression_metrics(last, "y", "yhat").withColumn("model", F.lit("trees"))
                .unionByName(A.regression_metrics(last, "y", "baseline").withColumn("model", F.lit("baseline"))))
-    return YieldReport(bounded, metrics, FO.interval_coverage(bounded, test_year), TR.importances(model, features, nominal=nominal), params, test_year, details)
+    return YieldReport(bounded, metrics, FO.interval_coverage(bounded, test_year), _importances(df, seen, test_year, model, features, nominal), params, test_year, details)
+
+
+def _importances(df: DataFrame, seen: list[int], year: int, model, features: list[str], nominal: list[str], k: int = 10) -> DataFrame:
+    """The k features (``feature, importance, place``) whose exchange between the rows of the test year costs most accuracy."""
+    known = F.col("year").isin(*seen)
+    rows = FO.with_baseline(df, known, "yield_t_ha", "yield_t_ha_hist", "crop_id").where(F.col("year") == year)
+    score = lambda d: model.transform(d).withColumn("_yhat", F.col("baseline") + F.col("prediction"))
+    found = TR.permutation_importance(rows, [*features, *nominal], ["town_id", "crop_id", "year"], score, "yield_t_ha", "_yhat", also={f: [f"{f}_gap"] for f in features})
+    top = Window.orderBy(F.desc("importance"), "feature")  # a row for each feature
+    return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)

@@ -13,6 +13,7 @@ from cropspark.models import anomalies as AN
 from cropspark.models import folds as FO
 from cropspark.models import price_forecast as PF
 from cropspark.models import seasonal as SE
+from cropspark.models import trees as TR
 from cropspark.models import yield_model as YM
 from cropspark.operators import aggregate as A
 from cropspark.operators import merge as M
@@ -147,12 +148,26 @@ def _(spark, sf):
 YIELD_GRID = [{"maxDepth": 3}, {"maxDepth": 5}]
 
 
-@query("yield_model", {"model": "s", "mae": "f", "rmse": "f", "r2": "f", "n": "i", "coverage": "f", "chosen_depth": "i", "top_feature": "s"})
+@query("permutation_importance", {"feature": "s", "importance": "f"}, """
+WITH p AS (SELECT town_id, crop_id, year, yield_t_ha AS y, sown_ha, harvested_ha, production_t,
+    LEAD(ROW(sown_ha, harvested_ha, production_t)) OVER w AS n, FIRST_VALUE(ROW(sown_ha, harvested_ha, production_t)) OVER w AS f
+  FROM harvest WHERE harvested_ha > 0 WINDOW w AS (ORDER BY MD5('42|' || town_id || '|' || crop_id || '|' || year), town_id, crop_id, year)),
+v AS (SELECT *, COALESCE(n, f) AS d FROM p),
+e AS (SELECT AVG(ABS(y - production_t / harvested_ha)) AS base, AVG(ABS(y - production_t / d[2])) AS h, AVG(ABS(y - d[3] / harvested_ha)) AS q FROM v)
+SELECT 'sown_ha' AS feature, 0.0::DOUBLE AS importance UNION ALL SELECT 'harvested_ha', h - base FROM e UNION ALL SELECT 'production_t', q - base FROM e""")
 def _(spark, sf):
-    """Metrics of model and baseline, the chosen candidate and the most important feature."""
+    """Importance under a prediction that SQL can state: the yield from production and area; the sown area plays no part in it."""
+    rows = S.harvest(spark, sf).where("harvested_ha > 0")
+    predict = lambda d: d.withColumn("yhat", F.col("production_t") / F.col("harvested_ha"))
+    return TR.permutation_importance(rows, ["sown_ha", "harvested_ha", "production_t"], ["town_id", "crop_id", "year"], predict, "yield_t_ha", "yhat")
+
+
+@query("yield_model", {"model": "s", "mae": "f", "rmse": "f", "r2": "f", "n": "i", "coverage": "f", "chosen_depth": "i", "place": "i", "feature": "s", "importance": "f"})
+def _(spark, sf):
+    """Metrics of model and baseline, the chosen candidate and, for the model, the ten features that count most."""
     report = YM.train_and_evaluate(feature_store(spark, sf), YIELD_GRID)
-    return report.metrics.withColumns({
-        "coverage": report.coverage.select("coverage").scalar(), "chosen_depth": F.lit(report.params["maxDepth"]), "top_feature": F.lit(report.importances[0][0])})
+    scores = report.metrics.withColumns({"coverage": report.coverage.select("coverage").scalar(), "chosen_depth": F.lit(report.params["maxDepth"])})
+    return scores.join(report.importances.withColumn("model", F.lit("trees")), "model", "left")
 
 
 @query("alert_model", {"town_id": "i", "year": "i", "month": "i", "level": "s", "event": "s", "is_active": "b", "description": "s", "accuracy": "f", "persistence": "f"})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cropspark.functions import collections as C
 from cropspark.functions import rules as R
+from cropspark.operators.ranking import latest_per_key
 
 CHECK_COLUMNS = ["module", "check", "passed", "failing_rows"]
 
@@ -39,6 +40,20 @@ def in_range(bounds: dict[str, tuple[float | None, float | None]]) -> dict[str,
     return out
 
 
+def range_report(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """``column_name, low, high, min, max, out_of_range, passed`` for each bounded column, from one pass; a column without values has no range to be in."""
+    failing = in_range(bounds)
+    wide = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), failing[f"{c} in range"].alias("out_of_range")).alias(f"_{i}") for i, c in enumerate(bounds)])
+    number = lambda v: F.lit(v).cast("double")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), number(low).alias("low"), number(high).alias("high"), F.col(f"_{i}").alias("r")) for i, (c, (low, high)) in enumerate(bounds.items())])).alias("v")
+    return wide.select(rows).select("v.column_name", "v.low", "v.high", "v.r.*").withColumn("passed", F.col("out_of_range") == 0)
+
+
+def latest_indicators(runs: DataFrame, key: str = "indicator", moment: str = "executed_at") -> DataFrame:
+    """The last run of each indicator."""
+    return latest_per_key(runs, [key], [moment])
+
+
 def coherent(low: str, mean: str, high: str) -> dict[str, Column]:
     bad = (F.col(low) > F.col(mean)) | (F.col(mean) > F.col(high)) | (F.col(low) > F.col(high))
     return {f"{low} <= {mean} <= {high}": F.count_if(bad)}

@@ -45,8 +45,15 @@ def spanish_order(column: str) -> Column:
     return F.collate(F.nullif(F.trim(F.col(column)), F.lit("")), "es").asc_nulls_last()
 
 
-def most_frequent(df: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *ties).limit(1)
+def in_spanish_order(df: DataFrame, by: list[str], column: str, ties: list[str], place: str = "place") -> DataFrame:
+    """Each row's place in Spanish order within its group, blanks last. Groups of any size: places are counted over ordered ranges."""
+    from cropspark.operators.ranks import OrderedRanges
+
+    text = F.nullif(F.trim(F.col(column)), F.lit(""))
+    keyed = df.withColumns({"_blank": text.isNull(), "_key": F.collate(text, "es")})
+    keyed = keyed.withColumns({f"_tie{i}": F.col(c) for i, c in enumerate(ties)})
+    order = ["_blank", "_key", *[f"_tie{i}" for i in range(len(ties))]]
+    return OrderedRanges(keyed, by, order).add(**{place: ("sum", F.lit(1))}).rows.drop("_part", *order)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -66,12 +66,13 @@ def price_list(current: DataFrame, daily: DataFrame, as_of: date, department: st
 
 
 def price_filters(current: DataFrame, max_days_late: int = 30) -> DataFrame:
-    """Values offered as filters: departments, markets and products seen lately."""
+    """Values offered as filters: departments, markets and products seen lately, each with its ``place`` in Spanish order."""
     fresh = current.where(F.col("days_late") <= max_days_late)
     kinds = F.explode(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
         for kind, c in (("department", "department"), ("market", "market"), ("product", "product"))])).alias("v")
-    return fresh.select(kinds).select("v.*").where(F.col("value").isNotNull()).distinct()
+    values = fresh.select(kinds).select("v.*").where(F.col("value").isNotNull()).distinct()
+    return Q.in_spanish_order(values, ["kind"], "value", ["value"])
 
 
 def price_lookup(current: DataFrame, wanted: str, k: int = 15) -> DataFrame:
@@ -90,6 +91,20 @@ def price_series(daily: DataFrame, forecasts: DataFrame, since: date) -> DataFra
     return seen.unionByName(ahead)
 
 
+def series_quality(daily: DataFrame, errors: DataFrame, markets: DataFrame, products: DataFrame) -> DataFrame:
+    """What stands beside a series: names, its first and last day, and how the forecast of its product did in the backtest.
+
+    ``errors`` has one row for each product: ``mae_model`` and ``mae_naive`` (of logarithms, so about relative errors) and ``n`` tests. Products that were
+    never tested have no figures.
+    """
+    spans = daily.groupBy(*SERIES).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n_days"))
+    model, naive = F.col("mae_model"), F.col("mae_naive")
+    figures = errors.select(
+        "product_id", N.round_half_up(model * 100, 1).alias("error_model_pct"), N.round_half_up(naive * 100, 1).alias("error_today_pct"),
+        N.round_half_up((1 - model / F.nullif(naive, F.lit(0.0))) * 100, 1).alias("improvement_pct"), F.col("n").alias("n_tests"))
+    return spans.join(markets, "market_id").join(products, "product_id").join(figures, "product_id", "left")
+
+
 def price_state(daily: DataFrame, as_of: Column) -> DataFrame:
     """Newest day, its delay in business days and the freshness state."""
     newest = daily.agg(F.max("day").alias("max_day"))

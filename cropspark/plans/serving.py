@@ -63,6 +63,18 @@ def prediction_lookup(predictions: DataFrame, requests: DataFrame) -> DataFrame:
     return both.where((F.col("side") == 1) & F.col("found").isNotNull()).select("town_id", "crop_id", F.col("year").alias("asked_year"), "found.*")
 
 
+def prediction_answer(found: DataFrame, harvest: DataFrame, alerts: DataFrame, models: DataFrame, yield_model: str) -> DataFrame:
+    """The looked-up predictions with what is shown beside them: the real yield of that year, the town's alert (of the year's last month that has one) and
+    the typical error of the active yield model. All but the prediction may be missing."""
+    real = harvest.select(*PREDICTION_KEY, F.col("yield_t_ha").alias("real"))
+    last = alerts.groupBy("town_id", "year").agg(F.max_by(F.struct("level", "score"), "month").alias("_a"))
+    error = model_metrics(models.where(F.col("model_name") == yield_model)).select(F.struct("mae", "test_rmse").alias("_m")).scalar()  # one row: the active version
+    joined = found.join(real, PREDICTION_KEY, "left").join(last, ["town_id", "year"], "left")
+    return joined.withColumn("_m", error).select(
+        *found.columns, "real", F.col("_a.level").alias("risk"), F.col("_a.score").alias("score"), N.round_half_up(F.col("_m.mae"), 2).alias("typical_error"),
+        N.round_half_up(F.col("_m.test_rmse"), 2).alias("test_error"))
+
+
 def search_predictions(named: DataFrame, wanted: str, k: int = 10) -> DataFrame:
     found = C.conjunction(named, contains_any=(["town", "crop"], wanted))
     return Q.top_rows(found, [F.col("year").desc(), F.col("predicted").desc_nulls_last(), F.col("town"), F.col("crop")], k)
@@ -225,6 +237,18 @@ def system_state(runs: DataFrame, as_of: datetime) -> DataFrame:
         F.count_if(recent).alias("errors_24h"))
 
 
+def overall_state(sources: DataFrame, indicators: DataFrame, models: DataFrame) -> DataFrame:
+    """One row: ``con_errores`` if the last run of a source failed, else ``con_alertas`` if an indicator's last run is out of its range, else ``ok``, or
+    ``sin_datos`` without any source; how many indicators are in each state, when they ran, and the model trained last."""
+    runs = sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("last_status") == "error").alias("failing"))
+    last = indicators.agg(
+        *[F.count_if(F.col("state") == v).alias(n) for v, n in (("OK", "n_ok"), ("ALERTA", "n_alert"), ("SIN_DATOS", "n_without_data"))], F.max("executed_at").alias("checked_at"))
+    model = Q.latest_per_key(models, ["model_name"], ["id_version"]).agg(F.max_by("model_name", F.struct("trained_at", "model_name")).alias("model"), F.max("trained_at").alias("trained_at"))
+    row = runs.withColumns({"_i": last.select(F.struct(*last.columns)).scalar(), "_m": model.select(F.struct(*model.columns)).scalar()}).select("sources", "failing", "_i.*", "_m.*")
+    state = F.when(F.col("failing") > 0, "con_errores").when(F.col("n_alert") > 0, "con_alertas").when(F.col("sources") > 0, "ok").otherwise("sin_datos")
+    return row.withColumn("state", state)
+
+
 def price_runs_state(runs: DataFrame, feeds: list[str], as_of: datetime) -> DataFrame:
     """Per feed: last check, last good load, last load that changed rows, errors of the last 24 hours."""
     ok = F.col("status") == "ok"

@@ -154,14 +154,12 @@ def _(spark, sf):
     return spark.read.parquet(log)
 
 
-@query("spanish_order", {"name": "s", "place": "i"}, """
-SELECT name, ROW_NUMBER() OVER (ORDER BY NULLIF(name, '') NULLS LAST, n) AS place FROM (SELECT CASE WHEN n_regionkey = 2 THEN '' ELSE n_name END AS name, n_nationkey AS n FROM nation)""")
+@query("spanish_order", {"c_custkey": "i", "name": "s", "place": "i"}, """
+SELECT c_custkey, name, ROW_NUMBER() OVER (ORDER BY NULLIF(name, '') NULLS LAST, c_custkey) AS place FROM (SELECT CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END AS name, c_custkey FROM customer)""")
 def _(spark, sf):
-    """Places in Spanish order, blanks last; a dimension."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "nation").select(F.when(F.col("n_regionkey") == 2, "").otherwise(F.col("n_name")).alias("name"), F.col("n_nationkey").alias("n"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(Q.spanish_order("name"), "n")))
+    """Places of all customers in Spanish order, blanks last."""
+    rows = table(spark, sf, "customer").select(F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("name"), "c_custkey")
+    return Q.in_spanish_order(rows, [], "name", ["c_custkey"])
 
 
 _KEYS = sorted(K.PRODUCT_TO_CROP)

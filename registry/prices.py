@@ -62,11 +62,11 @@ def _(spark, sf):
     return rows.withColumns({"n_recent": F.size("recent_prices"), "recent_prices": F.array_join(tenths, " ")})
 
 
-@query("price_filters", {"kind": "s", "value": "s"}, """
-SELECT DISTINCT kind, value FROM (
+@query("price_filters", {"kind": "s", "value": "s", "place": "i"}, """
+SELECT *, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY value) AS place FROM (SELECT DISTINCT kind, value FROM (
   SELECT 'department' AS kind, department AS value, days_late FROM current_prices
   UNION ALL SELECT 'market', market, days_late FROM current_prices
-  UNION ALL SELECT 'product', product, days_late FROM current_prices) WHERE days_late <= 60 AND value IS NOT NULL""")
+  UNION ALL SELECT 'product', product, days_late FROM current_prices) WHERE days_late <= 60 AND value IS NOT NULL)""")
 def _(spark, sf):
     return P.price_filters(current(spark, sf), 60)
 
@@ -115,6 +115,25 @@ def _(spark, sf):
     return P.price_series(daily, naive, date(2001, 6, 1))
 
 
+@query("series_quality", {"market_id": "i", "product_id": "s", "market": "s", "department": "s", "product": "s", "product_group": "s", "first_day": "d", "last_day": "d", "n_days": "i",
+                          "error_model_pct": "f1", "error_today_pct": "f1", "improvement_pct": "f1", "n_tests": "i"}, """
+WITH steps AS (SELECT product_id, price_avg, LAG(price_avg) OVER w AS a, LAG(price_avg, 2) OVER w AS b FROM daily WINDOW w AS (PARTITION BY market_id, product_id ORDER BY day)),
+e AS (SELECT product_id, AVG(ABS(LN(price_avg) - LN((a + b) / 2))) AS m, AVG(ABS(LN(price_avg) - LN(a))) AS n, COUNT(*) AS tests FROM steps WHERE b IS NOT NULL AND product_id <> 'Brand#1' GROUP BY product_id)
+SELECT d.*, market, department, product, product_group, FLOOR(m * 1000 + 0.5) / 10 AS error_model_pct, FLOOR(n * 1000 + 0.5) / 10 AS error_today_pct, FLOOR((1 - m / n) * 1000 + 0.5) / 10 AS improvement_pct, tests AS n_tests
+FROM (SELECT market_id, product_id, MIN(day) AS first_day, MAX(day) AS last_day, COUNT(*) AS n_days FROM daily GROUP BY ALL) d
+JOIN markets USING (market_id) JOIN products USING (product_id) LEFT JOIN e USING (product_id)""")
+def _(spark, sf):
+    """Names, span and backtest of every series; the mean of the last two days stands in for a forecast, and one product was never tested."""
+    from pyspark.sql import Window
+
+    daily = S.daily(spark, sf)
+    by = Window.partitionBy(*P.SERIES).orderBy("day")
+    steps = daily.select("product_id", "price_avg", F.lag("price_avg").over(by).alias("a"), F.lag("price_avg", 2).over(by).alias("b")).where(F.col("b").isNotNull() & (F.col("product_id") != "Brand#1"))
+    errors = steps.groupBy("product_id").agg(
+        F.avg(F.abs(F.log("price_avg") - F.log((F.col("a") + F.col("b")) / 2))).alias("mae_model"), F.avg(F.abs(F.log("price_avg") - F.log("a"))).alias("mae_naive"), F.count(F.lit(1)).alias("n"))
+    return P.series_quality(daily, errors, S.markets(spark, sf), S.products(spark, sf))
+
+
 @query("price_state", {"max_day": "d", "delay_bdays": "i", "state": "s"}, """
 SELECT max_day, delay_bdays, CASE WHEN delay_bdays IS NULL THEN 'sin_datos' WHEN delay_bdays <= 1 THEN 'al_dia'
   WHEN delay_bdays = 2 THEN 'retrasado' ELSE 'desactualizado' END AS state

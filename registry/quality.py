@@ -270,13 +270,17 @@ SELECT indicator, value, CASE WHEN value IS NULL THEN 'SIN_DATOS' WHEN value < l
   UNION ALL SELECT 'climate_years', (SELECT COUNT(DISTINCT year) FROM climate), 7, NULL
   UNION ALL SELECT 'missing_quarters', (SELECT COUNT(*) FROM (SELECT DISTINCT y, q FROM (SELECT UNNEST(GENERATE_SERIES(MIN(year), MAX(year))) AS y FROM climate) a CROSS JOIN (VALUES (1), (2), (3), (4)) v(q)
       EXCEPT SELECT year, CAST(CEIL(month / 3.0) AS INTEGER) FROM climate)), NULL, 0
-  UNION ALL SELECT 'no_such_rows', NULL, NULL, 0)""")
+  UNION ALL SELECT 'active_models_repeated', (SELECT COALESCE(SUM(c - 1), 0) FROM (SELECT COUNT(*) AS c FROM models WHERE mae > 20 GROUP BY model_name)), NULL, 0
+  UNION ALL SELECT 'stations_without_town', (SELECT COUNT(*) FILTER (WHERE r_name IS NULL) * 100.0 / COUNT(*) FROM customer LEFT JOIN (SELECT * FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey < 4) ON n_nationkey = c_nationkey), NULL, 5)""")
 def _(spark, sf):
     climate, harvest = S.climate(spark, sf), S.harvest(spark, sf)
     n_towns = table(spark, sf, "nation").agg(F.count(F.lit(1))).scalar()
     labelled = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
     quarters = climate.select("year", F.ceil(F.col("month") / 3).cast("int").alias("q")).distinct()
     span = climate.agg(F.min("year").alias("a"), F.max("year").alias("b")).select(F.explode(F.sequence("a", "b")).alias("year"))
+    active = table(spark, sf, "events").where("value > 20").select(F.col("event_type").alias("model_name"))  # each of them claims to be the active one
+    known = S.towns(spark, sf).where("region_id < 4").select(F.col("town_id").alias("c_nationkey"), "town")
+    stations = table(spark, sf, "customer").select("c_nationkey").join(known, "c_nationkey", "left")
     every = span.withColumn("q", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])))
     parts = [
         QC.indicator("towns_with_climate", climate.agg(F.count_distinct("town_id") / n_towns * 100), low=80),
@@ -285,7 +289,8 @@ def _(spark, sf):
         QC.indicator("line_duplicates", A.excess_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), high=0),
         QC.indicator("climate_years", climate.agg(F.count_distinct("year")), low=7),
         QC.indicator("missing_quarters", every.join(quarters, ["year", "q"], "left_anti").agg(F.count(F.lit(1))), high=0),
-        QC.indicator("no_such_rows", labelled.where(F.col("doc_id") < 0).agg(A.pct_if(F.col("toxic").isNull())), high=0),
+        QC.indicator("active_models_repeated", A.excess_rows(active, ["model_name"]), high=0),
+        QC.indicator("stations_without_town", stations.agg(A.pct_if(F.col("town").isNull())), high=5),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -327,6 +332,17 @@ def audit(spark, sf):
             .unionByName(QC.type_check(orders, "orders", {"o_totalprice": "double", "o_orderkey": "int"})))
 
 
+@query("range_report", {"column_name": "s", "low": "f", "high": "f", "min": "f", "max": "f", "out_of_range": "i", "passed": "b"}, """
+SELECT column_name, low, high, min, max, n AS out_of_range, n = 0 AS passed FROM (
+  SELECT 'l_quantity' AS column_name, 1.0 AS low, 50.0 AS high, MIN(l_quantity) AS min, MAX(l_quantity) AS max, COUNT(*) FILTER (WHERE l_quantity < 1 OR l_quantity > 50) AS n FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', 2000.0, NULL, MIN(l_extendedprice), MAX(l_extendedprice), COUNT(*) FILTER (WHERE l_extendedprice < 2000) FROM lineitem
+  UNION ALL SELECT 'l_discount', NULL, 0.05, MIN(l_discount), MAX(l_discount), COUNT(*) FILTER (WHERE l_discount > 0.05) FROM lineitem
+  UNION ALL SELECT 'empty', 0.0, 1.0, NULL, NULL, COUNT(*) FROM lineitem)""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("empty", F.lit(None).cast("double"))
+    return QC.range_report(rows, {"l_quantity": (1, 50), "l_extendedprice": (2000, None), "l_discount": (None, 0.05), "empty": (0, 1)})
+
+
 @query("audit_summary", {"module": "s", "passed": "i", "total": "i"},
        "SELECT module, COUNT(*) FILTER (WHERE passed) AS passed, COUNT(*) AS total FROM audit_rows GROUP BY module")
 def _(spark, sf):

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from cropspark.operators import ranking as Q
+from cropspark.operators import quality as QC
 from cropspark.plans import serving as V
 from registry import standins as S
-from registry.base import query, table
+from registry.base import CTES, query, table
 
 AS_OF = datetime(2024, 1, 30)
 
@@ -37,6 +38,19 @@ def _(spark, sf):
     return V.prediction_lookup(S.predictions(spark, sf), S.harvest(spark, sf).select("town_id", "crop_id", "year"))
 
 
+@query("prediction_answer", {"town_id": "i", "crop_id": "s", "asked_year": "i", "year": "i", "predicted": "f", "real": "f", "risk": "s", "score": "f", "typical_error": "f2", "test_error": "f2"}, """
+WITH f AS (SELECT r.town_id, r.crop_id, r.year AS asked_year, ARG_MAX(p.year, (p.year <= r.year, p.year)) AS year, ARG_MAX(p.predicted, (p.year <= r.year, p.year)) AS predicted
+  FROM harvest r JOIN predictions p ON p.town_id = r.town_id AND p.crop_id = r.crop_id GROUP BY ALL),
+a AS (SELECT town_id, year, ARG_MAX(level, month) AS risk, ARG_MAX(score, month) AS score FROM alerts GROUP BY ALL),
+m AS (SELECT ARG_MAX(mae, id_version) AS mae FROM models WHERE model_name = 'click')
+SELECT f.*, h.yield_t_ha AS real, risk, score, FLOOR(mae * 100 + 0.5) / 100 AS typical_error, FLOOR(mae / 2 * 100 + 0.5) / 100 AS test_error
+FROM f LEFT JOIN harvest h USING (town_id, crop_id, year) LEFT JOIN a USING (town_id, year) CROSS JOIN m""")
+def _(spark, sf):
+    harvest = S.harvest(spark, sf)
+    found = V.prediction_lookup(S.predictions(spark, sf), harvest.select("town_id", "crop_id", "year"))
+    return V.prediction_answer(found, harvest, S.alerts(spark, sf), S.models(spark, sf), "click")
+
+
 @query("search_predictions", {"town": "s", "crop": "s", "year": "i", "predicted": "f"}, f"""
 SELECT * FROM {NAMED} WHERE town ILIKE '%brand#2%' OR crop ILIKE '%brand#2%' ORDER BY year DESC, predicted DESC NULLS LAST, town, crop LIMIT 10""")
 def _(spark, sf):
@@ -188,6 +202,35 @@ def _(spark, sf):
     return V.system_state(S.runs(spark, sf), AS_OF)
 
 
+CTES["indicator_runs"] = """
+SELECT event_type AS indicator, user_id, value, ts AS executed_at, event_id, CASE WHEN value IS NULL THEN 'SIN_DATOS' WHEN value > 20 THEN 'ALERTA' ELSE 'OK' END AS state FROM events"""
+
+
+def indicator_runs(spark, sf):
+    from cropspark.functions import rules as R
+
+    rows = table(spark, sf, "events")
+    return rows.select(F.col("event_type").alias("indicator"), "value", F.col("ts").alias("executed_at"), "event_id", R.threshold_state(F.col("value"), F.lit(None).cast("double"), F.lit(20.0)).alias("state"))
+
+
+@query("latest_indicators", {"indicator": "s", "value": "f", "state": "s", "executed_at": "t"}, """
+SELECT indicator, ARG_MAX(value, (executed_at, event_id)) AS value, ARG_MAX(state, (executed_at, event_id)) AS state, MAX(executed_at) AS executed_at FROM indicator_runs GROUP BY indicator""")
+def _(spark, sf):
+    """The last run of each indicator, with its state."""
+    return QC.latest_indicators(indicator_runs(spark, sf).withColumn("executed_at", F.col("executed_at")))
+
+
+@query("overall_state", {"state": "s", "sources": "i", "failing": "i", "n_ok": "i", "n_alert": "i", "n_without_data": "i", "checked_at": "t", "model": "s", "trained_at": "t"}, """
+WITH r AS (SELECT COUNT(*) AS sources, COUNT(*) FILTER (WHERE last = 'error') AS failing FROM (SELECT source, ARG_MAX(status, (started_at, event_id)) AS last FROM runs GROUP BY source)),
+i AS (SELECT COUNT(*) FILTER (WHERE s = 'OK') AS n_ok, COUNT(*) FILTER (WHERE s = 'ALERTA') AS n_alert, COUNT(*) FILTER (WHERE s = 'SIN_DATOS') AS n_without_data, MAX(t) AS checked_at
+  FROM (SELECT indicator, ARG_MAX(state, (executed_at, event_id)) AS s, MAX(executed_at) AS t FROM indicator_runs GROUP BY indicator)),
+m AS (SELECT ARG_MAX(model_name, (trained_at, model_name)) AS model, MAX(trained_at) AS trained_at FROM (SELECT model_name, ARG_MAX(trained_at, id_version) AS trained_at FROM models GROUP BY model_name))
+SELECT CASE WHEN failing > 0 THEN 'con_errores' WHEN n_alert > 0 THEN 'con_alertas' WHEN sources > 0 THEN 'ok' ELSE 'sin_datos' END AS state, * FROM r CROSS JOIN i CROSS JOIN m""")
+def _(spark, sf):
+    sources = V.system_state(S.runs(spark, sf), AS_OF)
+    return V.overall_state(sources, QC.latest_indicators(indicator_runs(spark, sf)), S.models(spark, sf))
+
+
 @query("price_runs_state", {"source": "s", "last_check": "t", "last_ok": "t", "last_change": "t", "errors_24h": "i"}, """
 SELECT source, MAX(started_at) AS last_check, MAX(finished_at) FILTER (WHERE status = 'ok') AS last_ok,
        MAX(finished_at) FILTER (WHERE status = 'ok' AND new_rows > 0) AS last_change,

@@ -435,3 +435,19 @@ def test_holm_of_very_many_pairs(spark):
     assert list(got.columns) == ["comparison", "group1", "group2", "p", "p_adjusted", "significant"]
     alone = spark.createDataFrame([("x", "a", "b", None), ("x", "a", "c", 0.01), ("y", "a", "b", 0.04)], "comparison string, group1 string, group2 string, p double")
     assert {(r.comparison, r.group2): r.p_adjusted for r in ST.holm(alone, ["comparison"]).collect()} == {("x", "b"): None, ("x", "c"): 0.01, ("y", "b"): 0.04}
+
+
+def test_range_report(spark):
+    df = spark.createDataFrame([(1.0, None), (7.0, None), (None, None)], "a double, b int")
+    got = {r.column_name: (r.min, r.max, r.out_of_range, r.passed) for r in QC.range_report(df, {"a": (2, None), "b": (0, 1)}).collect()}
+    assert got == {"a": (1.0, 7.0, 1, False), "b": (None, None, 3, False)}
+    assert QC.range_report(df, {"a": (0, 7)}).first().passed
+
+
+def test_places_in_spanish_order(spark):
+    names = ["ñame", "nuez", "oca", "Ají", "", " ", None, "ajo", "zanahoria", "Árbol", "arbol"]
+    df = spark.createDataFrame([("g", n, i) for i, n in enumerate(names)] + [("h", "x", 99)], "kind string, value string, i int").repartition(4)
+    got = Q.in_spanish_order(df, ["kind"], "value", ["i"])
+    assert got.columns == ["kind", "value", "i", "place"]
+    order = [r.value for r in got.where("kind = 'g'").orderBy("place").collect()]
+    assert order == ["Ají", "ajo", "arbol", "Árbol", "nuez", "ñame", "oca", "zanahoria", "", " ", None] and got.where("kind = 'h'").first().place == 1

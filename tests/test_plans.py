@@ -61,3 +61,30 @@ def test_report_reads_its_months_only(spark, tmp_path):
     assert base.first().previous == 27.0
     pruned = re.search(r"ReadSchema: struct<([^>]*)>", base.select("change_day_pct")._jdf.queryExecution().toString()).group(1)
     assert "price_min" not in pruned and "price_max" not in pruned
+
+
+def test_overall_state_follows_the_worst(spark):
+    from cropspark.operators import quality as QC
+    from cropspark.plans import serving as V
+
+    sources = spark.createDataFrame([("a", "ok"), ("b", "error")], "source string, last_status string")
+    runs = spark.createDataFrame([("x", "ALERTA", 1), ("x", "OK", 2), ("y", "ALERTA", 1), ("z", "SIN_DATOS", 3)], "indicator string, state string, executed_at int")
+    models = spark.createDataFrame([(1, "m", 5), (2, "m", 9), (3, "n", 7)], "id_version int, model_name string, trained_at int")
+    state = lambda s, i: V.overall_state(s, QC.latest_indicators(i), models).first()
+    got = state(sources, runs)
+    assert (got.state, got.n_ok, got.n_alert, got.n_without_data, got.checked_at, got.model, got.trained_at) == ("con_errores", 1, 1, 1, 3, "m", 9)
+    assert state(sources.where("source = 'a'"), runs).state == "con_alertas" and state(sources.where("source = 'a'"), runs.where("indicator = 'x'")).state == "ok"
+    assert state(sources.limit(0), runs.limit(0)).state == "sin_datos"
+
+
+def test_prediction_answer_keeps_what_is_missing(spark):
+    from cropspark.plans import serving as V
+
+    found = spark.createDataFrame([(1, "c", 2030, 2024, 5.0), (2, "c", 2024, 2024, 6.0)], "town_id int, crop_id string, asked_year int, year int, predicted double")
+    harvest = spark.createDataFrame([(1, "c", 2024, 4.5)], "town_id int, crop_id string, year int, yield_t_ha double")
+    alerts = spark.createDataFrame([(1, 2024, 3, "BAJO", 0.1), (1, 2024, 11, "ALTO", 0.9)], "town_id int, year int, month int, level string, score double")
+    models = spark.createDataFrame([(1, "y", '{"mae": 3.0}'), (2, "y", '{"mae": 2.266}'), (9, "other", '{"mae": 1.0}')], "id_version int, model_name string, metrics_json string")
+    got = {r.town_id: (r.real, r.risk, r.score, r.typical_error, r.test_error) for r in V.prediction_answer(found, harvest, alerts, models, "y").collect()}
+    assert got == {1: (4.5, "ALTO", 0.9, 2.27, None), 2: (None, None, None, 2.27, None)}
+    none = V.prediction_answer(found, harvest, alerts, models, "never").collect()
+    assert len(none) == 2 and {r.typical_error for r in none} == {None}

@@ -61,12 +61,18 @@ def _with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("year_month", F.date_format("day", "yyyy-MM"))
 
 
+RUN_FIELDS = "source string, started_at timestamp, finished_at timestamp, status string, new_rows long, max_day date, error string"
+
+
 def log_run(spark: SparkSession, log: str, source: str, started: datetime, status: str, new_rows: int | None = None,
             max_day=None, error: str | None = None) -> None:
     """Append one closed run."""
-    schema = "source string, started_at timestamp, finished_at timestamp, status string, new_rows long, max_day date, error string"
-    row = [(source, started, datetime.now(UTC), status, new_rows, max_day, error)]
-    spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(log)
+    log_runs(spark.createDataFrame([(source, started, datetime.now(UTC), status, new_rows, max_day, error)], RUN_FIELDS), log)
+
+
+def log_runs(runs: DataFrame, log: str) -> None:
+    """Append closed runs (``RUN_FIELDS``), as one file: a log has few rows at a time."""
+    runs.coalesce(1).write.mode("append").parquet(log)
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:

@@ -211,8 +211,8 @@ def raw_readings(spark, sf):
 @query("unify_climate", {"station_id": "i", "year": "i", "month": "i", "rain_mm": "f", "temp_mean": "f", "temp_max": "f", "temp_min": "f",
                          "humidity": "f", "sun_hours": "f"}, """
 WITH wet AS (SELECT o_custkey AS station_id, YEAR(o_orderdate) AS year, MONTH(o_orderdate) AS month,
-    CASE WHEN SUM(o_totalprice) / 200 - 100 < 0 THEN 0 WHEN SUM(o_totalprice) / 200 - 100 <= 3000 THEN SUM(o_totalprice) / 200 - 100 END AS rain_mm
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
+    CASE WHEN SUM(fallen) / 200 - 100 < 0 THEN 0 WHEN SUM(fallen) / 200 - 100 <= 3000 THEN SUM(fallen) / 200 - 100 END AS rain_mm
+  FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS fallen FROM orders) GROUP BY ALL),
 wide AS (SELECT station_id, year, month,
     AVG(CASE WHEN kind = 't' THEN value END) AS tm, AVG(CASE WHEN kind = 't' THEN value + 5 END) AS tx, AVG(CASE WHEN kind = 't' THEN value - 5 END) AS tn,
     AVG(CASE WHEN kind = 'h' THEN value END) AS hm, AVG(CASE WHEN kind = 's' THEN value END) AS sm
@@ -223,9 +223,9 @@ SELECT COALESCE(w.station_id, d.station_id) AS station_id, COALESCE(w.year, d.ye
   CASE WHEN tn BETWEEN -10 AND 50 THEN tn END AS temp_min, CASE WHEN hm BETWEEN 0 AND 100 THEN hm END AS humidity, sm AS sun_hours
 FROM wet w FULL JOIN wide d ON d.station_id = w.station_id AND d.year = w.year AND d.month = w.month""")
 def _(spark, sf):
-    rain = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").groupBy(
+    rain = table(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("station_id"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(
-        (F.sum("o_totalprice") / 200 - 100).cast("string").alias("total"))
+        (F.sum(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))) / 200 - 100).cast("string").alias("total"))
     readings = raw_readings(spark, sf).select(
         "station_id", "year", "month", "sensor", F.col("value").cast("string").alias("mean_value"),
         (F.col("value") + 5).cast("string").alias("max_value"), (F.col("value") - 5).cast("string").alias("min_value"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -94,17 +93,22 @@ def _(spark, sf):
     return RD.read_price_xml(spark, path, since="1996-01-01")
 
 
+#: Markets of a page, about: a day of any size is so many pages, none of which grows with the table.
+PAGE_MARKETS = 50
+
+
 @query("bulletin_files", {"day": "d", "market": "s", "product": "s", "price": "f"}, """
 WITH cells AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey AS market, o_orderpriority AS product, MAX(o_totalprice) AS price FROM orders GROUP BY ALL)
 SELECT day, 'Plaza ' || CAST(market AS VARCHAR) AS market, product, price FROM cells""")
 def _(spark, sf):
-    """One crosstab sheet for each day, as wide as the day has markets, landed as CSV and read back."""
+    """Crosstab sheets of about ``PAGE_MARKETS`` markets, as many for a day as its markets ask for, landed as CSV and read back."""
     path = _folder(spark, "bulletins")
     cells = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("market"), F.col("o_orderpriority").alias("product")).agg(F.max("o_totalprice").alias("price"))
     months = F.array(*[F.lit(m.lower()) for m in K.MONTH_NAMES_ES])
     title = F.concat_ws(" de ", F.day("day"), F.get(months, F.month("day") - 1), F.year("day"))
-    # One day is one page: its rows are bounded by its markets and products.
-    days = cells.groupBy("day").agg(F.array_sort(F.collect_set("market")).alias("markets"), F.array_sort(F.collect_set("product")).alias("products"),
+    pages = cells.groupBy("day").agg(F.ceil(F.count_distinct("market") / PAGE_MARKETS).alias("_pages"))
+    cells = cells.join(pages, "day").withColumn("_page", F.pmod(F.xxhash64("market"), F.col("_pages")))
+    days = cells.groupBy("day", "_page").agg(F.array_sort(F.collect_set("market")).alias("markets"), F.array_sort(F.collect_set("product")).alias("products"),
                                     F.map_from_entries(F.collect_list(F.struct(F.struct("product", "market"), "price"))).alias("prices"))
     row = lambda first, f: F.concat_ws(",", F.lit(first) if isinstance(first, str) else first, F.flatten(F.transform("markets", f)))
     price = lambda p, m: F.coalesce(F.try_element_at("prices", F.struct(p.alias("product"), m.alias("market"))).cast("string"), F.lit("n.d."))
@@ -145,12 +149,14 @@ def _(spark, sf):
 SELECT event_type AS source, 'ok' AS status, COUNT(*) AS new_rows, CAST(MAX(ts) AS DATE) AS max_day, NULL AS error FROM events GROUP BY ALL
 UNION ALL SELECT event_type, 'error', NULL, NULL, 'nothing after ' || strftime(MAX(ts), '%Y-%m-%d') FROM events GROUP BY ALL""")
 def _(spark, sf):
-    """A good run and a failed one of every event type, a handful, in the log."""
+    """A good run and a failed one of every event type, in the log."""
     log = _folder(spark, "runs")
-    for r in table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.to_date(F.max("ts")).alias("day")).collect():
-        started = datetime.now(UTC)
-        IN.log_run(spark, log, r.event_type, started, "ok", r.n, r.day)
-        IN.log_run(spark, log, r.event_type, started, "error", error=f"nothing after {r.day}")
+    types = table(spark, sf, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("new_rows"), F.to_date(F.max("ts")).alias("max_day"))
+    now, none = F.current_timestamp(), F.lit(None)
+    times = [now.alias("started_at"), now.alias("finished_at")]
+    good = types.select("source", *times, F.lit("ok").alias("status"), "new_rows", "max_day", none.cast("string").alias("error"))
+    bad = types.select("source", *times, F.lit("error").alias("status"), none.cast("long").alias("new_rows"), none.cast("date").alias("max_day"), F.concat(F.lit("nothing after "), F.col("max_day").cast("string")).alias("error"))
+    IN.log_runs(good.unionByName(bad), log)
     return spark.read.parquet(log)
 
 

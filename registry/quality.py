@@ -501,11 +501,11 @@ def _(spark, sf):
 
 
 @query("input_price_comparison", {"comparison": "s", "n_groups": "i", "n_total": "i", "welch_f": "f", "eta2": "f"}, """
-WITH g AS (SELECT input_name, COUNT(*) AS n, AVG(price) AS m, VAR_SAMP(price) AS v FROM inputs WHERE input_name <> 'PROMO' GROUP BY 1 HAVING COUNT(*) >= 10),
+WITH g AS (SELECT input_name, COUNT(*) AS n, AVG(price) AS m, VAR_SAMP(price) AS v FROM inputs GROUP BY 1 HAVING COUNT(*) >= 10),
 t AS (SELECT COUNT(*) AS k, SUM(n) AS n_total, SUM(n / v) AS ws, SUM(n / v * m) / SUM(n / v) AS mw, SUM(n * m) / SUM(n) AS grand FROM g)
 SELECT 'inputs' AS comparison, k AS n_groups, n_total, (SUM(n / v * POW(m - mw, 2)) / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1.0::DOUBLE) * SUM(POW(1 - n / v / ws, 2) / (n - 1))) AS welch_f,
   SUM(n * POW(m - grand, 2)) / (SUM(n * POW(m - grand, 2)) + SUM((n - 1) * v)) AS eta2 FROM g CROSS JOIN t GROUP BY k, n_total""")
 def _(spark, sf):
-    rows = S.inputs(spark, sf).where(F.col("input_name") != "PROMO").withColumn("comparison", F.lit("inputs"))
+    rows = S.inputs(spark, sf).withColumn("comparison", F.lit("inputs"))
     big = ST.valid_groups(rows, ["comparison"], "input_name", "price", at_least=10)
     return ST.welch_anova(big, ["comparison"], "input_name", "price")

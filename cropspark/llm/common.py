@@ -87,10 +87,17 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = end
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task function that gives its memory back to the system at its end: a worker that waits for its next task holds little."""
+#: What lets go of anything a worker keeps from task to task.
+AT_START: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its memory back to the system at its end: a worker that waits for its next task holds little. What other tasks
+    have left for their like goes at the start, unless it is to ``keep``."""
 
     def tidied(batches: Iterator) -> Iterator:
+        for release in [] if keep else AT_START:
+            release()
         try:
             yield from run(batches)
         finally:

@@ -139,7 +139,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids, bounds = encode_texts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), _binaries(ids.astype("<u4").view(np.uint8), bounds * 4)], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keep=True), "doc_id long, n_tokens long, ids binary")
 
 
 def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

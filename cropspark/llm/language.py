@@ -3,9 +3,10 @@
 Each language has a codeword; for each bit a classifier, trained on the counts of all training rows, tells languages with a 1 from those
 with a 0 by the log-odds of byte trigrams (A-Z lower-cased, ASCII other than letters as a space). A text's margins are decoded with the
 logistic loss, weighted by how often each bit was right for each language on the training rows. The nearest codeword wins; where a
-second one is nearly as near (``AMBIGUOUS``), the row is flagged.
+second one is nearly as near (``AMBIGUOUS``), or the nearest is no better than chance (``CHANCE``), the row is flagged.
 
 Training counts and weights come from all training rows, summed on the executors; only ``languages x FEATURES`` sums reach the driver.
+Long texts are taken piece by piece.
 Missing texts, and texts without a letter, are ``und`` with score 0, as is everything when there is nothing to learn from. Languages
 that no training row has are never predicted. Repeated rows count as often as they occur.
 """
@@ -25,27 +26,51 @@ from cropspark.llm.common import steps, tidy
 FEATURES = 1 << 13
 #: A text is flagged if its two nearest codewords differ in loss by less than this share of its mean margin. Texts in two languages are.
 AMBIGUOUS = 0.05
-#: The same for texts that ``known_language`` drops: only such as no codeword is nearer to.
-TIED = 1e-9
-STEP = 2 << 20
+#: Weighted margin in favour of the nearest codeword up to which it is no better than chance: such texts are flagged, too, and ``known_language``
+#: drops them, and only them. A text in two languages has margins in favour of both and stays, however near they are to each other.
+CHANCE = 1e-9
+#: Bytes of text in a step of a task, and in a piece whose trigrams are held at a time; a longer text is taken piece by piece.
+STEP, PIECE = 2 << 20, 1 << 18
 
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[0x61:0x7B] = _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
+def _features(data: np.ndarray) -> np.ndarray:
+    mixed = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
+    return (mixed >> np.uint32(32 - 13)).astype(np.int32)
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all texts, each with a space at both ends, and how many each text has (its bytes)."""
-    data = _FOLD[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)]
+    features = _features(_FOLD[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)])
     n = np.fromiter(map(len, texts), np.int64, len(texts))
-    mixed = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
-    features = (mixed >> np.uint32(32 - 13)).astype(np.int32)
     keep = np.ones(len(features), bool)
     between = np.cumsum(n + 2)[:-1] - 2
     keep[between], keep[between + 1] = False, False
     return features[keep], n
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The trigrams of all texts in turn, at most ``PIECE`` at a time: the first text's place, the features, and how many of them each text has."""
+    at = 0
+    while at < len(texts):
+        if (size := len(texts[at])) > PIECE:
+            for i in range(0, size, PIECE):
+                part = texts[at][max(0, i - 1) : i + PIECE + 1]
+                part = b" " * (i == 0) + part + b" " * (i + PIECE >= size)
+                yield at, _features(_FOLD[np.frombuffer(part, np.uint8)]), np.array([min(PIECE, size - i)])
+            at += 1
+            continue
+        end, total = at, 0
+        while end < len(texts) and total + len(texts[end]) <= PIECE:
+            total += len(texts[end])
+            end += 1
+        yield at, *trigrams(texts[at:end])
+        at = end
+
+
 def codewords(k: int) -> np.ndarray:
     """k rows of +1 and -1: the exhaustive code up to four languages, beyond that the widest of a few pseudo-random ones."""
     if k <= 4:
@@ -71,26 +96,32 @@ class Model:
         shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
         ones, zeros = self.code.T > 0, self.code.T < 0
         self.odds = np.stack([np.log(shares[a].mean(axis=0)) - np.log((shares[b] if b.any() else shares).mean(axis=0)) for a, b in zip(ones, zeros, strict=True)], axis=1).astype(np.float32)
+        self.odds[counts.sum(axis=0) == 0] = 0  # what no training row has speaks for no language
+        self.odds = np.asfortranarray(self.odds)  # bit by bit
         self.weights = np.full(self.code.shape, 1.0 / self.code.shape[1])
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """Each text's mean log-odds, scaled by the root of its length."""
-        features, n = trigrams(texts)
         out = np.zeros((len(texts), self.odds.shape[1]))
-        some = np.flatnonzero(n)
-        if len(some):
-            out[some] = np.add.reduceat(self.odds[features], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64) / np.sqrt(n[some, None])
-        return np.clip(out, -30, 30)
-
-    def decode(self, margins: np.ndarray, gap: float = AMBIGUOUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest language, its probability among all and whether another is as near."""
+        for first, features, n in pieces(texts):
+            some = np.flatnonzero(n)
+            if len(some):
+                starts = (np.cumsum(n) - n)[some]
+                for bit, odds in enumerate(self.odds.T):
+                    out[first + some, bit] += np.add.reduceat(odds[features], starts, dtype=np.float64)
+        lengths = np.fromiter(map(len, texts), np.float64, len(texts))
+        return np.clip(out / np.sqrt(np.maximum(lengths, 1))[:, None], -30, 30)
+
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest language, its probability among all, whether another is as near, and whether its margins don't speak for it at all."""
         loss = np.stack([(np.logaddexp(0, -margins * c) * w).sum(axis=1) for c, w in zip(self.code, self.weights, strict=True)], axis=1)
         best = loss.argmin(axis=1)
         least = loss[np.arange(len(loss)), best]
         shares = np.exp(least[:, None] - loss)
         scale = np.maximum(np.abs(margins).mean(axis=1), 1e-12)
         second = np.partition(loss, 1, axis=1)[:, 1] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
-        return best, 1 / shares.sum(axis=1), (second - least) / scale < gap
+        chance = ((margins * self.code[best] * self.weights[best]).sum(axis=1) <= CHANCE) & (len(self.languages) > 1)
+        return best, 1 / shares.sum(axis=1), (second - least) / scale < AMBIGUOUS, chance
 
 
 def training_rows() -> Column:
@@ -111,11 +142,13 @@ def fit(docs: DataFrame) -> Model | None:
         for batch in batches:
             for part in steps(batch, "text", STEP):
                 coded = part.column("lang").dictionary_encode()
-                features, n = trigrams(_texts(part.column("text")))
-                which = np.repeat(coded.indices.to_numpy().astype(np.int64), n) * FEATURES + features
-                found = np.bincount(which, minlength=FEATURES * len(coded.dictionary)).reshape(-1, FEATURES)
-                for name, row in zip(coded.dictionary.to_pylist(), found, strict=True):
-                    sums[name] = sums.get(name, 0) + row
+                names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                for name in names:
+                    sums.setdefault(name, np.zeros(FEATURES, np.int64))
+                for first, features, n in pieces(_texts(part.column("text"))):
+                    own = np.repeat(which[first : first + len(n)], n)
+                    for k in np.unique(own):
+                        sums[names[k]] += np.bincount(features[own == k], minlength=FEATURES)
         for name, row in sums.items():
             at = np.concatenate([[0], np.flatnonzero(row)])  # feature 0 always, so that a language of empty texts is known, too
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(np.where(np.arange(len(at)), row[at], 0))], ["lang", "feature", "n"])
@@ -145,12 +178,12 @@ def fit(docs: DataFrame) -> Model | None:
     return model
 
 
-def _judged(texts: pa.Array, model: Model | None, gap: float = AMBIGUOUS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: whether it has a letter and there is a model, nearest language, its probability, whether another is as near."""
+def _judged(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, ...]:
+    """For each text: whether it has a letter and there is a model, and what ``decode`` tells."""
     if model is None:
-        return np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        return np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts)), *np.zeros((2, len(texts)), bool)
     letters = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()), bool, len(texts))
-    return letters, *model.decode(model.margins(_texts(texts)), gap)
+    return letters, *model.decode(model.margins(_texts(texts)))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -159,9 +192,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", STEP):
-                letters, best, score, close = _judged(part.column("text"), model)
+                letters, best, score, close, chance = _judged(part.column("text"), model)
                 names = [model.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)], ["doc_id", "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array((close | chance) & letters)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
@@ -174,12 +207,19 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` that have a nearest language: not ``und``, and no second one exactly as near. Columns stay as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, "text", STEP):
-                letters, _, _, close = _judged(part.column("text"), model, TIED)
-                yield part.filter(pa.array(letters & ~close))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    """The rows of ``docs`` whose text has a letter and whose nearest codeword is better than chance. Columns stay as they are; only the text goes
+    through Python, and a flag comes back."""
+
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = []
+            for part in steps(pa.RecordBatch.from_arrays([column], ["text"]), "text", STEP):
+                letters, *_, chance = _judged(part.column("text"), model)
+                found.append(letters & ~chance)
+            yield pa.array(np.concatenate([np.zeros(0, bool), *found]))
+
+    @F.arrow_udf("boolean")
+    def flags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(judge)(columns)
+
+    return docs.filter(flags("text"))

@@ -17,13 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a worker remembers between steps; further ones are encoded again in each step that has them.
-REMEMBERED = 800_000
+from cropspark.llm.common import AT_START
+
+#: Pieces a worker remembers between steps; further ones are encoded again in each step that has them. Beyond so many bytes it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 32 << 20
 #: Bytes of text that one step encodes: a larger step looks up fewer pieces twice.
 TOKEN_STEP = 8 << 20
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
 
+#: A task that encodes nothing begins without what earlier ones have remembered.
+AT_START.append(_ENCODERS.clear)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -53,6 +59,7 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
         self.extra: list[bytes] = []
+        self.held = 0
 
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of the pieces in the store, where the new ones are added."""
@@ -60,9 +67,12 @@ class Encoder:
             for p in self.extra:
                 del self.known[p]
             self.extra, self.used = [], int(self.starts[REMEMBERED - 1] + self.lengths[REMEMBERED - 1])
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.used, self.held, self.flat = {}, 0, 0, np.zeros(1 << 20, np.uint32)
         found = list(map(self.known.get, pieces))
         missing = [i for i, number in enumerate(found) if number is None]
         new = [pieces[i] for i in missing]
+        self.held += sum(map(len, new))
         if (more := len(self.known) + len(new) - len(self.starts)) > 0:
             self.starts, self.lengths = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.lengths))
         for at in range(0, len(new), 20_000):

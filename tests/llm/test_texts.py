@@ -1,13 +1,20 @@
 """Language, licenses, personal data, urls."""
 
 import hashlib
+import math
+import os
 import random
 import re
+import subprocess
+import sys
+import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from cropspark.llm import language, license, pii, urls
+from cropspark.llm import language, license, nbsvm, pii, urls
 
 
 def test_codewords():
@@ -45,9 +52,152 @@ def test_language_without_anything_to_learn(tongues, no_docs):
 
 
 def test_ambiguous_texts_are_rejected(tongues, spark):
+    """What no codeword fits better than chance goes; every real text, short or in two languages, stays."""
     model = language.fit(tongues)
-    kept = language.known_language(tongues.withColumn("score", tongues["lang"]), model)
-    assert kept.columns == [*tongues.columns, "score"] and kept.count() == tongues.count() - 4
+    mixed = [(800, "bado kilu ramo strüm fächt lönz"), (801, "ramo nnnu"), (802, "kilu")]
+    strange = [(900, "ЖЖЖЖ"), (901, "ЖЖ ЖЖЖ")]
+    assert not any(model.odds[language.trigrams([t.encode()])[0]].any() for _, t in strange)
+    more = spark.createDataFrame([(i, t, None) for i, t in [*mixed, *strange]], tongues.schema)
+    docs = tongues.unionAll(more)
+    kept = language.known_language(docs.withColumn("score", docs["lang"]), model)
+    assert kept.columns == [*tongues.columns, "score"]
+    gone = docs.exceptAll(kept.drop("score")).collect()
+    assert sorted(r.doc_id for r in gone) == [700, 701, 702, 703, 900, 901]
+    assert {r.doc_id for r in language.identify(docs, model).filter("ambiguous").collect()} >= {900, 901}
+
+
+def plain_prediction(rows, texts):
+    """Counts, log-odds, weights and losses by loops over texts and bits."""
+    def grams(text):
+        data = b" " + text.encode() + b" "
+        fold = [b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in data]
+        return [((fold[i] * 0x9E3779B1 + fold[i + 1] * 0x85EBCA77 + fold[i + 2] * 0xC2B2AE3D) % 2**32) >> 19 for i in range(len(fold) - 2)]
+
+    names = sorted({lang for _, lang in rows})
+    code = language.codewords(len(names))
+    counts = {n: Counter(g for t, lang in rows if lang == n for g in grams(t)) for n in names}
+    totals = {n: sum(c.values()) + 0.5 * language.FEATURES for n, c in counts.items()}
+    seen = set().union(*counts.values())
+    share = lambda n, g: (counts[n][g] + 0.5) / totals[n]
+
+    def margins(text):
+        out = []
+        for bit in range(code.shape[1]):
+            ones, zeros = ([n for k, n in enumerate(names) if code[k, bit] == v] for v in (1, -1))
+            odds = [math.log(sum(share(n, g) for n in ones) / len(ones)) - math.log(sum(share(n, g) for n in zeros) / len(zeros)) if g in seen else 0 for g in grams(text)]
+            out.append(max(-30, min(30, sum(odds) / math.sqrt(len(odds)))) if odds else 0)
+        return out
+
+    right = [[1.0] * code.shape[1] for _ in names]
+    n = Counter(lang for _, lang in rows)
+    for t, lang in rows:
+        for bit, m in enumerate(margins(t)):
+            right[names.index(lang)][bit] += m * code[names.index(lang), bit] > 0
+    weights = [[x / (n[names[k]] + 2) for x in r] for k, r in enumerate(right)]
+    weights = [[x / sum(r) for x in r] for r in weights]
+    found = []
+    for t in texts:
+        m = margins(t)
+        loss = [sum(w * math.log1p(math.exp(-x * c)) for w, x, c in zip(weights[k], m, code[k], strict=True)) for k in range(len(names))]
+        best = min(range(len(names)), key=loss.__getitem__)
+        found.append((names[best], 1 / sum(math.exp(loss[best] - x) for x in loss)))
+    return found
+
+
+def test_language_against_loops(tongues, spark, monkeypatch):
+    rows = [r for r in tongues.collect() if r.doc_id is not None and r.doc_id < 700]
+    learned = [(r.text, r.lang) for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2][:120]
+    df = spark.createDataFrame([(k * 4, t, lang) for k, (t, lang) in enumerate(learned) if zlib.crc32(str(k * 4).encode()) % 4 != 2], "doc_id long, text string, lang string")
+    learned = [(r.text, r.lang) for r in df.collect()]
+    asked = [r.text for r in rows[:60]] + ["kilu ramo fächt", "Bado"]
+    expected = plain_prediction(learned, asked)
+    for piece in (1 << 18, 7):  # long texts, taken piece by piece, come to the same
+        monkeypatch.setattr(language, "PIECE", piece)
+        model = language.fit(df)
+        best, score, *_ = model.decode(model.margins([t.encode() for t in asked]))
+        for k, (lang, share) in enumerate(expected):
+            assert model.languages[best[k]] == lang and abs(score[k] - share) < 1e-5
+
+
+def test_very_long_text_in_a_bounded_process():
+    """One text of 64 MB under a limit of memory that holds it a few times only."""
+    code = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import numpy as np, pyarrow as pa
+from cropspark.llm import language
+model = language.Model(list("abcdefgh"), np.random.default_rng(1).integers(0, 50, (8, language.FEATURES)).astype(float))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = language._judged(pa.array(["bado kilu " * 6_700_000]), model)
+assert found[0][0] and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 400
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code.format(root=root)], check=True, timeout=300)
+
+
+def test_quality_on_held_out_rows(spark):
+    rng = random.Random(2)
+    clean = "la mer est calme ce soir et le vent tombe sur les vagues".split()
+    noise = "$$$ BUY!! now*** now*** WIN### %%%".split()
+    docs, labels = [], []
+    for i in range(500):
+        good = rng.random() < 0.7
+        docs.append((i, " ".join(rng.choices(clean, k=rng.randint(6, 60)) + ([] if good else rng.choices(noise, k=4))), 9.0, "q"))
+        labels += [(i, int(good), 0)] if rng.random() < 0.8 else []
+    docs += [(600, None, 0.0, ""), (601, "", 0.0, ""), (602, "e" * 3_000_000, 0.0, ""), (None, "calme", 0.0, ""), docs[3], docs[3]]
+    labels += [(600, 1, 0), (601, None, 0), (604, 7, 0), (None, 1, 0), labels[0]]
+    documents = spark.createDataFrame(docs, "doc_id long, text string, score double, quality string").repartition(4)
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = nbsvm.predict(documents, given).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    truth = {i: q for i, q, _ in labels if i is not None and i < 500}
+    held = [(r.score, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    assert len(held) > 50 and min(s for s, q in held if q) > max(s for s, q in held if not q)
+    scores = {r.doc_id: r.score for r in got}
+    assert scores[600] == scores[601] and [r.doc_id for r in nbsvm.predict(documents, given.filter("false")).filter("score <> 0.5").collect()] == []
+    assert nbsvm.predict(documents.limit(0), given).count() == 0
+    assert {r.score > 0.99 for r in nbsvm.predict(documents, given.filter("quality = 1")).collect()} == {True}
+
+
+def test_indicators_against_loops(monkeypatch):
+    monkeypatch.setattr(nbsvm, "STRETCH", 40)
+    texts = ["Of Of Of of x", "", None, "A!! b|  c9\n\tZZ.", "é" * 33, "one two three four five six seven eight nine ten eleven twelve"]
+
+    def mixed(values, salt):
+        h = (salt * 0x27D4EB2F) & 0xFFFFFFFF
+        for v, f in zip(values, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+            h = ((h ^ ((v + 1) * f & 0xFFFFFFFF)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> 16
+
+    def shape(word, before):
+        kinds = {("1" if b >= 128 or 97 <= b <= 122 else "2" if 65 <= b <= 90 else "4" if 48 <= b <= 57 else "8" if 33 <= b <= 126 else "1") for b in word}
+        code = sum(map(int, kinds)) | (65 <= word[0] <= 90) << 4 | (33 <= word[-1] <= 126 and not chr(word[-1]).isalnum()) << 5 | (word.lower() == (before or b"").lower()) << 6
+        return code | sum(len(word) >= n for n in (2, 4, 8, 16)) << 7
+
+    for k, text in enumerate(texts):
+        expected = set()
+        for piece in nbsvm.stretches((text or "").encode()):
+            data = b"\n\n" + piece + b"\n\n\n\n"
+            expected |= {mixed(data[i : i + n], n) for n in (1, 2, 3) for i in range(len(piece) + 4)}
+            words = piece.split()
+            shapes = [shape(w, words[i - 1] if i else None) for i, w in enumerate(words)]
+            expected |= {mixed(shapes[i : i + n], 3 + n) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+        (_, marks), = nbsvm.indicators(pa.array([text, "other text"]))
+        assert set(marks[0].nonzero()[0].tolist()) == expected, k
+    assert b"".join(nbsvm.stretches(b"ab " * 40)) == b"ab " * 40 and max(map(len, nbsvm.stretches(b"x" * 99))) == 40
+
+
+def test_descent_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=(60, 5))
+    signs = np.where(dense[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    rows = [(np.arange(5), x) for x in dense]
+    primal = lambda w: w @ w / 2 + np.maximum(0, 1 - signs * (dense @ w[:5])).sum()
+    weights = nbsvm.descend(rows, signs)
+    least = primal(weights)
+    assert all(primal(weights + np.pad(d, (0, nbsvm.FEATURES - 5))) > least - 0.05 for d in rng.normal(scale=0.05, size=(200, 5)))
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -26,8 +26,10 @@ def _text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _json_elements(spark: SparkSession, path: str) -> DataFrame:
+def _json_elements(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """Each record of the landed documents as text: an array's elements, or a document's lines. A broken array is one record."""
+    if lines:
+        return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("record")).where(F.trim("value") != "")
     docs = read_documents(spark, path)
     listed = F.from_json("document", "array<string>")
     is_array = F.startswith(F.ltrim("document"), F.lit("["))
@@ -35,22 +37,25 @@ def _json_elements(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("file", F.explode(records).alias("record")).where(F.trim("record") != "")
 
 
-def _parsed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, columns: list[str], lines: bool) -> DataFrame:
     schema = T.StructType([*_text_schema(columns).fields, T.StructField("_broken", T.StringType())])
     read = F.from_json("record", schema, {"columnNameOfCorruptRecord": "_broken"})
-    rows = _json_elements(spark, path).withColumn("_r", read)
+    rows = _json_elements(spark, path, lines).withColumn("_r", read)
     return rows.withColumn("_bad", F.col("_r").isNull() | F.col("_r._broken").isNotNull() | ~F.startswith(F.ltrim("record"), F.lit("{")))
 
 
-def read_json_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Landed arrays or lines of JSON objects, all fields as text. A file is read whole by one task: a landed page is small.
-    Records that are no object are in ``rejected_json``."""
-    return _parsed(spark, path, columns).where(~F.col("_bad")).select(*[F.col(f"_r.{c}").alias(c) for c in columns])
+def read_json_rows(spark: SparkSession, path: str, columns: list[str], lines: bool = False) -> DataFrame:
+    """Landed arrays or lines of JSON objects, all fields as text.
+
+    Where every file holds ``lines``, a file of any size is read in as many tasks as it has splits. An array begins and ends with its file, so files that
+    may be arrays are read whole by one task each: a landed page is small. Records that are no object are in ``rejected_json``.
+    """
+    return _parsed(spark, path, columns, lines).where(~F.col("_bad")).select(*[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def rejected_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def rejected_json(spark: SparkSession, path: str, columns: list[str], lines: bool = False) -> DataFrame:
     """``file, record`` of what ``read_json_rows`` can't read; a broken array is one record, so none of its rows count."""
-    return _parsed(spark, path, columns).where("_bad").select("file", "record")
+    return _parsed(spark, path, columns, lines).where("_bad").select("file", "record")
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def _(spark, sf):
     rows.select(F.to_json(one)).write.option("maxRecordsPerFile", PAGE).text(lines)
     pages = rows.groupBy(F.floor(F.col("c_custkey") / PAGE)).agg(F.to_json(F.collect_list(one)).alias("page"))  # PAGE rows at most
     pages.select("page").write.option("maxRecordsPerFile", 1).text(arrays)
-    read = [RD.read_json_rows(spark, p, rows.columns).withColumn("form", F.lit(n)) for n, p in (("lines", lines), ("arrays", arrays))]
+    read = [RD.read_json_rows(spark, p, rows.columns, n == "lines").withColumn("form", F.lit(n)) for n, p in (("lines", lines), ("arrays", arrays))]
     return read[0].unionByName(read[1])
 
 
@@ -46,7 +46,7 @@ def _(spark, sf):
     orders = table(spark, sf, "orders")
     broken = F.concat(F.lit("row "), F.col("o_orderkey").cast("string"))
     orders.select(F.when(F.col("o_orderstatus") == "F", broken).otherwise(F.to_json(F.struct("o_orderkey")))).write.option("maxRecordsPerFile", PAGE).text(path)
-    return RD.rejected_json(spark, path, ["o_orderkey"])
+    return RD.rejected_json(spark, path, ["o_orderkey"], lines=True)
 
 
 @query("read_csv_text", {"p_partkey": "s", "p_name": "s", "p_brand": "s"}, """

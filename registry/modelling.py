@@ -184,6 +184,58 @@ def _(spark, sf):
     return PF.predict(samples, PF.backtest(samples))
 
 
+# One row for each month of a town and measure, from the first to the last that is known, gaps on the straight line between their neighbours.
+CTES["seasonal_months"] = """
+WITH m AS (SELECT town_id, 'rain_mm' AS measure, year * 12 + month AS period, rain_mm AS v FROM town_month UNION ALL SELECT town_id, 'temp_mean', year * 12 + month, temp_mean FROM town_month),
+k AS (SELECT * FROM m WHERE v IS NOT NULL),
+spine AS (SELECT s.town_id, s.measure, UNNEST(GENERATE_SERIES(first, last)) AS period FROM (SELECT town_id, measure, MAX(period) AS last FROM m GROUP BY ALL) s
+  JOIN (SELECT town_id, measure, MIN(period) AS first, COUNT(*) AS n FROM k GROUP BY ALL) f ON f.town_id = s.town_id AND f.measure = s.measure WHERE n >= 24),
+e AS (SELECT s.*, k.v, LAST_VALUE(k.v IGNORE NULLS) OVER w AS a, LAST_VALUE(k.period IGNORE NULLS) OVER w AS pa, FIRST_VALUE(k.v IGNORE NULLS) OVER u AS b, FIRST_VALUE(k.period IGNORE NULLS) OVER u AS pb
+  FROM spine s LEFT JOIN k ON k.town_id = s.town_id AND k.measure = s.measure AND k.period = s.period
+  WINDOW w AS (PARTITION BY s.town_id, s.measure ORDER BY s.period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY s.town_id, s.measure ORDER BY s.period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT town_id, measure, period, ROW_NUMBER() OVER (PARTITION BY town_id, measure ORDER BY period) - 1 AS t, CASE WHEN pb = pa OR pb IS NULL THEN a ELSE a + (b - a) / (pb - pa) * (period - pa) END AS y FROM e"""
+
+
+@query("seasonal_recursion", {"town_id": "i", "measure": "s", "year": "i", "month": "i", "horizon": "i", "value": "f3", "sse": "f2"}, """
+WITH RECURSIVE r AS (
+  SELECT town_id, measure, 11 AS t, AVG(y) FILTER (WHERE t < 12) AS level, (AVG(y) FILTER (WHERE t >= 12) - AVG(y) FILTER (WHERE t < 12)) / 12 AS trend,
+    [x - AVG(y) FILTER (WHERE t < 12) FOR x IN LIST(y ORDER BY t) FILTER (WHERE t < 12)] AS season, 0.0::DOUBLE AS sse
+  FROM seasonal_months WHERE t < 24 GROUP BY town_id, measure
+  UNION ALL
+  SELECT town_id, measure, t, l2, 0.1 * (l2 - level) + 0.9 * trend, LIST_CONCAT(season[2:], [0.25 * (y - l2) + 0.75 * s]), sse + POW(y - level - trend - s, 2)
+  FROM (SELECT m.town_id, m.measure, m.t, m.y, level, trend, season, sse, season[1] AS s, 0.5 * (m.y - season[1]) + 0.5 * (level + trend) AS l2
+        FROM r JOIN seasonal_months m ON m.town_id = r.town_id AND m.measure = r.measure AND m.t = r.t + 1)),
+last AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY town_id, measure ORDER BY t DESC) AS rn FROM r),
+f AS (SELECT l.town_id, l.measure, h AS horizon, level + h * trend + season[h] AS v, sse, p.period + h AS period FROM last l CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1, 6)) AS h)
+  JOIN (SELECT town_id, measure, MAX(period) AS period FROM seasonal_months GROUP BY ALL) p ON p.town_id = l.town_id AND p.measure = l.measure WHERE rn = 1)
+SELECT town_id, measure, (period - 1) // 12 AS year, (period - 1) % 12 + 1 AS month, horizon, CASE WHEN measure = 'rain_mm' AND v < 0 THEN 0 ELSE v END AS value, sse FROM f""")
+def _(spark, sf):
+    """Holt-Winters at given parameters."""
+    return SE.seasonal_forecast(CL.town_months(S.climate(spark, sf)), parameters=(0.5, 0.1, 0.25))
+
+
+CTES["alert_history"] = """
+SELECT r.town_id, r.period + 1 AS period, r.risk, r.event, r.points, FALSE AS is_active FROM risk r JOIN risk n ON n.town_id = r.town_id AND n.period = r.period + 1
+WHERE r.period >= (SELECT MAX(a.period) - 5 FROM risk a JOIN risk b ON b.town_id = a.town_id AND b.period = a.period + 1)"""
+
+
+@query("alert_rows", {"town_id": "i", "year": "i", "month": "i", "level": "s", "event": "s", "score": "f", "is_active": "b", "description": "s"}, """
+SELECT town_id, (period - 1) // 12 AS year, (period - 1) % 12 + 1 AS month, level, event, score, is_active,
+  'Riesgo ' || LOWER(level) || ' previsto para ' || ['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'][(period - 1) % 12 + 1] || ' (evento observado: ' || event || ').' AS description
+FROM (SELECT *, ['BAJO', 'MEDIO', 'ALTO'][risk + 1] AS level, risk / 10.0 AS score, ROW_NUMBER() OVER (PARTITION BY town_id, period ORDER BY is_active DESC) AS rn FROM (
+  SELECT town_id, MAX(period) + 1 AS period, ARG_MAX(risk, period) AS risk, ARG_MAX(event, period) AS event, ARG_MAX(points, period) AS points, TRUE AS is_active FROM risk GROUP BY town_id
+  UNION ALL SELECT * FROM alert_history)) WHERE rn = 1""")
+def _(spark, sf):
+    """Alerts as they are published, with the risk of now as the prediction."""
+    from cropspark.operators.ranking import latest_per_key
+    from cropspark.session import materialise
+
+    data = materialise(CL.alert_samples(S.risk(spark, sf)))
+    _, test = AL.time_split(data)
+    columns = ["town_id", "period", "event", F.col("risk").cast("double").alias("prediction"), (F.col("risk") / 10.0).alias("score")]
+    return AL.alert_rows(latest_per_key(data, ["town_id"], ["period"]).select(*columns), test.select(*columns))
+
+
 @query("seasonal_forecast", {"town_id": "i", "measure": "s", "year": "i", "month": "i", "horizon": "i", "value": "f3", "method": "s"})
 def _(spark, sf):
     return SE.seasonal_forecast(CL.town_months(S.climate(spark, sf)))

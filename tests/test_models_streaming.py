@@ -441,3 +441,28 @@ def test_folded_roll_up_keeps_last_rows(spark, tmp_path, monkeypatch):
         sink(spark.createDataFrame([(batch % 4, float(batch)), (9, -float(batch))], "k long, mean double"), batch)
     assert M._manifests(spark, base)
     assert {r.k: r["mean"] for r in IN.latest_rows(spark, base, ["k"]).collect()} == {0: 8.0, 1: 9.0, 2: 10.0, 3: 7.0, 9: -10.0}
+
+
+def test_fitted_smoothing_beats_the_grid(spark):
+    """The fit is never worse than the best of the grid, and forecast and error are those of the recursion at the returned parameters."""
+    rng = np.random.default_rng(12)
+    months = np.arange(60)
+    series = [20 + 0.1 * months + 8 * np.sin(months / 12 * 2 * np.pi) + rng.normal(0, s, 60) for s in (0.1, 2.0, 9.0)] + [np.full(60, 5.0), rng.gamma(1.0, 80.0, 60)]
+    for y in series:
+        grid = np.stack([m.ravel() for m in np.meshgrid(*SE.GRID, indexing="ij")], axis=1)
+        found = SE.fitted(y)
+        assert SE.smoothed(y, [found])[0][0] <= SE.smoothed(y, grid)[0].min() and all(0 <= p <= 1 for p in found)
+    rows = [(t, 2019 + m // 12, m % 12 + 1, float(y[m]), float(-y[m])) for t, y in enumerate(series) for m in range(60)]
+    got = SE.seasonal_forecast(spark.createDataFrame(rows, "town_id int, year int, month int, rain_mm double, temp_mean double")).collect()
+    assert len(got) == 5 * 2 * 6
+    for r in got:
+        y, (a, b, g) = (series[r.town_id] if r.measure == "rain_mm" else -series[r.town_id]), (r.alpha, r.beta, r.gamma)
+        level, trend, season, sse = y[:12].mean(), (y[12:24].mean() - y[:12].mean()) / 12, list(y[:12] - y[:12].mean()), 0.0
+        for t in range(12, 60):
+            s, last = season[t % 12], level
+            sse += (y[t] - level - trend - s) ** 2
+            level = a * (y[t] - s) + (1 - a) * (level + trend)
+            trend = b * (level - last) + (1 - b) * trend
+            season[t % 12] = g * (y[t] - level) + (1 - g) * s
+        value = level + r.horizon * trend + season[(59 + r.horizon) % 12]
+        assert r.sse == pytest.approx(sse) and r.value == pytest.approx(max(value, 0) if r.measure == "rain_mm" else value) and r.method == "holt_winters"

@@ -162,3 +162,21 @@ def test_relation_reader_needs_a_database(spark):
     assert RD.table_or_none(spark, "no_such_table") is None
     spark.range(1).select(F.col("id")).createOrReplaceTempView("some_view")
     assert RD.table_or_none(spark, "some_view").count() == 1
+
+
+def test_line_files_are_read_in_several_tasks(spark, tmp_path):
+    """One file of many lines is split; its rows and rejects are those of the whole-file reader."""
+    from cropspark.sources import readers as RD
+
+    path = tmp_path / "big.json"
+    path.write_text("".join(f'{{"a": "{i}", "b": "{"x" * 60}"}}\n' if i % 1000 else f"broken {i}\r\n\n" for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        rows = RD.read_json_rows(spark, str(path), ["a", "b"], lines=True)
+        assert rows.rdd.getNumPartitions() > 4
+        assert rows.selectExpr("count(*) AS n", "sum(CAST(a AS long)) AS s").first() == RD.read_json_rows(spark, str(path), ["a", "b"]).selectExpr("count(*) AS n", "sum(CAST(a AS long)) AS s").first()
+        bad = lambda lines: sorted(r.record for r in RD.rejected_json(spark, str(path), ["a", "b"], lines).collect())
+        assert bad(True) == bad(False) and len(bad(True)) == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

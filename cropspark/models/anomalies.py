@@ -128,6 +128,11 @@ def isolation_scores(inputs: DataFrame, trees: int = K.ANOMALY_TREES, share: flo
     scores = split.groupBy("crop_id", "block").cogroup(copies.groupBy("crop_id", "block")).applyInPandas(
         _scorer(trees), "town_id int, crop_id string, year int, score double")
     scores = materialise(scores)
-    limit = exact_quantiles(scores, ["crop_id"], "score", {"limit": 1 - share}).drop("n_values")
-    judged = scores.join(limit, "crop_id").select(*key, "score", (F.col("score") > F.col("limit")).alias("is_anomaly"))
+    judged = flag_isolated(scores, key, share)
     return whole.select(*key).join(judged, key, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
+
+
+def flag_isolated(scores: DataFrame, key: list[str], share: float = K.ANOMALY_SHARE) -> DataFrame:
+    """Flag the rows of each crop whose score is beyond the exact quantile that leaves ``share`` above it."""
+    limit = exact_quantiles(scores, ["crop_id"], "score", {"limit": 1 - share}).drop("n_values")
+    return scores.join(limit, "crop_id").select(*key, "score", (F.col("score") > F.col("limit")).alias("is_anomaly"))

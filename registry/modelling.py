@@ -236,6 +236,46 @@ def _(spark, sf):
     return AL.alert_rows(latest_per_key(data, ["town_id"], ["period"]).select(*columns), test.select(*columns))
 
 
+@query("anomaly_flags", {"town_id": "i", "crop_id": "s", "year": "i", "score": "f", "is_anomaly": "b"}, """
+SELECT town_id, crop_id, year, anomaly_score AS score, anomaly_score > l AS is_anomaly
+FROM predictions JOIN (SELECT crop_id, QUANTILE_CONT(anomaly_score, 0.93) AS l FROM predictions GROUP BY crop_id) USING (crop_id)""")
+def _(spark, sf):
+    """The most isolated share of each crop, by scores that SQL can state."""
+    scores = S.predictions(spark, sf).select("town_id", "crop_id", "year", F.col("anomaly_score").alias("score"))
+    return AN.flag_isolated(scores, ["town_id", "crop_id", "year"])
+
+
+# Published prices from predictions, improvements and bands that SQL can state: large types are sure, small ones have no band of their own, PROMO was never
+# tested, and no band is known for 20 days.
+CTES["future_prices"] = """
+SELECT market_id, product_id, day + h AS target_day, h, LN(price) AS log_price, CASE WHEN price > 2000 THEN 0.004 ELSE -0.002 END * h AS pred
+FROM (SELECT market_id, product_id, MAX(day) AS day, ARG_MAX(price_avg, day) AS price FROM panel_daily GROUP BY ALL) CROSS JOIN (VALUES (1), (5), (20)) v(h)"""
+
+
+@query("published_prices", {"market_id": "i", "product_id": "s", "target_day": "d", "h": "i", "price": "f", "p10": "f", "p90": "f", "method": "s", "confidence": "s"}, """
+SELECT market_id, product_id, target_day, h, EXP(log_price + shift) AS price, EXP(log_price + shift + q10) AS p10, EXP(log_price + shift + q90) AS p90, CASE WHEN use THEN 'trees' ELSE 'naive' END AS method, confidence
+FROM (SELECT *, CASE WHEN use THEN pred ELSE 0 END AS shift,
+        CASE WHEN h = 20 THEN -0.1 WHEN product_id IN ('SMALL', 'PROMO') THEN -0.2 - CASE WHEN use THEN 0.01 ELSE 0.02 END ELSE -0.01 * h - CASE WHEN use THEN 0.01 ELSE 0.02 END END AS q10,
+        CASE WHEN h = 20 THEN 0.1 WHEN product_id IN ('SMALL', 'PROMO') THEN 0.3 ELSE 0.02 * h END AS q90
+      FROM (SELECT *, confidence <> 'baja' AS use FROM (SELECT *, CASE WHEN product_id = 'LARGE' OR (product_id = 'SMALL' AND h = 1) THEN 'alta' WHEN product_id IN ('MEDIUM', 'SMALL') THEN 'media' ELSE 'baja' END AS confidence FROM future_prices)))""")
+def _(spark, sf):
+    """What is published: the model where it has earned it, else the price of today, with bands."""
+    daily = S.panel_daily(spark, sf)
+    last = daily.groupBy("market_id", "product_id").agg(F.max("day").alias("day"), F.max_by("price_avg", "day").alias("price"))
+    horizons = F.explode(F.array(*[F.lit(h) for h in (1, 5, 20)])).alias("h")
+    future = last.select("*", horizons).select(
+        "market_id", "product_id", F.date_add("day", F.col("h")).alias("target_day"), "h", F.log("price").alias("log_price"), (F.when(F.col("price") > 2000, 0.004).otherwise(-0.002) * F.col("h")).alias("pred"))
+    types = table(spark, sf, "part").select(F.col("p_type").alias("product_id")).distinct().select("product_id", horizons)
+    product, h = F.col("product_id"), F.col("h")
+    gain = F.when((product == "LARGE") | ((product == "SMALL") & (h == 1)), 0.1).when(product.isin("MEDIUM", "SMALL"), 0.05).otherwise(0.0)
+    improvement = types.where(product != "PROMO").select("product_id", "h", gain.alias("improvement"))
+    kinds = F.explode(F.array(F.lit("model"), F.lit("naive"))).alias("kind")
+    more = F.when(F.col("kind") == "model", 0.01).otherwise(0.02)
+    bands = types.where(~product.isin("SMALL", "PROMO") & (h < 20)).select("product_id", "h", kinds).select(
+        "kind", "product_id", "h", (-0.01 * h - more).alias("q10"), (0.02 * h).alias("q90"), (F.lit(-0.2) - more).alias("all10"), F.lit(0.3).alias("all90"))
+    return PF.publish(future, improvement, bands)
+
+
 @query("seasonal_forecast", {"town_id": "i", "measure": "s", "year": "i", "month": "i", "horizon": "i", "value": "f3", "method": "s"})
 def _(spark, sf):
     return SE.seasonal_forecast(CL.town_months(S.climate(spark, sf)))

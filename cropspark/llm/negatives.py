@@ -34,7 +34,7 @@ from cropspark.llm.common import tidy, written
 from cropspark.llm.vafile import LARGEST, matrix, whole_components
 
 STAGES, COARSE, PLANES = 8, 4, 7
-ROWS, ANCHORS = 8192, 1024
+ROWS, ANCHORS = 8192, 4096
 #: Pairs of vectors that are held at a time.
 PAIRS = 1 << 19
 #: What double precision can be off, as a share of the product of both lengths.
@@ -124,7 +124,7 @@ class Block:
     def __init__(self, row: dict):
         self.ids, self.labels, self.numbers = (np.frombuffer(row[c], "<i8") for c in ("ids", "labels", "numbers"))
         n = len(self.ids)
-        self.vectors = np.frombuffer(row["vectors"], "<i8").reshape(n, -1)
+        self.vectors = np.frombuffer(row["vectors"], "<i4").reshape(n, -1)
         self.codes, self.aligned, self.left = np.frombuffer(row["codes"], "<u8").reshape(n, STAGES, -1), np.frombuffer(row["aligned"], "<f8").reshape(n, -1), np.frombuffer(row["missed"], "<f8").reshape(n, -1)
         self.length = np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1))
 
@@ -132,7 +132,7 @@ class Block:
     def pack(rows: pa.Table, coded: bool) -> dict:
         rows = rows.sort_by([("label", "ascending"), ("number", "ascending")])
         vectors = matrix(rows["v"])
-        out = {"ids": rows["vec_id"].to_numpy().astype("<i8"), "labels": rows["label"].to_numpy().astype("<i8"), "numbers": rows["number"].to_numpy().astype("<i8"), "vectors": vectors.astype("<i8")}
+        out = {"ids": rows["vec_id"].to_numpy().astype("<i8"), "labels": rows["label"].to_numpy().astype("<i8"), "numbers": rows["number"].to_numpy().astype("<i8"), "vectors": vectors.astype("<i4")}  # smaller than 2^26
         if coded:
             out |= dict(zip(("codes", "aligned", "missed"), codes(vectors), strict=True))
         return {k: v.tobytes() for k, v in out.items()}
@@ -143,7 +143,7 @@ def scored(anchors: np.ndarray, rows: np.ndarray, a: np.ndarray, r: np.ndarray)
     out = np.zeros(len(a), np.int64)
     for i in range(0, len(a), 1 << 16):
         part = slice(i, i + (1 << 16))
-        out[part] = np.einsum("ij,ij->i", anchors[a[part]], rows[r[part]])
+        out[part] = np.einsum("ij,ij->i", anchors[a[part]].astype(np.int64), rows[r[part]].astype(np.int64))
     return out
 
 
@@ -276,7 +276,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
             return None, None
         row = found[False]
         ids, labels, numbers = (np.frombuffer(row[c], "<i8") for c in ("ids", "labels", "numbers"))
-        return {"ids": ids, "labels": labels, "numbers": numbers, "vectors": np.frombuffer(row["vectors"], "<i8").reshape(len(ids), -1)}, Block(found[True])
+        return {"ids": ids, "labels": labels, "numbers": numbers, "vectors": np.frombuffer(row["vectors"], "<i4").reshape(len(ids), -1)}, Block(found[True])
 
     def first_pass(group: pa.Table) -> pa.Table:
         theirs, block = sides(group)

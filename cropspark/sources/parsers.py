@@ -161,8 +161,18 @@ def input_means(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("region").isNotNull()).groupBy("year", "month", "region", "kind", "subgroup").agg(F.avg("price").alias("price"))
 
 
-def number_rows(df: DataFrame, file: str = "_file", order: str = "_order") -> DataFrame:
-    """Row number within a landed sheet. A sheet is read whole by one task, so its order is the file's order."""
+def number_rows(df: DataFrame, file: str = "_file", order: str = "_order", page_break: str | None = None) -> DataFrame:
+    """Row number within a landed sheet. A sheet is read whole by one task, so its order is the file's order.
+
+    With ``page_break`` a file holds sheets one below the other: a row of that cell alone begins the next sheet and belongs to none, and
+    ``file`` is ``<file>#<n>`` for the n-th sheet from 1 (0 for rows before the first break).
+    """
     by_file = Window.partitionBy(file).orderBy(order)
     cells = [c for c in df.columns if c not in (file, order)]
-    return df.select(F.col(file).alias("file"), (F.row_number().over(by_file) - 1).alias("row"), F.array(*cells).alias("cells"))
+    name = F.col(file)
+    if page_break is not None:
+        begins = (F.col(cells[0]) == page_break) & F.coalesce(*cells[1:], F.lit(None).cast("string")).isNull()
+        df = df.withColumn("_begins", F.coalesce(begins, F.lit(False)))
+        df = df.withColumn("_page", F.count_if("_begins").over(by_file)).where(~F.col("_begins"))
+        by_file, name = Window.partitionBy(file, "_page").orderBy(order), F.concat_ws("#", file, "_page")
+    return df.select(name.alias("file"), (F.row_number().over(by_file) - 1).alias("row"), F.array(*cells).alias("cells"))

@@ -100,24 +100,28 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
     return P.layer_attributes(docs, "document", name)
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, page_break: str | None = None) -> DataFrame:
     """Headerless sheets landed as CSV to (file, row, cells), all as wide as the widest row could be.
 
-    A row has at most one cell more than delimiters; lines that a quote leaves open belong to the row begun before. Each sheet is read
-    whole by one task, as its row order asks: a landed sheet is small.
+    A row has at most one cell more than delimiters; lines that a quote leaves open belong to the row begun before. Each file is read
+    whole by one task, as its row order asks: a landed file is small. The driver keeps a list of all files, so sheets that are many are
+    landed many to a file, each below a row of ``page_break`` alone (``number_rows``).
     """
     start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("held"), F.lit(0).alias("most"))
 
+    def count(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
     def line(acc: Column, text: Column) -> Column:
-        held = acc["held"] + F.length(F.regexp_replace(text, "[^,]", ""))
-        odd = (acc["open"] + F.length(F.regexp_replace(text, '[^"]', ""))) % 2
+        held = acc["held"] + count(text, ",")
+        odd = (acc["open"] + count(text, '"')) % 2
         return F.struct(odd.alias("open"), F.when(odd == 1, held).otherwise(0).alias("held"), F.greatest(acc["most"], held).alias("most"))
 
     wide = F.aggregate(F.split("document", "\n"), start, line, lambda acc: acc["most"])
     width = (read_documents(spark, path).agg(F.max(wide)).first()[0] or 0) + 1
     raw = (spark.read.schema(_text_schema([f"c{i}" for i in range(width)])).option("multiLine", True).option("escape", '"').csv(path)
            .withColumns({"_file": F.input_file_name(), "_order": F.monotonically_increasing_id()}))
-    return P.number_rows(raw)
+    return P.number_rows(raw, page_break=page_break)
 
 
 def read_drop_folder(spark: SparkSession, folder: str) -> DataFrame | None:

@@ -95,13 +95,16 @@ def _(spark, sf):
 
 #: Markets of a page, about: a day of any size is so many pages, none of which grows with the table.
 PAGE_MARKETS = 50
+#: Pages of a landed file, some 3 KB each, and the row above each of them: files of a few MB, which the driver can list at any size of the table.
+FILE_PAGES = 1000
+PAGE_BREAK = "\f"
 
 
 @query("bulletin_files", {"day": "d", "market": "s", "product": "s", "price": "f"}, """
 WITH cells AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey AS market, o_orderpriority AS product, MAX(o_totalprice) AS price FROM orders GROUP BY ALL)
 SELECT day, 'Plaza ' || CAST(market AS VARCHAR) AS market, product, price FROM cells""")
 def _(spark, sf):
-    """Crosstab sheets of about ``PAGE_MARKETS`` markets, as many for a day as its markets ask for, landed as CSV and read back."""
+    """Crosstab sheets of about ``PAGE_MARKETS`` markets, as many for a day as its markets ask for, landed as CSV, ``FILE_PAGES`` to a file, and read back."""
     path = _folder(spark, "bulletins")
     cells = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("market"), F.col("o_orderpriority").alias("product")).agg(F.max("o_totalprice").alias("price"))
     months = F.array(*[F.lit(m.lower()) for m in K.MONTH_NAMES_ES])
@@ -109,14 +112,16 @@ def _(spark, sf):
     pages = cells.groupBy("day").agg(F.ceil(F.count_distinct("market") / PAGE_MARKETS).alias("_pages"))
     cells = cells.join(pages, "day").withColumn("_page", F.pmod(F.xxhash64("market"), F.col("_pages")))
     days = cells.groupBy("day", "_page").agg(F.array_sort(F.collect_set("market")).alias("markets"), F.array_sort(F.collect_set("product")).alias("products"),
-                                    F.map_from_entries(F.collect_list(F.struct(F.struct("product", "market"), "price"))).alias("prices"))
+                                    F.collect_list(F.struct("product", "market", "price")).alias("prices"))
     row = lambda first, f: F.concat_ws(",", F.lit(first) if isinstance(first, str) else first, F.flatten(F.transform("markets", f)))
-    price = lambda p, m: F.coalesce(F.try_element_at("prices", F.struct(p.alias("product"), m.alias("market"))).cast("string"), F.lit("n.d."))
-    body = F.transform("products", lambda p: row(p, lambda m: F.array(price(p, m), F.lit("0"))))
-    lines = F.concat(F.array(F.lit("bulletin"), title, row("Precio", lambda m: F.array(F.concat(F.lit("Plaza "), m.cast("string")), F.lit(""))),
+    of = lambda p: F.filter("prices", lambda c: (c["product"] == p) & c["market"].isNotNull())
+    sold = F.transform("products", lambda p: F.struct(p.alias("product"), F.map_from_entries(F.transform(of(p), lambda c: F.struct(c["market"], c["price"]))).alias("prices")))
+    price = lambda s, m: F.coalesce(F.try_element_at(s["prices"], m).cast("string"), F.lit("n.d."))
+    body = F.transform(sold, lambda s: row(s["product"], lambda m: F.array(price(s, m), F.lit("0"))))
+    lines = F.concat(F.array(F.lit(PAGE_BREAK), F.lit("bulletin"), title, row("Precio", lambda m: F.array(F.concat(F.lit("Plaza "), m.cast("string")), F.lit(""))),
                              row("", lambda m: F.array(F.lit("Precio"), F.lit("Var")))), body)
-    days.select(F.array_join(lines, "\n")).write.option("maxRecordsPerFile", 1).text(path)
-    return X.bulletin_to_long(RD.read_sheets(spark, path))
+    days.select(F.array_join(lines, "\n")).write.option("maxRecordsPerFile", FILE_PAGES).text(path)
+    return X.bulletin_to_long(RD.read_sheets(spark, path, PAGE_BREAK))
 
 
 @query("sync_reports", {"source": "s", "rows": "i", "change_type": "s"}, """

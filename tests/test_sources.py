@@ -1,12 +1,14 @@
 """Landed files of every format, written here by hand."""
 
 import json
-from datetime import date
+from datetime import date, datetime
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
 
 from cropspark.plans import prices as P
+from cropspark.session import shared_dir
 from cropspark.sources import parsers as X
 from cropspark.sources import readers as RD
 from cropspark.sources import sinks as SK
@@ -47,6 +49,34 @@ def test_bulletin_of_200_columns(spark, tmp_path):
     assert "Plaza 10, piso 1" in {r.market for r in clean}
 
 
+def test_sheets_below_a_page_break(spark, tmp_path):
+    def page(day, market, price):
+        return [["\f"], ["Boletín"], [f"{day} de marzo de 2024"], ["Precio", market, ""], ["", "Precio", "Var %"], ["Curuba", price, "0.1"], ["\f", "7", "0"]]
+
+    (tmp_path / "b.csv").write_text(sheet(*page(5, "A", "500"), *page(6, "B, piso\n\f\n2", "n.d."), *page(6, "C", "700")), encoding="utf-8")
+    (tmp_path / "c.csv").write_text(sheet(*page(7, "D", "800")[1:], *page(8, "E", "900")), encoding="utf-8")
+    sheets = RD.read_sheets(spark, str(tmp_path), "\f")
+    assert sorted(((r.file.rsplit("/")[-1]), r.n, r.last) for r in sheets.groupBy("file").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()) == [
+        (f, 6, 5) for f in ("b.csv#1", "b.csv#2", "b.csv#3", "c.csv#0", "c.csv#1")]
+    got = sorted((r.day.day, r.market, r["product"], r.price) for r in X.bulletin_to_long(sheets).collect())
+    feeds = [(5, "A"), (6, "B, piso\n\f\n2"), (6, "C"), (7, "D"), (8, "E")]
+    assert got == sorted([(d, m, "\f", 7.0) for d, m in feeds] + [(d, m, "Curuba", p) for (d, m), p in zip(feeds, (500.0, None, 700.0, 800.0, 900.0)) if p])
+
+
+def test_bulletin_files_are_few(spark, tmp_path):
+    from registry import load_all
+
+    rows = [(i, i // 2, "1-URGENT", float(i), datetime(2024, 3, 1 + i % 20)) for i in range(3000)] + [(9000, None, "1-URGENT", 5.0, datetime(2024, 3, 1)), (9001, 1, None, 5.0, datetime(2024, 3, 1)),
+                                                                                                   (9002, 2, "2-HIGH", 6.0, None), (9003, 0, "2-HIGH", None, datetime(2024, 3, 1))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    before = set(glob(f"{shared_dir(spark)}/bulletins-*"))
+    got = load_all()[0]["bulletin_files"](spark, str(tmp_path))
+    assert {(int(r.day[-2:]), r.market, r["product"], r.price) for r in got.collect()} == {(1 + i % 20, f"Plaza {i // 2}", "1-URGENT", float(i)) for i in range(3000)}
+    (landed,) = set(glob(f"{shared_dir(spark)}/bulletins-*")) - before
+    pages = spark.read.text(landed).where(F.col("value") == "\f").count()
+    assert pages > 20 and len(glob(f"{landed}/part-*")) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_land_use_sheet(spark):
     rows = [["Areas by town"] + [None] * 7, ["73", "Tolima", "73268", "Espinal", "10.5", "20.25", "30.75", "40"],
             ["73", "Tolima", "73449", "Melgar", "1", "2", "3", "4"], [None, "Sum", None, None, "11.5", "22.25", "33.75", "44"]]

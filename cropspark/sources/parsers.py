@@ -105,13 +105,14 @@ def bulletin_to_long(cells: DataFrame) -> DataFrame:
     """Crosstab bulletins (file, row from 0, cells) to day, market, product, price.
 
     Row 1 holds the date, row 2 the market in every second column, rows from 4 on the products. Cells that are no number
-    (n.d., category and note rows) give no row. One bulletin is a page; each file's header meets only its own rows.
+    (n.d., category and note rows) give no row. One bulletin is a page; each file's header meets only its own rows. Spark takes
+    exploded cells for no more than their rows, so its size check would send millions of them through the driver: hence the hint.
     """
     head = cells.groupBy("file").agg(
         F.max(F.when(F.col("row") == 1, F.get("cells", F.lit(0)))).alias("title"),
         F.max(F.when(F.col("row") == 2, F.col("cells"))).alias("markets"))
     body = cells.where(F.col("row") >= 4).select("file", F.get("cells", F.lit(0)).alias("product"), F.posexplode("cells").alias("col", "cell"))
-    rows = body.where((F.col("col") % 2 == 1) & F.col("product").isNotNull()).join(head, "file")
+    rows = body.where((F.col("col") % 2 == 1) & F.col("product").isNotNull()).join(head.hint("merge"), "file")
     return rows.select(D.parse_spanish_date(F.col("title")).alias("day"), F.get("markets", F.col("col")).alias("market"),
                        "product", N.clean_number(F.col("cell")).alias("price")).where(
         F.col("price").isNotNull() & F.col("market").isNotNull())

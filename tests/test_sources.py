@@ -72,6 +72,7 @@ def test_bulletin_files_are_few(spark, tmp_path):
     before = set(glob(f"{shared_dir(spark)}/bulletins-*"))
     got = load_all()[0]["bulletin_files"](spark, str(tmp_path))
     assert {(int(r.day[-2:]), r.market, r["product"], r.price) for r in got.collect()} == {(1 + i % 20, f"Plaza {i // 2}", "1-URGENT", float(i)) for i in range(3000)}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     (landed,) = set(glob(f"{shared_dir(spark)}/bulletins-*")) - before
     pages = spark.read.text(landed).where(F.col("value") == "\f").count()
     assert pages > 20 and len(glob(f"{landed}/part-*")) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
